@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space that separates words: 0x20, 0x09-0x0D. It is also what bytes.split() splits on.
@@ -127,3 +127,21 @@ def unique_name(taken: list[str], base: str) -> str:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def crc_of(doc_id) -> Column:
+    """crc32 of the id as text; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+
+
+def bounded_sample(df: DataFrame, by: str, most: int) -> DataFrame:
+    """At most about 1.5 * most rows of df, about equally many for each value of column by (fewer where it has
+    fewer): those whose hash over doc_id and text is lowest. Only counts by value reach the driver."""
+    counts = {r[0]: r[1] for r in df.groupBy(by).count().collect()}
+    if not counts:
+        return df.limit(0)
+    each = max(1, most // len(counts))
+    # hashes are uniform, so a threshold takes the wanted share of each value's rows
+    share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.2 * each / n)))))
+    key = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "doc_id", "text"), 11) / float(1 << 53)
+    return df.where(key < share[F.col(by)])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendloom.llm import gif, mixing, packing
+from trendloom.llm import gif, language, mixing, packing, quality
 from trendloom.llm.common import documents
 
 
@@ -24,12 +24,20 @@ def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.media_digest(documents(spark, sf_dir))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_predictions(documents(spark, sf_dir))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_gif_media": op3_gif_media, "op8_mixing": op8_mixing}
+    return {"op1_packing": op1_packing, "op3_gif_media": op3_gif_media, "op6_language_id": op6_language_id, "op8_mixing": op8_mixing, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
