@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendloom.llm import gif, language, mixing, packing, quality
+from trendloom.llm import gif, language, mixing, packing, pii, quality
 from trendloom.llm.common import documents
 
 
@@ -32,12 +32,20 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+#: Stands in for the secret of a real deployment, so that runs agree.
+PII_KEY = "trendloom-demonstration-key"
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(documents(spark, sf_dir), PII_KEY)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_gif_media": op3_gif_media, "op6_language_id": op6_language_id, "op8_mixing": op8_mixing, "op9_quality": op9_quality}
+    return {"op1_packing": op1_packing, "op3_gif_media": op3_gif_media, "op6_language_id": op6_language_id, "op8_mixing": op8_mixing, "op9_quality": op9_quality, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
