@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendloom.llm import gif, language, mixing, packing, pii, quality
+from trendloom.llm import gif, language, lz, mixing, packing, pii, quality
 from trendloom.llm.common import documents
 
 
@@ -20,6 +20,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
 
 
+def op2_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz.fingerprint_digest(documents(spark, sf_dir))
+
+
 def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.media_digest(documents(spark, sf_dir))
 
@@ -45,7 +49,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_gif_media": op3_gif_media, "op6_language_id": op6_language_id, "op8_mixing": op8_mixing, "op9_quality": op9_quality, "op10_pii": op10_pii}
+    return {"op1_packing": op1_packing, "op2_lz_fingerprint": op2_lz_fingerprint, "op3_gif_media": op3_gif_media, "op6_language_id": op6_language_id, "op8_mixing": op8_mixing, "op9_quality": op9_quality, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
