@@ -14,6 +14,7 @@ kept by ``pack``.
 from __future__ import annotations
 
 import bisect
+import functools
 import re
 import unicodedata
 import zlib
@@ -30,8 +31,8 @@ from trendloom.llm.common import groups_of, materialize, small_batches
 WINDOW, END_ID = 2048, 1
 #: Groups into which the pieces of one length are dealt for ranking.
 SALTS = 256
-#: Words whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
+#: Words whose ids a worker remembers; beyond it they age, and go when as many newer ones have come.
+REMEMBERED = 400_000
 
 
 def _splitter() -> re.Pattern:
@@ -55,6 +56,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.split, self.beyond = _splitter().findall, re.compile("[^\x00-ɏ]").search
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -64,13 +66,22 @@ class Encoder:
             part = texts[a:b]
             words = [None if self.beyond(x) else self.split(x) for x in part]
             if len(self.known) > REMEMBERED:
-                self.known.clear()
-            new = list(set().union(*(w for w in words if w)).difference(self.known))
+                self.known, self.older = {}, self.known
+            new = set().union(*(w for w in words if w)).difference(self.known)
+            again = new.intersection(self.older)
+            self.known.update((w, self.older[w]) for w in again)
+            new = list(new - again)
             self.known.update(zip(new, self._ids(new), strict=True))
             for x, w in zip(part, words, strict=True):
                 yield self._ids([x])[0] if w is None else b"".join(map(self.known.__getitem__, w))
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_for(path: str) -> Encoder:
+    """The worker's encoder, which the tasks it runs share."""
+    return Encoder(path)
+
+
 def pieces_of(df: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """For each row (doc_id, text): its ids and the end id, cut into pieces of window ids and a rest:
     doc_id, start, length, ids_crc32, doc_tokens."""
@@ -80,7 +91,7 @@ def pieces_of(df: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id:
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder = encoder_for(tokenizer_path)
         for batch in batches:
             owner, start, length, crc, total = [], [], [], [], []
             for i, ids in enumerate(encoder.encode([x or "" for x in batch.column(1).to_pylist()])):
