@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendloom.llm import gif, jaccard, language, lz, mixing, packing, pii, quality
+from trendloom.llm import gif, jaccard, language, lz, mixing, packing, pii, quality, suffixes
 from trendloom.llm.common import documents
 
 
@@ -32,6 +32,10 @@ def op4_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir), k=4, part=85, of=100)
 
 
+def op5_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeat_digest(documents(spark, sf_dir))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_predictions(documents(spark, sf_dir))
 
@@ -53,7 +57,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_lz_fingerprint": op2_lz_fingerprint, "op3_gif_media": op3_gif_media, "op4_parity_join": op4_parity_join, "op6_language_id": op6_language_id, "op8_mixing": op8_mixing, "op9_quality": op9_quality, "op10_pii": op10_pii}
+    return {"op1_packing": op1_packing, "op2_lz_fingerprint": op2_lz_fingerprint, "op3_gif_media": op3_gif_media, "op4_parity_join": op4_parity_join, "op5_suffix_index": op5_suffix_index, "op6_language_id": op6_language_id, "op8_mixing": op8_mixing, "op9_quality": op9_quality, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
