@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import json
 import re
 import unicodedata
 import zlib
@@ -43,8 +44,24 @@ def _splitter() -> re.Pattern:
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{spaces}{letters}{numbers}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+")
 
 
+def byte_ranks(model: dict) -> dict[bytes, int] | None:
+    """Bytes to id of a byte-level BPE model, if its ids rise with its merges: then the pair to merge next is
+    the one whose token has the least id, and any implementation of that rule gives the tokenizer's ids."""
+    vocabulary = model["vocab"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [vocabulary.get(a + b, -1) for a, b in pairs]
+    if any(a >= b for a, b in zip(made, made[1:], strict=False)) or min(made, default=0) < 0:
+        return None
+    # the byte-level alphabet: printable bytes stand for themselves, the others for U+0100 and on
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    singles = {bytes([b]): vocabulary[c] for c, b in byte_of.items()}
+    return singles | {bytes(byte_of[c] for c in a + b): i for (a, b), i in zip(pairs, made, strict=True)}
+
+
 class Encoder:
-    """Token ids as little-endian 32-bit bytes. Words are looked up; new ones go through the tokenizer."""
+    """Token ids as little-endian 32-bit bytes. Words are looked up; new ones are merged in one call for all,
+    or by the tokenizer itself where its model isn't of the plain kind, as are texts beyond U+024F."""
 
     def __init__(self, path: str):
         import os
@@ -57,10 +74,33 @@ class Encoder:
         self.split, self.beyond = _splitter().findall, re.compile("[^\x00-ɏ]").search
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            ranks = byte_ranks(json.load(f)["model"])
+        if ranks:
+            import tiktoken
+
+            self.merge = tiktoken.Encoding("words", pat_str=r"[^\n]+|\n", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.line = ranks[b"\n"]
+        else:
+            self.merge = None
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words that the pre-tokenizer has cut."""
+        plain = [w for w in words if "\n" not in w] if self.merge else []
+        out: dict[str, bytes] = {}
+        if plain:
+            ids = np.array(self.merge("\n".join(plain)), "<u4")
+            ends = np.append(np.flatnonzero(ids == self.line), len(ids)) * 4
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(plain, ends.tolist(), strict=True):
+                out[w] = raw[at:end]
+                at = end + 4
+        rest = [w for w in words if w not in out]
+        return out | dict(zip(rest, self._ids(rest), strict=True))
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for a, b in groups_of([len(x) for x in texts], 1 << 20):
             part = texts[a:b]
@@ -70,8 +110,7 @@ class Encoder:
             new = set().union(*(w for w in words if w)).difference(self.known)
             again = new.intersection(self.older)
             self.known.update((w, self.older[w]) for w in again)
-            new = list(new - again)
-            self.known.update(zip(new, self._ids(new), strict=True))
+            self.known.update(self._words(list(new - again)))
             for x, w in zip(part, words, strict=True):
                 yield self._ids([x])[0] if w is None else b"".join(map(self.known.__getitem__, w))
 
