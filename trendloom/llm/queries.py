@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendloom.llm import gif, jaccard, language, lz, mixing, packing, pii, quality, suffixes
+from trendloom.llm import gif, jaccard, language, lines, lz, mixing, packing, pii, quality, suffixes
 from trendloom.llm.common import documents
 
 
@@ -44,6 +44,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
+
+
 #: Stands in for the secret of a real deployment, so that runs agree.
 PII_KEY = "trendloom-demonstration-key"
 
@@ -57,7 +61,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_lz_fingerprint": op2_lz_fingerprint, "op3_gif_media": op3_gif_media, "op4_parity_join": op4_parity_join, "op5_suffix_index": op5_suffix_index, "op6_language_id": op6_language_id, "op8_mixing": op8_mixing, "op9_quality": op9_quality, "op10_pii": op10_pii}
+    return {"op1_packing": op1_packing, "op2_lz_fingerprint": op2_lz_fingerprint, "op3_gif_media": op3_gif_media, "op4_parity_join": op4_parity_join, "op5_suffix_index": op5_suffix_index, "op6_language_id": op6_language_id, "op7_line_dedup": op7_line_dedup, "op8_mixing": op8_mixing, "op9_quality": op9_quality, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
