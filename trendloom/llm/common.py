@@ -145,3 +145,11 @@ def bounded_sample(df: DataFrame, by: str, most: int) -> DataFrame:
     share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.2 * each / n)))))
     key = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "doc_id", "text"), 11) / float(1 << 53)
     return df.where(key < share[F.col(by)])
+
+
+def among(rows: DataFrame, column: str, keys: DataFrame, kind: str = "left_semi", slots: int = 1 << 20) -> DataFrame:
+    """Rows whose column's slot is taken (or, with left_anti, isn't) by a value of that column in keys. The
+    broadcast has as many rows as there are slots at most; what it lets through still needs the real join."""
+    slot = F.pmod(F.xxhash64(column), F.lit(slots))
+    taken = F.broadcast(keys.select(slot.alias("slot_")).distinct())
+    return rows.join(taken, slot == F.col("slot_"), kind)
