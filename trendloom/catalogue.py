@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from trendloom.plans import evidence
+
+_ALL = (evidence,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: fn for module in _ALL for name, (fn, _) in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in _ALL for name, (_, sql) in module.QUERIES.items() if sql}
