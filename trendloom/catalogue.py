@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trendloom.plans import evidence
+from trendloom.plans import corpus, evidence, space
 
-_ALL = (evidence,)
+_ALL = (evidence, corpus, space)
 
 
 def queries() -> dict:

@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 _WORD = r"(?U)(\w+)"
 #: Query parameters that only track (fixed values).
@@ -20,12 +21,12 @@ TRACKING = ("ref", "source", "fbclid", "gclid")
 DOI_PREFIXES = ("https://doi.org/", "http://doi.org/", "doi:")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc_casefold(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s).casefold())
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(ArrayType(LongType()))
 def blake2b_longs(x: pd.Series) -> pd.Series:
     """8-byte BLAKE2b digests of tokens, as signed longs."""
     return x.map(lambda tokens: None if tokens is None else [int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big", signed=True) for t in tokens])
