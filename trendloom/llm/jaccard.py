@@ -8,12 +8,14 @@ in at most D = (1 - t) / (1 + t) * (n_a + n_b) shingles. So:
 2. For each band of sizes a sketch has more blocks than a linked pair can differ in, so some block is equal
    in both: classes are joined on (band, block, the block's parity word and count). Blocks of fewer than two
    shingles say little; there are enough blocks to do without them, and a set with too many such blocks sends
-   all it has. A task sends each key once and links its other classes to that one, so a large group of near
-   copies is thinned before the shuffle.
-3. Classes that share a key, directly or through others, form a candidate cluster (distributed union-find).
-   Within clusters, pairs of fitting sizes that aren't connected yet are compared by full sketches in blocks
-   of bit operations, and those within the bound are verified on the sets. Clusters beyond a bound are split
-   into tiles; each pair of tiles is a task's work, so no pair is lost.
+   all it has. Shingles that are frequent in a sample are taken out of all sets before. A task sends a crowded
+   key once and ties its other classes to that one, so a large group of near copies is thinned before the
+   shuffle.
+3. Classes that share a key, and whose sizes and folded sketches don't rule a link out, form a candidate
+   cluster, directly or through others (distributed union-find); crowded keys are taken whole. Sketches as
+   wide as the sets need then part the clusters further. Within what is left, pairs that aren't connected yet
+   are compared by full sketches in blocks of bit operations, and those within the bound are verified on the
+   sets. Clusters beyond a bound are split into tiles; each pair of tiles is a task's work, so no pair is lost.
 4. Verified links go through union-find; a component's id is its least doc_id.
 
 Defined results: null and empty texts, and texts without words, have an empty set and link with nothing; fewer
@@ -27,14 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.llm.common import PrefixHash, groups_of, lower_ascii, materialize, mix64, small_batches, words_of
 from trendloom.llm.unionfind import components
 
-#: Shingles that a tile of a candidate cluster holds, about.
-TILE = 2_000_000
+#: Bits of the sketch that goes along with candidates; classes of one key in a batch from which it is sent once
+#: for all; rows of one key that a task compares.
+FOLD, CROWD, LARGE = 512, 32, 2048
+#: Texts in the sample for frequent shingles, about, and in how many of them such a shingle is.
+SAMPLE, OFTEN = 8000, 4
+#: Shingles that a tile of a cluster holds when sets are compared, about, and bytes when sketches are.
+TILE, SKETCH_TILE = 4_000_000, 16_000_000
 _MEMBER_BITS = 20
 
 
@@ -95,7 +102,26 @@ class Bands:
         return n * self.of // self.part
 
 
-def block_keys(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+class Common:
+    """Frequent shingles. Taking them out of two sets never adds to their symmetric difference, so sketches of
+    what is left obey the same bounds, and blocks that are equal share something rare."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.sorted = np.sort(hashes)
+        self.table = np.zeros(1 << 22, bool)
+        self.table[(self.sorted >> np.uint64(42)).astype(np.int64)] = True
+
+    def without(self, hashes: np.ndarray) -> np.ndarray:
+        """Where hashes aren't frequent."""
+        rare = ~self.table[(hashes >> np.uint64(42)).astype(np.int64)]
+        maybe = np.flatnonzero(~rare)
+        at = np.minimum(np.searchsorted(self.sorted, hashes[maybe]), max(0, len(self.sorted) - 1))
+        if len(maybe):
+            rare[maybe] = self.sorted[at] != hashes[maybe]
+        return rare
+
+
+def block_keys(sets: list[np.ndarray], bands: Bands, common: Common | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Join keys of the sets' sketch blocks, and which set each is of."""
     size = np.array([len(s) for s in sets], np.int64)
     if not size.sum():
@@ -111,11 +137,14 @@ def block_keys(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
         hashes = np.concatenate([sets[i] for i in use])
         per, base = blocks[use], np.concatenate([[0], np.cumsum(blocks[use])[:-1]])
         owner = np.repeat(np.arange(len(use)), size[use])
+        if common is not None:
+            rare = common.without(hashes)
+            hashes, owner = hashes[rare], owner[rare]
         # sorted hashes fall into ascending blocks
         cell = base[owner] + ((hashes >> np.uint64(32)) * per[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        lead = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        lead = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])[: len(cell)])
         count = np.diff(np.append(lead, len(cell)))
-        word = np.bitwise_xor.reduceat(np.uint64(1) << (hashes & np.uint64(63)), lead)
+        word = np.bitwise_xor.reduceat(np.uint64(1) << (hashes & np.uint64(63)), lead) if len(lead) else np.zeros(0, np.uint64)
         of, block = owner[lead], cell[lead] - base[owner[lead]]
         telling = count >= 2
         dumb = per - np.bincount(of[telling], minlength=len(use))
@@ -168,64 +197,235 @@ def link_tile(sets: list[np.ndarray], side: np.ndarray | None, bands: Bands) ->
     return out
 
 
+def folded(hashes: np.ndarray, bits: int = FOLD) -> bytes:
+    """A parity sketch of so many bits (a power of two). Its distances are lower bounds, as those of any parity
+    sketch; its halves XORed make the sketch of half the bits."""
+    bit = np.bincount((hashes >> np.uint64(9) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(bit.astype(np.uint8)).tobytes()
+
+
+def wide_bits(n: int) -> int:
+    """Bits with which unrelated sets of that size are told apart: half as many as shingles, FOLD at least."""
+    return max(FOLD, 1 << max(0, (n + 1) // 2 - 1).bit_length())
+
+
+def near_tile(size: np.ndarray, sketches: list[bytes], side: np.ndarray | None, bands: Bands) -> list[tuple[int, int]]:
+    """Pairs within the sketches' bound that connect what all such pairs connect (of different sides, if given)."""
+    order = np.argsort(size, kind="stable")
+    size, n = size[order], len(order)
+    width = np.array([len(sketches[i]) for i in order])
+    first = {w: int(np.searchsorted(width, w)) for w in np.unique(width).tolist()}
+    rows = {w: np.frombuffer(b"".join(sketches[i] for i in order[width == w]), np.uint64).reshape(-1, w // 8) for w in first}
+    halves = {w // 2: (first[w], m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2 :]) for w, m in rows.items()}
+    reach = np.searchsorted(size, bands.largest_partner(size), "right")
+    group, out = np.arange(n), []
+    for i in range(n - 1):
+        w = int(width[i])
+        own = rows[w][i - first[w]]
+        parts = [(first[w], rows[w])] + ([halves[w]] if w in halves else [])
+        for base, matrix in parts:
+            a, b = max(i + 1, base), min(int(reach[i]), base + len(matrix))
+            if a >= b:
+                continue
+            near = np.arange(a, b)
+            near = near[group[near] != group[i]]
+            if side is not None:
+                near = near[side[order[near]] != side[order[i]]]
+            apart = np.bitwise_count(matrix[near - base] ^ own).sum(axis=1, dtype=np.int64)
+            for j in near[apart <= bands.bound(size[near] + size[i])].tolist():
+                if group[j] != group[i]:
+                    out.append((int(order[i]), int(order[j])))
+                    group[group == group[j]] = group[i]
+    return out
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the edges with the least node it is connected to, but for that one itself."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[left], label[right])
+        after = label.copy()
+        np.minimum.at(after, left, low)
+        np.minimum.at(after, right, low)
+        after = after[after]
+        if (after == label).all():
+            rest = label != np.arange(len(nodes))
+            return nodes[rest], nodes[label[rest]]
+        label = after
+
+
 def set_digest(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles and sign (null for an empty set) of every row."""
+    """doc_id, n_shingles, sign, folded and wide sketch (null for an empty set) of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist(), k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_sign(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "sign"])
+            signs = pa.array([set_sign(s) if len(s) else None for s in sets], pa.int64())
+            sketches = pa.array([folded(s) if len(s) else None for s in sets], pa.binary())
+            wide = pa.array([folded(s, wide_bits(len(s))) if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), signs, sketches, wide], ["doc_id", "n_shingles", "sign", "sketch", "wide"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, sign long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, sign long, sketch binary, wide binary")
 
 
-def candidate_edges(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
-    """Edges (a, b) between signs, which connect all classes that share a sketch block's key."""
+def _tiled(members: DataFrame, weight: Column, most: int) -> DataFrame:
+    """members (cluster, sign, ...) with tile, low and high: once for each pair of tiles it is in. A cluster
+    whose weights sum to more than most has more than one tile."""
+    weights = members.groupBy("cluster").agg(F.ceil(F.sum(weight) / most).cast("int").alias("tiles"))
+    members = members.join(weights, "cluster").withColumn("tile", F.pmod(F.xxhash64("sign"), F.col("tiles")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return members.withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")}).drop("tiles", "other")
+
+
+def refined_edges(digest: DataFrame, clusters: DataFrame, bands: Bands) -> DataFrame:
+    """Edges (a, b) within clusters (sign, cluster) that the wide sketches don't rule out; they connect all that
+    such pairs connect."""
+    sketches = digest.where("sign is not null").groupBy("sign").agg(F.min("n_shingles").alias("size"), F.first("wide").alias("wide"))
+    rows = _tiled(clusters.join(sketches, "sign"), F.octet_length("wide") + 64, SKETCH_TILE)
+    rows = rows.select("cluster", "low", "high", "tile", "sign", "size", "wide")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        where = None
+
+        def flush() -> pa.RecordBatch:
+            found = []
+            if len(held) > 1:
+                _, sign, size, wide = zip(*held, strict=True)
+                side = np.array([r[0] for r in held]) if where[1] != where[2] else None
+                found = [(sign[i], sign[j]) for i, j in near_tile(np.array(size, np.int64), list(wide), side, bands)]
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for *at, tile, sign, size, wide in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != where:
+                    if held:
+                        yield flush()
+                    held, where = [], at
+                held.append((tile, sign, size, wide))
+        if held:
+            yield flush()
+
+    return rows.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high").mapInArrow(compare, "a long, b long")
+
+
+def frequent_shingles(docs: DataFrame, rows: int, k: int) -> np.ndarray:
+    """Shingles that OFTEN texts or more of a sample have, which takes about SAMPLE of the rows; there are at
+    most as many of them as the sample has shingles over OFTEN. Any set would do: the choice only thins out
+    buckets, and no link depends on it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = {set_sign(s): s for s in shingle_sets(batch.column(0).to_pylist(), k) if len(s)}
+            if sets:
+                found, n = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["shingle", "n"])
+
+    share = F.shiftrightunsigned(F.xxhash64(F.lit("frequent"), "text"), 11) / float(1 << 53) < min(1.0, SAMPLE / max(1, rows))
+    counts = docs.where(share).select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    return counts.where(F.col("n") >= OFTEN).select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64)
+
+
+def candidate_edges(docs: DataFrame, digest: DataFrame, k: int, bands: Bands) -> DataFrame:
+    """Edges (a, b) between signs, which connect all classes that share a sketch block's key and whose folded
+    sketches and sizes don't rule a link out."""
+
+    frequent = frequent_shingles(docs, digest.count(), k)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (key, sign), and (null, sign, other) for classes of this batch that share a key."""
+        """Rows (key, sign, other). In a batch, a key of CROWD classes or more is sent once, with an edge to
+        each of its other classes; other is then its own sign, which keeps the key's bucket whole."""
+        common = Common(frequent)
         for batch in batches:
             sets = {set_sign(s): s for s in shingle_sets(batch.column(0).to_pylist(), k) if len(s)}
             signs = np.array(list(sets), np.int64)
-            keys, owner = block_keys(list(sets.values()), bands)
-            keys, lead, back = np.unique(keys, return_index=True, return_inverse=True)
-            head = owner[lead][back]
-            pairs = np.unique(np.stack([head, owner])[:, head != owner], axis=1)
-            n = len(keys)
+            keys, owner = block_keys(list(sets.values()), bands, common)
+            if not len(keys):
+                continue
+            order = np.argsort(keys, kind="stable")
+            keys, owner = keys[order].view(np.int64), owner[order]
+            lead = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            count = np.diff(np.append(lead, len(keys)))
+            crowd = np.repeat(count >= CROWD, count)
+            head = np.repeat(owner[lead], count)
+            pairs = np.unique(np.stack([head[crowd], owner[crowd]]), axis=1)
+            one = np.zeros(len(keys), bool)
+            one[lead] = True
+            keep = ~crowd | one
+            own = np.where(crowd, signs[owner], 0)[keep]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.concat_arrays([pa.array(keys.view(np.int64)), pa.nulls(pairs.shape[1], pa.int64())]),
-                    pa.array(np.concatenate([signs[owner[lead]], signs[pairs[0]]]) if len(signs) else np.zeros(0, np.int64)),
-                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(signs[pairs[1]] if len(signs) else np.zeros(0, np.int64))]),
+                    pa.concat_arrays([pa.array(keys[keep]), pa.nulls(pairs.shape[1], pa.int64())]),
+                    pa.array(np.concatenate([signs[owner[keep]], signs[pairs[0]]])),
+                    pa.concat_arrays([pa.array(own, pa.int64(), mask=~crowd[keep]), pa.array(signs[pairs[1]])]),
                 ],
                 ["key", "sign", "other"],
             )
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Edges from each run of equal keys to its first sign; rows with other are edges already."""
-        last, head = None, None
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows whose key has another row (sorted by key), and those that are edges."""
+        held = None
         for batch in batches:
-            ready = batch.filter(batch.column(2).is_valid())
-            rest = batch.filter(batch.column(2).is_null())
-            a, b = [ready.column(1).to_numpy()], [ready.column(2).to_numpy()]
-            if rest.num_rows:
-                key, sign = rest.column(0).to_numpy(), rest.column(1).to_numpy()
-                new = np.concatenate([[last is None or key[0] != last], key[1:] != key[:-1]])
-                first = np.flatnonzero(new)
-                run = np.cumsum(new) - 1
-                heads = np.where(run >= 0, sign[first[np.maximum(run, 0)]] if len(first) else 0, head if head is not None else 0)
-                pick = heads != sign
-                a.append(heads[pick])
-                b.append(sign[pick])
-                last, head = key[-1], heads[-1]
-            found = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+            batch = batch if held is None else pa.concat_batches([held, batch])
+            key = batch.column(0).fill_null(0).to_numpy()
+            edge = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            same = (key[1:] == key[:-1]) & ~edge[1:] & ~edge[:-1]
+            keep = edge | np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            # the last row waits for the next batch; with its neighbour, if that has the same key
+            last = len(key) - (2 if len(same) and same[-1] else 1)
+            yield batch.slice(0, last).filter(pa.array(keep[:last]))
+            held = batch.slice(last)
+        if held is not None and held.num_rows:
+            yield held.filter(pa.array(held.column(0).is_null().to_numpy(zero_copy_only=False) | (held.num_rows > 1)))
 
     sent = docs.select("text").mapInArrow(send, "key long, sign long, other long")
     # edges that are ready are dealt by themselves
     dealt = sent.repartition(F.coalesce("key", F.xxhash64("sign", "other"))).sortWithinPartitions("key")
-    return dealt.mapInArrow(meet, "a long, b long").distinct()
+    shared = materialize(dealt.mapInArrow(share, "key long, sign long, other long").distinct(), "shared")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Edges within the runs of equal keys (sorted by key and size)."""
+        held, tied = None, None
+        for batch in batches:
+            batch = batch if held is None else pa.concat_batches([held, batch])
+            key = batch.column(0).to_numpy()
+            start = int(np.searchsorted(key, key[-1]))
+            if len(key) - start > LARGE:  # too many to wait for: this bucket's rows are all tied together
+                yield edges_of(batch, tied if tied == key[0] else None, key[-1])
+                held, tied = batch.slice(len(key) - 1), key[-1]
+            else:
+                if start:
+                    yield edges_of(batch.slice(0, start), tied if tied == key[0] else None, None)
+                held = batch.slice(start)
+        if held is not None and held.num_rows:
+            yield edges_of(held, tied if tied == held.column(0)[0].as_py() else None, None)
+
+    def edges_of(batch: pa.RecordBatch, tied: int | None, also: int | None) -> pa.RecordBatch:
+        key, sign, size = (batch.column(i).to_numpy() for i in range(3))
+        crowd = batch.column(3).to_numpy(zero_copy_only=False)
+        sketch = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(len(key), -1)
+        lead = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        count = np.diff(np.append(lead, len(key)))
+        whole = np.logical_or.reduceat(crowd, lead) | (count > LARGE) | np.isin(key[lead], [x for x in (tied, also) if x is not None])
+        chain = np.flatnonzero((key[1:] == key[:-1]) & np.repeat(whole, count)[1:])
+        a, b = [sign[chain]], [sign[chain + 1]]
+        at = np.flatnonzero(~np.repeat(whole, count))
+        for step in range(1, int(count[~whole].max(initial=1))):
+            at = at[at + step < len(key)]
+            at = at[key[at] == key[at + step]]
+            fit = at[size[at + step] <= bands.largest_partner(size[at])]
+            near = np.bitwise_count(sketch[fit] ^ sketch[fit + step]).sum(axis=1, dtype=np.int64) <= bands.bound(size[fit] + size[fit + step])
+            a.append(sign[fit[near]])
+            b.append(sign[fit[near] + step])
+        found = forest(np.concatenate(a), np.concatenate(b))
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+
+    sketches = digest.where("sign is not null").groupBy("sign").agg(F.min("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
+    rows = shared.where("key is not null").select("key", "sign", F.col("other").isNotNull().alias("crowd")).join(sketches, "sign")
+    rows = rows.select("key", "sign", "size", "crowd", "sketch").repartition("key").sortWithinPartitions("key", "size")
+    return rows.mapInArrow(meet, "a long, b long").union(shared.where("key is null").select("sign", "other")).distinct()
 
 
 def verified_edges(docs: DataFrame, digest: DataFrame, clusters: DataFrame, k: int, bands: Bands) -> DataFrame:
@@ -234,10 +434,7 @@ def verified_edges(docs: DataFrame, digest: DataFrame, clusters: DataFrame, k: i
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(spread))
     members = clusters.join(digest.groupBy("sign").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles")), "sign")
     members = materialize(members, "members")
-    weights = members.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / TILE).cast("int").alias("tiles"))
-    members = members.join(weights, "cluster").withColumn("tile", F.pmod(F.xxhash64("sign"), F.col("tiles")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    places = members.withColumn("other", other).select("doc_id", "sign", "cluster", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
+    places = _tiled(members, F.col("n_shingles"), TILE).select("doc_id", "sign", "cluster", "tile", "low", "high")
     # a table of occupied slots, 2**20 rows at most, keeps most other texts out of the shuffle
     taken = F.broadcast(members.select(slot.alias("slot_")).distinct())
     texts = docs.select("doc_id", "text").where("doc_id is not null").join(taken, slot == F.col("slot_"), "left_semi")
@@ -269,14 +466,19 @@ def verified_edges(docs: DataFrame, digest: DataFrame, clusters: DataFrame, k: i
     return rows.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high").mapInArrow(link, "a long, b long")
 
 
+def _clusters(roots: DataFrame) -> DataFrame:
+    """(sign, cluster) of all nodes, roots included."""
+    return materialize(roots.select(F.col("node").alias("sign"), F.col("root").alias("cluster")).union(roots.select("root", "root").distinct()), "clusters")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, part: int = 80, of: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for each row; sets link when of * intersection >= part * union."""
     small_batches(docs.sparkSession)
     bands = Bands(part, of)
     digest = materialize(set_digest(docs, k), "sets")
-    roots = components(candidate_edges(docs, k, bands))
-    clusters = roots.select(F.col("node").alias("sign"), F.col("root").alias("cluster")).union(roots.select("root", "root").distinct())
-    links = components(verified_edges(docs, digest, materialize(clusters, "clusters"), k, bands))
+    rough = _clusters(components(candidate_edges(docs, digest, k, bands)))
+    fine = _clusters(components(refined_edges(digest, rough, bands)))
+    links = components(verified_edges(docs, digest, fine, k, bands))
     classes = digest.where("sign is not null").groupBy("sign").agg(F.min("doc_id").alias("least"))
     rooted = classes.join(links.withColumnRenamed("node", "sign"), "sign", "left").withColumn("root", F.coalesce("root", "sign"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
