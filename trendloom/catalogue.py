@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trendloom.plans import corpus, evidence, space
+from trendloom.plans import corpus, evidence, ledger, space
 
-_ALL = (evidence, corpus, space)
+_ALL = (evidence, corpus, space, ledger)
 
 
 def queries() -> dict:
