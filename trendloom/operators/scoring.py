@@ -82,9 +82,9 @@ def _bucket_value(buckets) -> Column:
     return value
 
 
-def scored(states: DataFrame, as_of: date) -> DataFrame:
-    """states with the eight components, total, confidence and stage."""
-    now = as_of.year * 12 + as_of.month - 1
+def scored(states: DataFrame, as_of: date | None) -> DataFrame:
+    """states with the eight components, total, confidence and stage; without as_of, each at its as_of_index."""
+    now = F.col("as_of_index") if as_of is None else F.lit(as_of.year * 12 + as_of.month - 1)
     c, n = F.col("months"), F.col("observation_count")
     df = states.withColumns({"age": F.greatest(F.lit(0), now - month_index(F.col("first_seen"))), "idle": F.greatest(F.lit(0), now - month_index(F.col("last_seen")))})
     active = F.size(F.filter(F.slice(c, 7, 6), lambda x: x > 0))
@@ -150,3 +150,30 @@ def top(scored_states: DataFrame, n: int = 15) -> DataFrame:
     from pyspark.sql import Window
 
     return scored_states.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def prefix_states(evidence: DataFrame, start: date, end: date) -> DataFrame:
+    """A state for each trend and month end from start to end, from the evidence up to it alone: as ``trend_states``
+    at each of these dates, but in one pass. Months are aggregated first; running windows over each trend's own
+    months do the rest. Column as_of_index is the month's index."""
+    from pyspark.sql import Window
+
+    mi = month_index(F.col("event_time"))
+    keys = ["trend_id", "profile"]
+    e = evidence.withColumn("mi", mi)
+    kinds = [x for t in TYPES for x in (F.count_if(F.col("evidence_type") == t).alias(f"k_{t}"), F.min(F.when(F.col("evidence_type") == t, F.col("event_time"))).alias(f"f_{t}"))]
+    monthly = e.groupBy(*keys, "mi").agg(F.count(F.lit(1)).alias("n"), F.min("event_time").alias("lo"), F.max("event_time").alias("hi"), *kinds)
+    fresh = lambda c: e.groupBy(*keys, c).agg(F.min("mi").alias("mi")).groupBy(*keys, "mi").agg(F.count(c).alias(f"new_{c}"))
+    last = end.year * 12 + end.month - 1
+    spine = monthly.groupBy(*keys).agg(F.min("mi").alias("from")).where(F.col("from") <= last).select(*keys, F.explode(F.sequence(F.col("from"), F.lit(last))).alias("mi"))
+    df = spine.join(monthly, [*keys, "mi"], "left").join(fresh("actor"), [*keys, "mi"], "left").join(fresh("provider"), [*keys, "mi"], "left")
+    w = Window.partitionBy(*keys).orderBy("mi")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    total = lambda c: F.coalesce(F.sum(c).over(upto), F.lit(0))
+    months = F.array(*(F.coalesce(F.lag("n", k).over(w), F.lit(0)) for k in range(11, -1, -1)))
+    out = df.select(
+        *keys, F.col("mi").alias("as_of_index"), F.min("lo").over(upto).alias("first_seen"), F.max("hi").over(upto).alias("last_seen"), total("n").alias("observation_count"),
+        total("new_actor").alias("actor_count"), total("new_provider").alias("provider_count"), F.count("n").over(upto).alias("active_periods"), months.alias("months"),
+        *(total(f"k_{t}").alias(f"n_{t}") for t in TYPES), *(F.min(f"f_{t}").over(upto).alias(f"first_{t}") for t in TYPES),
+    )
+    return out.where(F.col("as_of_index") >= start.year * 12 + start.month - 1)
