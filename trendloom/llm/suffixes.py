@@ -29,6 +29,8 @@ from trendloom.llm.common import PrefixHash, groups_of, materialize, small_batch
 LENGTH, GRAM = 400, 128
 #: Batches in which the registered query adds its table; bytes of text at one gram that a task holds at most.
 BATCHES, HELD = 3, 8_000_000
+#: Tasks over which the entries of one gram are dealt.
+PARTS = 64
 _SLOT_BITS = 20
 _ENTRY = "head long, gram long, sign long, at int, low int, high int, around long"
 
@@ -87,7 +89,12 @@ def sparse_suffixes(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                 small = (pa.array(c, pa.int32()) for c in (at, low, high))
                 yield pa.RecordBatch.from_arrays([pa.array(head), pa.array(grams), pa.array(signs[owner]), *small, pa.array(around)], names)
 
-    return texts.select("sign", "text").mapInArrow(run, _ENTRY).repartition("gram").sortWithinPartitions("head", "gram")
+    return _dealt(texts.select("sign", "text").mapInArrow(run, _ENTRY))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Entries dealt by gram, each gram over PARTS tasks (one may hold a third of all), sorted by suffix."""
+    return rows.repartition("gram", F.pmod("sign", F.lit(PARTS))).sortWithinPartitions("head", "gram")
 
 
 class SuffixIndex:
@@ -111,7 +118,7 @@ class SuffixIndex:
         found = materialize(met.where("new and a <> b").select("gram"), "matches")
         rank = 0
         while rank in self.levels:
-            new = materialize(new.union(self.levels.pop(rank)).repartition("gram").sortWithinPartitions("head", "gram"), "suffixes")
+            new = materialize(_dealt(new.union(self.levels.pop(rank))), "suffixes")
             rank += 1
         self.levels[rank] = new
         return found
