@@ -27,7 +27,7 @@ def rows(columns, found):
     def plain(v):
         if isinstance(v, float):
             return None if math.isnan(v) else v
-        return str(v.replace(tzinfo=None))[:19].removesuffix(" 00:00:00") if hasattr(v, "isoformat") else v
+        return str(v)[:19].removesuffix(" 00:00:00") if hasattr(v, "isoformat") else v
 
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return sorted((tuple(plain(r[i]) for i in order) for r in found), key=repr)

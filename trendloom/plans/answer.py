@@ -47,7 +47,7 @@ def result_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trend_cards(spark, sf_dir):
     e, top = _top(spark, sf_dir)
     c = cards(top, e)
-    return c.select("rank", "trend_id", "stage", "score", "first_period", "observation_count", F.size("by_type").cast("long").alias("types"), F.size("trajectory").cast("long").alias("buckets"), F.get(F.col("sources"), F.lit(0))["observation_id"].alias("primary_source"), "country_count", F.size("limitations").cast("long").alias("notes"))
+    return c.select(F.col("rank").cast("long").alias("rank"), "trend_id", "stage", "score", "first_period", "observation_count", F.size("by_type").cast("long").alias("types"), F.size("trajectory").cast("long").alias("buckets"), F.get(F.col("sources"), F.lit(0))["observation_id"].alias("primary_source"), "country_count", F.size("limitations").cast("long").alias("notes"))
 
 
 def analyze(spark: SparkSession, sf_dir: str, profile: str) -> DataFrame:
@@ -57,7 +57,7 @@ def analyze(spark: SparkSession, sf_dir: str, profile: str) -> DataFrame:
 
 
 def analyze_software(spark, sf_dir):
-    return analyze(spark, sf_dir, "software_ai").select("rank", "trend_id", "stage", "score", "observation_count")
+    return analyze(spark, sf_dir, "software_ai").select(F.col("rank").cast("long").alias("rank"), "trend_id", "stage", "score", "observation_count")
 
 
 _AT = [date(1996, 6, 30), date(1997, 6, 30), date(1997, 12, 31)]

@@ -123,7 +123,7 @@ def score_components_all(spark, sf_dir):
 def rank_top15_emerging(spark, sf_dir):
     found = scoring.scored(scoring.trend_states(evidence(spark, sf_dir), AS_OF), AS_OF)
     exact = found.withColumns({"total": F.round("total", 6), "confidence": F.round("confidence", 6)})
-    return _rounded(scoring.top(exact), "rank", "trend_id", "profile", "observation_count")
+    return _rounded(scoring.top(exact).withColumn("rank", F.col("rank").cast("long")), "rank", "trend_id", "profile", "observation_count")
 
 
 def score_mature(spark, sf_dir):
@@ -181,7 +181,7 @@ def trajectory_last12(spark, sf_dir):
 
 
 def representative_sources(spark, sf_dir):
-    return units.representative_sources(evidence(spark, sf_dir), 5).select("trend_id", "place", "observation_id", "evidence_type", "priority")
+    return units.representative_sources(evidence(spark, sf_dir), 5).select("trend_id", F.col("place").cast("long").alias("place"), "observation_id", "evidence_type", "priority")
 
 
 def country_count(spark, sf_dir):

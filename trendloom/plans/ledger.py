@@ -12,6 +12,11 @@ from trendloom.plans.evidence import AS_OF, EVIDENCE_SQL, evidence, read
 from trendloom.sources import projections, store
 
 
+def _texts(df, *dates):
+    """df with dates as text, which both engines write alike."""
+    return df.withColumns({c: F.col(c).cast("string") for c in dates})
+
+
 def _batches(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     old = e.where("event_id % 3 <> 0").select("event_id", "event_type", "value", "ts")
@@ -54,7 +59,7 @@ def upsert_from_json_props(spark, sf_dir):
 
 def backfill_windows(spark, sf_dir):
     first = evidence(spark, sf_dir).groupBy("trend_id", "profile").agg(F.min("event_time").alias("first_seen"))
-    return backfill.windows(first, AS_OF)
+    return _texts(backfill.windows(first, AS_OF), "start", "end")
 
 
 def _daily(spark, sf_dir):
@@ -66,17 +71,17 @@ def _daily(spark, sf_dir):
 
 
 def first_sustained_period(spark, sf_dir):
-    return timeline.sustained(_daily(spark, sf_dir))
+    return _texts(timeline.sustained(_daily(spark, sf_dir)), "first_active", "first_sustained")
 
 
 def prefix_timeline(spark, sf_dir):
-    return timeline.prefix_sustained(_daily(spark, sf_dir))
+    return _texts(timeline.prefix_sustained(_daily(spark, sf_dir)), "period", "first_sustained")
 
 
 def first_useful_signal(spark, sf_dir):
     """First day on which a sustained case has ten events or more, and its lead on the end of the month."""
     t = timeline.prefix_sustained(_daily(spark, sf_dir)).where("first_sustained is not null and running >= 10")
-    return t.groupBy("case_id").agg(F.min("period").alias("useful")).select("case_id", "useful", F.datediff(F.lit(date(2024, 1, 31)), F.col("useful")).cast("long").alias("lead_days"), (F.datediff(F.lit(date(2024, 1, 31)), F.col("useful")) >= 3).alias("target_met"))
+    return t.groupBy("case_id").agg(F.min("period").alias("useful")).select("case_id", F.col("useful").cast("string").alias("useful"), F.datediff(F.lit(date(2024, 1, 31)), F.col("useful")).cast("long").alias("lead_days"), (F.datediff(F.lit(date(2024, 1, 31)), F.col("useful")) >= 3).alias("target_met"))
 
 
 def pre_origin_counts(spark, sf_dir):
@@ -86,13 +91,13 @@ def pre_origin_counts(spark, sf_dir):
 
 def calendar_months(spark, sf_dir):
     o = read(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.to_date(F.min("o_orderdate")).alias("a"), F.to_date(F.max("o_orderdate")).alias("b"))
-    return o.select("o_orderpriority", F.explode(timeline.calendar_windows(F.col("a"), F.col("b"))).alias("w")).select("o_orderpriority", "w.*")
+    return o.select("o_orderpriority", F.explode(timeline.calendar_windows(F.col("a"), F.col("b"))).alias("w")).select("o_orderpriority", "w.period", F.col("w.start").cast("string").alias("start"), F.col("w.end").cast("string").alias("end"))
 
 
 def month_arithmetic(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     d = F.col("o_orderdate")
-    return o.select("o_orderkey", scalars.month_key(d).alias("month"), scalars.shift_month(d, -7).alias("back"), scalars.month_distance(F.lit(AS_OF), d).cast("long").alias("distance"))
+    return o.select("o_orderkey", scalars.month_key(d).alias("month"), scalars.shift_month(d, -7).cast("string").alias("back"), scalars.month_distance(F.lit(AS_OF), d).cast("long").alias("distance"))
 
 
 def stable_ids(spark, sf_dir):
@@ -117,7 +122,7 @@ def actors_capped(spark, sf_dir):
 
 def top_labels(spark, sf_dir):
     line = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    return backfill.top_labels(line.select(F.col("l_suppkey").alias("s"), F.array("p_brand").alias("labels"), F.col("l_orderkey").alias("seq")), "s", "labels").select("s", "place", "label", "n")
+    return backfill.top_labels(line.select(F.col("l_suppkey").alias("s"), F.array("p_brand").alias("labels"), F.col("l_orderkey").alias("seq")), "s", "labels").select("s", F.col("place").cast("long").alias("place"), "label", "n")
 
 
 def _graph(spark, sf_dir):
@@ -189,13 +194,13 @@ QUERIES = {
       b as (select *, (date '1997-12-01' - to_months(m0 - 1))::date as s0, (date '1997-12-01' - to_months(m2 - 1))::date as lim from t),
       w as (select trend_id, 0 as step, greatest(lim, s0) as s, date '1997-12-31' as e, fs, m1, m3, lim from b union all
         select trend_id, step + 1, greatest(lim, (s - to_months(m1))::date), s - 1, fs, m1, m3, lim from w where s > lim and fs < s + to_months(m3) and step < 12)
-      select trend_id, step, s as "start", e as "end" from w"""),
-    "first_sustained_period": (first_sustained_period, f"with {_DAILY} select case_id, min(period) filter (n > 0) as first_active, min(period) filter (n > 0 and (n1 > 0 or n2 > 0)) as first_sustained from l group by case_id"),
-    "prefix_timeline": (prefix_timeline, f"with {_DAILY} select * from t"),
-    "first_useful_signal": (first_useful_signal, f"with {_DAILY} select case_id, min(period) as useful, date_diff('day', min(period), date '2024-01-31') as lead_days, date_diff('day', min(period), date '2024-01-31') >= 3 as target_met from t where first_sustained is not null and running >= 10 group by case_id"),
+      select trend_id, step, s::varchar as "start", e::varchar as "end" from w"""),
+    "first_sustained_period": (first_sustained_period, f"with {_DAILY} select case_id, (min(period) filter (n > 0))::varchar as first_active, (min(period) filter (n > 0 and (n1 > 0 or n2 > 0)))::varchar as first_sustained from l group by case_id"),
+    "prefix_timeline": (prefix_timeline, f"with {_DAILY} select case_id, period::varchar as period, n, first_sustained::varchar as first_sustained, running from t"),
+    "first_useful_signal": (first_useful_signal, f"with {_DAILY} select case_id, min(period)::varchar as useful, date_diff('day', min(period), date '2024-01-31') as lead_days, date_diff('day', min(period), date '2024-01-31') >= 3 as target_met from t where first_sustained is not null and running >= 10 group by case_id"),
     "pre_origin_counts": (pre_origin_counts, f"with {_DAILY} select case_id, sum(case when period < date '2024-01-10' then n else 0 end)::bigint as started_before, sum(case when period + 2 < date '2024-01-10' then n else 0 end)::bigint as ended_before from d group by case_id"),
-    "calendar_months": (calendar_months, "with o as (select o_orderpriority, min(o_orderdate)::date as a, max(o_orderdate)::date as b from orders group by 1), m as (select *, unnest(generate_series(date_trunc('month', a), date_trunc('month', b), interval 1 month))::date as d from o) select o_orderpriority, strftime(d, '%Y-%m') as period, greatest(d, a) as \"start\", least(last_day(d), b) as \"end\" from m"),
-    "month_arithmetic": (month_arithmetic, "select o_orderkey, strftime(o_orderdate, '%Y-%m') as month, (date_trunc('month', o_orderdate) - interval 7 month)::date as back, greatest(0, 1997 * 12 + 11 - (year(o_orderdate) * 12 + month(o_orderdate) - 1)) as distance from orders"),
+    "calendar_months": (calendar_months, "with o as (select o_orderpriority, min(o_orderdate)::date as a, max(o_orderdate)::date as b from orders group by 1), m as (select *, unnest(generate_series(date_trunc('month', a), date_trunc('month', b), interval 1 month))::date as d from o) select o_orderpriority, strftime(d, '%Y-%m') as period, greatest(d, a)::varchar as \"start\", least(last_day(d), b)::varchar as \"end\" from m"),
+    "month_arithmetic": (month_arithmetic, "select o_orderkey, strftime(o_orderdate, '%Y-%m') as month, (date_trunc('month', o_orderdate) - interval 7 month)::date::varchar as back, greatest(0, 1997 * 12 + 11 - (year(o_orderdate) * 12 + month(o_orderdate) - 1)) as distance from orders"),
     "stable_ids": (stable_ids, "select o_custkey, 'micro:mixed:' || substr(sha256('mixed' || chr(10) || string_agg(o_orderkey::varchar, chr(10) order by o_orderkey::varchar)), 1, 16) as cluster_id from orders group by o_custkey"),
     "abstract_rebuild": (abstract_rebuild, r"select conv_id, turn, regexp_replace(trim(text, ' '), '\s+', ' ', 'g') as abstract from conversations"),
     "actors_capped": (actors_capped, "with f as (select l_partkey, l_suppkey, min(l_orderkey * 100 + l_linenumber) as k from lineitem group by all), r as (select *, row_number() over (partition by l_partkey order by k, l_suppkey) as rn from f) select l_partkey, string_agg(l_suppkey::varchar, ',' order by rn) filter (rn <= 20) as actors, count(*) as total, count(*) > 20 as truncated from r group by l_partkey"),
