@@ -246,7 +246,7 @@ def removed_lines(rows):
             if len(z) >= lines.MIN_CHARS:
                 places[z].append((d, p))
     names = list(places)
-    sets = [{(a, b[:8]) for a, b in zip(z.split(" "), [*z.split(" ")[1:], ""], strict=True)} for z in names]
+    sets = [set(re.findall(r"(?=(\S.{0,15}))\S+", z)) for z in names]
     links, holders = [], collections.defaultdict(list)
     for i, s in enumerate(sets):
         shared = collections.Counter(j for g in s for j in holders[g])
@@ -270,7 +270,7 @@ def test_line_dedup_against_all_pairs(small):
 
 
 def test_line_dedup_edges(make):
-    long = "the quick brown fox jumps over the lazy dog and runs away from all the other animals of the wide forest near our old small town"
+    long = "the quick brown fox jumps over the lazy dog and runs away from all the other animals of the wide forest near our old small town while seven grey wolves watch from their hill and wait until dark night falls over every quiet house below"
     rows = [(1, long + "\nshort\n" + long), (2, "short\n  " + long.upper() + " "), (3, None), (4, ""), (5, long.replace("lazy", "tired") + "\n" + "ü" * 30)]
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in lines.dedup_lines(make(rows)).collect()}
     assert got == {1: (long + "\nshort", 3, 1), 2: ("short", 2, 1), 3: (None, 0, 0), 4: ("", 1, 0), 5: ("ü" * 30, 2, 1)}
