@@ -1,5 +1,6 @@
 """Golden scenarios of single operators."""
 
+import hashlib
 import json
 from datetime import date, datetime
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trendloom.functions import scalars, text, vectors
 from trendloom.operators import clustering, dedup, gates, metrics, routing, scoring, state, units
-from trendloom.sources import projections, store
+from trendloom.sources import projections, specs, store
 from trendloom.sources.pages import PageSource
 from trendloom.streaming import collect
 
@@ -280,3 +281,24 @@ def test_store_round_trip(spark, tmp_path):
     assert sum(r.record_count for r in store.manifest(spark.read.json(str(tmp_path / "raw"))).collect()) == 2
     with pytest.raises(ValueError):
         store.list_observations(back, limit=0)
+
+
+def test_query_specs(spark):
+    shape = "technology_direction string, source_profile string, from_date date, to_date date, query_text string, query_id string, per_page int, max_pages int, extra_filters array<string>"
+    rows = [("AI", "p", date(2024, 1, 1), date(2024, 2, 1), None, None, 100, 1, ["a:b"]), (" ", "p", date(2024, 3, 1), date(2024, 2, 1), None, "x", 500, 0, [])]
+    good, bad = specs.works(spark.createDataFrame(rows, shape)).collect()
+    assert good.violations == [] and good.effective_id == "openalex:" + hashlib.sha1(b"ai|p|2024-01-01|2024-02-01|ai|a:b").hexdigest()[:12]
+    assert good.filter == "from_publication_date:2024-01-01,to_publication_date:2024-02-01,a:b"
+    assert bad.violations == ["technology_direction", "dates", "per_page", "max_pages"] and bad.effective_id == "x"
+    h = spark.createDataFrame([("o/n", "d", "p", ["a"], []), ("on", "d", "p", [" "], [])], "repository string, technology_direction string, source_profile string, aliases array<string>, distinctive_terms array<string>")
+    assert [r.violations for r in specs.histories(h).collect()] == [[], ["repository", "terms"]]
+    e = spark.createDataFrame([("D", "p", "ti=x", None, 25, 2), ("D", "p", "a\nb", None, 26, 21)], "technology_direction string, source_profile string, cql string, query_id string, per_page int, max_pages int")
+    assert [r.violations for r in specs.patents(e).collect()] == [[], ["cql", "per_page", "max_pages"]]
+
+
+def test_events_from_the_future_are_errors(spark):
+    from trendloom.operators import bridge
+
+    df = spark.createDataFrame([(1, "r", "o", datetime(2030, 1, 1), True, datetime(2026, 1, 1))], "trend_id int, repository string, observation_id string, published_at timestamp, eligible boolean, observed_at timestamp")
+    with pytest.raises(Exception, match="future"):
+        bridge.labelled(df).collect()

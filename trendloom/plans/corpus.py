@@ -171,6 +171,7 @@ def _router_sql() -> str:
 
 
 def _tf(p: str, tf: str) -> str:
+    """Unit TF-IDF vectors v (g, d, term, w, df, n) of src (g, d, t)."""
     return f"""words as (select g, d, list_filter(regexp_extract_all(lower(t), '{p}'), lambda x: length(x) >= 2) as w from src),
   terms as (select g, d, unnest(w || [w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) as term from words),
   tf as (select g, d, term, count(*) as tf from terms group by all),
@@ -201,15 +202,23 @@ QUERIES = {
       from c x join c y on x.block = y.block and x.id < y.id where len(x.k) >= 4 and len(y.k) >= 4) select a, b, round(least(j, 1 - d / 64.0), 6) as similarity from p where j >= 0.6 and d <= 16"""),
     "dedup_greedy_resolution": (dedup_greedy_resolution, None),
     "router_classify": (router_classify, _router_sql()),
-    "router_directions": (router_directions, None),
+    "router_directions": (router_directions, "select * from (values (1, 'software_ai', 0.95::double, 'framework|ai agent|ai'), (2, 'materials_energy', 0.95, 'solid-state battery|electrolyte|battery'), (3, 'bio_medtech', 0.95, 'gene editing|therapy'), (4, 'hardware_semiconductor', 0.95, 'quantum processor|processor|chip'), (5, 'mixed', 0.25, ''), (6, 'mixed', 0.55, 'drug discovery|software|protein|ai'), (7, 'software_ai', 0.95, 'ии агент|ии')) t(id, profile, confidence, matched)"),
     "term_match_events": (term_match_events, r"""with d as (select conv_id, turn, text, lower(text) as l, ' ' || regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}_]+', ' ', 'g') || ' ' as w from conversations),
       c as (select *, list_filter(['er', 'un'], lambda x: contains(l, x)) as ctx from d),
       h as (select *, list_filter(['Ouwhea', 'tion'], lambda x: case when x = 'Ouwhea' then contains(text, x) else contains(l, x) end) || list_filter(['of the', 'and'], lambda x: case when x = 'of the' then contains(l, x) else contains(w, ' ' || x || ' ') and len(ctx) > 0 end) as hits from c)
       select conv_id, turn, case when len(hits) > 0 then array_to_string(hits || ctx, '|') else '' end as terms from h"""),
     "query_terms": (query_terms, "select conv_id, turn, array_to_string(list_filter(['then', 'tion', 'under', 'que', 'les', 'edthe'], lambda x: contains(lower(text), x)), '|') as terms from conversations where role = 'user'"),
     "tfidf_top_terms": (tfidf_top_terms, f"with src as (select 'all' as g, item_id as d, text as t from benchmark), {_tf(_WORDS, '(1 + ln(tf))')} select term, round(sum(w), 6) as weight, max(df) as df from v group by term"),
-    "lexical_medoid": (lexical_medoid, None),
-    "sample_gate_counts": (sample_gate_counts, None),
+    "lexical_medoid": (lexical_medoid, f"""with src as (select source as g, doc_id as d, {_TITLE} as t from documents), {_tf(_WORDS[:-1] + f"[{_WORDS[1:-2]}-]*" + _WORDS[:-1], 'tf')},
+      tot as (select g, term, sum(w) as s from v group by all), m as (select v.g, v.d, round(sum(w * s) / max(n), 6) as mean from v join tot on v.g = tot.g and v.term = tot.term group by all)
+      select g as source, d as doc_id from m qualify row_number() over (partition by g order by mean desc, d) = 1"""),
+    "sample_gate_counts": (sample_gate_counts, f"""with cases as (select 'src' || item_id as g, text as a from benchmark where item_id < 20), samples as (select source as g, doc_id as d, substr(text, 1, 300) as t from documents where source in (select g from cases)),
+      src as (select * from samples union all select g, -1, a from cases), {_tf(f"[{_WORDS[1:-2]}-]" + "{2,}", '(1 + ln(tf))')},
+      cos as (select x.g, x.d, sum(x.w * y.w) as c from v x join v y on x.g = y.g and x.term = y.term and y.d = -1 where x.d <> -1 group by all),
+      k as (select g, d, list_distinct(list_filter([trim(x, '-') for x in regexp_extract_all(lower(t), '[{_WORDS[1:-2]}-]+')], lambda x: length(x) >= 3)) as k from src),
+      s as (select a.g, a.d, coalesce(c, 0) as c, len(list_intersect(b.k, a.k)) / len(b.k)::double as cov from k a join k b on a.g = b.g and b.d = -1 left join cos on cos.g = a.g and cos.d = a.d where a.d <> -1),
+      n as (select g as case_id, count(*) as samples, count(*) filter (c >= 0.05 and cov >= 0.2) as matched, round(avg(c), 5) as cosine, round(avg(cov), 5) as coverage from s group by g)
+      select *, (case when matched = 0 then 0 when matched = 1 then 1 else least(samples * 7, greatest(matched, round_even(samples * 7 * (matched / samples::double), 0)::bigint)) end)::bigint as estimated from n"""),
     "estimate_rules": (estimate_rules, "select raw, samples, matched, (case when matched = 0 then 0 when raw <= samples then least(raw, matched) when matched = 1 then 1 else least(raw, greatest(matched, round_even(raw * (matched / samples::double), 0)::bigint)) end)::bigint as estimated from range(40) a(raw), range(1, 12) b(samples), range(12) c(matched) where matched <= samples"),
     "event_local_gate": (event_local_gate, None),
     "confusion_by_split": (confusion_by_split, f"""with d as (select lang, quality = 1 as e, {_RULE} as p from documents join labels using (doc_id)), c as (select lang, count(*) filter (e and p) as tp, count(*) filter (not e and p) as fp, count(*) filter (e and not p) as fn, count(*) filter (not e and not p) as tn from d group by lang)

@@ -7,9 +7,9 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from trendloom.functions import scalars
-from trendloom.operators import backfill, lineage, state, timeline
+from trendloom.operators import backfill, bridge, lineage, state, timeline
 from trendloom.plans.evidence import AS_OF, EVIDENCE_SQL, evidence, read
-from trendloom.sources import projections, store
+from trendloom.sources import projections, specs, store
 
 
 def _texts(df, *dates):
@@ -162,6 +162,17 @@ def lineage_verdicts(spark, sf_dir):
     return lineage.verdicts(spark.createDataFrame(cases, shape), files, below)
 
 
+def bridge_events(spark, sf_dir):
+    """Order lines as dated events of repositories (the supplier's nation) of a trend."""
+    e = evidence(spark, sf_dir).select("trend_id", F.col("unit_key").alias("repository"), "observation_id", F.col("event_time").alias("published_at"), F.col("verified").alias("eligible"), F.to_timestamp(F.lit("2030-01-01")).alias("observed_at"))
+    return bridge.labelled(e).groupBy("trend_id", "label").agg(F.count(F.lit(1)).alias("n"), F.min("published_at").alias("first"))
+
+
+def monthly_samples(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    return specs.monthly_samples(o, "o_orderpriority", "o_orderdate", ["o_orderdate", "o_orderkey"]).select("o_orderpriority", "period", "n", F.array_join(F.transform("samples", lambda x: x.cast("string")), ",").alias("samples"))
+
+
 def events_tumbling(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     return e.groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
@@ -209,6 +220,8 @@ QUERIES = {
       r as (select repo, k as a, k as s, 0::bigint as depth from o where k % 11 = 0 union all select r.repo, r.a, e.k, depth + 1 from r join e on e.repo = r.repo and e.pk = r.s) select repo, a::varchar as anchor_sha, s::varchar as sha, depth from r"""),
     "rename_chain": (rename_chain, "select * from (values (1, 'm3.py', 2, 'no_more_verified_renames'), (2, 'm3.py', 0, 'no_more_verified_renames'), (3, 'm1.py', 0, 'no_more_verified_renames')) t(case_id, path, hops, reason)"),
     "lineage_verdicts": (lineage_verdicts, "select * from (values (1, 'supporting', 'confirmed_ancestor_and_same_module_source_change'), (2, 'rejected', 'no_executable_changes_to_confirmed_module'), (3, 'rejected', 'not_confirmed_descendant'), (4, 'rejected', 'cross_repository'), (5, 'rejected', 'candidate_not_later_than_verified_anchor'), (6, 'rejected', 'same_commit_is_not_supporting_activity'), (7, 'review_required', 'no_verified_anchor_source_paths')) t(case_id, verdict, reason)"),
+    "bridge_events": (bridge_events, f"with {EVIDENCE_SQL}, r as (select *, row_number() over (partition by trend_id, unit_key, verified order by event_time, observation_id) as rn from evidence) select trend_id, case when not verified then 'rejected' when rn = 1 then 'accepted' else 'later_supporting' end as label, count(*) as n, min(event_time) as first from r group by all"),
+    "monthly_samples": (monthly_samples, "with r as (select *, strftime(o_orderdate, '%Y-%m') as period, row_number() over (partition by o_orderpriority, strftime(o_orderdate, '%Y-%m') order by o_orderdate, o_orderkey) as rn from orders) select o_orderpriority, period, count(*) as n, string_agg(o_orderkey::varchar, ',' order by rn) filter (rn <= 15) as samples from r group by all"),
     "events_tumbling": (events_tumbling, "select time_bucket(interval 6 hours, ts, timestamp '2024-01-01') as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by all"),
     "events_session": (events_session, "with l as (select user_id, ts, case when ts - lag(ts) over w < interval 2 hours then 0 else 1 end as new from events window w as (partition by user_id order by ts)), s as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as sid from l) select user_id, min(ts) as start, count(*) as n from s group by user_id, sid"),
 }
