@@ -302,3 +302,14 @@ def test_events_from_the_future_are_errors(spark):
     df = spark.createDataFrame([(1, "r", "o", datetime(2030, 1, 1), True, datetime(2026, 1, 1))], "trend_id int, repository string, observation_id string, published_at timestamp, eligible boolean, observed_at timestamp")
     with pytest.raises(Exception, match="future"):
         bridge.labelled(df).collect()
+
+
+def test_materialized_tables_can_be_removed(spark):
+    from trendloom.sources import shared
+
+    df = shared.materialize(spark.range(3), "x")
+    assert df.count() == 3
+    files = df.inputFiles()
+    shared.clean_up(spark)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0])
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)

@@ -22,3 +22,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_root(df.sparkSession)}/trendloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove all tables that ``materialize`` has written to the shared folder. Results that still read them
+    must have been written elsewhere before."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/trendloom")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
