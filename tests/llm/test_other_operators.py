@@ -194,7 +194,7 @@ def test_pipeline_stages(spark):
     columns, docs = docs.columns, docs.union(extra)
     n = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = materialize(stage(spark, docs, DATA), name)
+        docs = materialize(stage(spark, docs, DATA), name, keep=True)
         assert docs.columns == columns
         n[name] = docs.count()
         assert docs.where("doc_id > 9000").count() == 0

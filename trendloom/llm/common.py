@@ -22,15 +22,28 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+_temporary: list[str] = []
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends here, and a lost executor
-    costs only the tasks that read the files."""
+    costs only the tasks that read the files. ``release`` removes what isn't to be kept."""
     spark = df.sparkSession
     path = f"{shared_root(spark).rstrip('/')}/trendloom/{name}-{uuid.uuid4().hex}"
+    if not keep:
+        _temporary.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Remove the tables that operators have written so far. Results that read them must have been written."""
+    jvm = spark.sparkContext._jvm
+    while _temporary:
+        path = jvm.org.apache.hadoop.fs.Path(_temporary.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of an Arrow batch, so that a batch of long texts fits a Python worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
