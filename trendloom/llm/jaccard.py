@@ -369,8 +369,11 @@ def candidate_edges(docs: DataFrame, digest: DataFrame, k: int, bands: Bands) ->
         held = None
         for batch in batches:
             batch = batch if held is None else pa.concat_batches([held, batch])
-            key = batch.column(0).fill_null(0).to_numpy()
+            key, sign = batch.column(0).fill_null(0).to_numpy(), batch.column(1).to_numpy()
             edge = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            # copies of a text send the same rows from several tasks; a crowded one comes first and stays
+            fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (sign[1:] != sign[:-1]) | edge[1:]])
+            batch, key, edge = batch.filter(pa.array(fresh)), key[fresh], edge[fresh]
             same = (key[1:] == key[:-1]) & ~edge[1:] & ~edge[:-1]
             keep = edge | np.concatenate([[False], same]) | np.concatenate([same, [False]])
             # the last row waits for the next batch; with its neighbour, if that has the same key
@@ -382,8 +385,8 @@ def candidate_edges(docs: DataFrame, digest: DataFrame, k: int, bands: Bands) ->
 
     sent = docs.select("text").mapInArrow(send, "key long, sign long, other long")
     # edges that are ready are dealt by themselves
-    dealt = sent.repartition(F.coalesce("key", F.xxhash64("sign", "other"))).sortWithinPartitions("key")
-    shared = materialize(dealt.mapInArrow(share, "key long, sign long, other long").distinct(), "shared")
+    dealt = sent.repartition(F.coalesce("key", F.xxhash64("sign", "other"))).sortWithinPartitions("key", "sign", F.col("other").desc_nulls_last())
+    shared = materialize(dealt.mapInArrow(share, "key long, sign long, other long"), "shared")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Edges within the runs of equal keys (sorted by key and size)."""
@@ -405,7 +408,10 @@ def candidate_edges(docs: DataFrame, digest: DataFrame, k: int, bands: Bands) ->
     def edges_of(batch: pa.RecordBatch, tied: int | None, also: int | None) -> pa.RecordBatch:
         key, sign, size = (batch.column(i).to_numpy() for i in range(3))
         crowd = batch.column(3).to_numpy(zero_copy_only=False)
-        sketch = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(len(key), -1)
+        has = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+        sketch = np.zeros((len(key), FOLD // 64), np.uint64)
+        if has.any():
+            sketch[has] = np.frombuffer(b"".join(batch.column(4).drop_null().to_pylist()), np.uint64).reshape(-1, FOLD // 64)
         lead = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         count = np.diff(np.append(lead, len(key)))
         whole = np.logical_or.reduceat(crowd, lead) | (count > LARGE) | np.isin(key[lead], [x for x in (tied, also) if x is not None])
@@ -417,12 +423,16 @@ def candidate_edges(docs: DataFrame, digest: DataFrame, k: int, bands: Bands) ->
             at = at[key[at] == key[at + step]]
             fit = at[size[at + step] <= bands.largest_partner(size[at])]
             near = np.bitwise_count(sketch[fit] ^ sketch[fit + step]).sum(axis=1, dtype=np.int64) <= bands.bound(size[fit] + size[fit + step])
+            near |= ~(has[fit] & has[fit + step])  # left to the wide sketches
             a.append(sign[fit[near]])
             b.append(sign[fit[near] + step])
         found = forest(np.concatenate(a), np.concatenate(b))
         return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
 
     sketches = digest.where("sign is not null").groupBy("sign").agg(F.min("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
+    # folded sketches of large sets can't rule anything out
+    telling = F.lit(2) * (bands.of - bands.part) * F.col("size") < F.lit((bands.of + bands.part) * FOLD * 45 // 100)
+    sketches = sketches.withColumn("sketch", F.when(telling, F.col("sketch")))
     rows = shared.where("key is not null").select("key", "sign", F.col("other").isNotNull().alias("crowd")).join(sketches, "sign")
     rows = rows.select("key", "sign", "size", "crowd", "sketch").repartition("key").sortWithinPartitions("key", "size")
     return rows.mapInArrow(meet, "a long, b long").union(shared.where("key is null").select("sign", "other")).distinct()
