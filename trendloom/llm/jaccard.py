@@ -7,8 +7,8 @@ in at most D = (1 - t) / (1 + t) * (n_a + n_b) shingles. So:
 1. Sets are hashed to one number each; equal sets are one class from here on.
 2. For each band of sizes a sketch has more blocks than a linked pair can differ in, so some block is equal
    in both: classes are joined on (band, block, the block's parity word and count). Blocks of fewer than two
-   shingles say little; there are enough blocks to do without them, and a set with too many such blocks sends
-   all it has. Shingles that are frequent in a sample are taken out of all sets before. A task sends a crowded
+   shingles (or none, for low thresholds) say little; there are enough blocks to do without them, and a set
+   with too many such blocks sends all it has. Shingles that are frequent in a sample are taken out of all sets before. A task sends a crowded
    key once and ties its other classes to that one, so a large group of near copies is thinned before the
    shuffle.
 3. Classes that share a key, and whose sizes and folded sketches don't rule a link out, form a candidate
@@ -89,7 +89,11 @@ class Bands:
         self.starts = np.array(starts, np.int64)
         # a linked pair whose larger set lies in a band differs in so many shingles at most
         self.differ = self.bound(2 * (self.starts[1:] - 1))
-        self.blocks = np.where(self.differ > 0, self.differ + 1 + (self.differ + 1) * 3 // 10 + 2, 0)
+        # shingles in a block of a band's smallest sets: where they are few, blocks of one shingle are sent, too,
+        # and fewer blocks are spare, which keeps blocks larger
+        mean = part / of / (1.2 * 1.3 * 2 * (of - part) / (of + part))
+        self.least, spare = (2, 30) if np.exp(-mean) * (1 + mean) < 0.2 else (1, 8)
+        self.blocks = np.where(self.differ > 0, self.differ + 1 + (self.differ + 1) * spare // 100 + 2, 0)
 
     def bound(self, sizes: np.ndarray) -> np.ndarray:
         """The largest symmetric difference of a linked pair whose sizes sum to that."""
@@ -146,7 +150,7 @@ def block_keys(sets: list[np.ndarray], bands: Bands, common: Common | None = Non
         count = np.diff(np.append(lead, len(cell)))
         word = np.bitwise_xor.reduceat(np.uint64(1) << (hashes & np.uint64(63)), lead) if len(lead) else np.zeros(0, np.uint64)
         of, block = owner[lead], cell[lead] - base[owner[lead]]
-        telling = count >= 2
+        telling = count >= bands.least
         dumb = per - np.bincount(of[telling], minlength=len(use))
         spare = per - bands.differ[scheme[use]] - 1
         send = telling | (dumb > spare)[of]
