@@ -280,3 +280,42 @@ def test_line_dedup_edges(make):
 def test_line_dedup_runs_no_python(make):
     plan = lines.dedup_lines(make([(1, "x")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_line_dedup_finds_lines_with_edited_words(make):
+    words = "the quick brown fox jumps over the lazy dog and runs away from all the other animals of the wide forest near our old small town".split()
+    longer = words + "while seven grey wolves watch".split()
+    one, two = list(words[:25]), list(longer)
+    one[12] = "far"
+    two[0], two[30] = "dry", "cat"
+    pairs = [(" ".join(words[:25]), " ".join(one)), (" ".join(longer), " ".join(two))]
+    rows = [(2 * i + j, x) for i, p in enumerate(pairs) for j, x in enumerate(p)]
+    assert [r.n_removed for r in sorted(lines.dedup_lines(make(rows)).collect())] == [0, 1, 0, 1]
+
+
+def all_shingles_removed(rows):
+    """Lines that go by all pairs of distinct lines, with a shingle at each character."""
+    first = {}
+    for d, x in rows:
+        for p, line in enumerate((x or "").split("\n")):
+            if len(z := line.strip(" ").lower()) >= lines.MIN_CHARS:
+                first.setdefault(z, []).append((d, p))
+    names = list(first)
+    sets = [{z[i : i + 8] for i in range(len(z) - 7)} for z in names]
+    links, holders = [], collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        shared = collections.Counter(j for g in s for j in holders[g])
+        links += [(i, j) for j, n in shared.items() if 100 * n >= 80 * (len(s) + len(sets[j]) - n)]
+        for g in s:
+            holders[g].append(i)
+    root = roots(len(names), links)
+    groups = collections.defaultdict(list)
+    for z, r in zip(names, root, strict=True):
+        groups[r] += first[z]
+    return {o for places in groups.values() for o in places if o != min(places)}
+
+
+def test_line_dedup_against_all_pairs_of_whole_lines(small):
+    df, rows = small
+    gone = collections.Counter(d for d, _ in all_shingles_removed(rows))
+    assert {r.doc_id: r.n_removed for r in lines.dedup_lines(df).collect()} == {d: gone[d] for d, _ in rows}
