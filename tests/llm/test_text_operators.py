@@ -319,3 +319,11 @@ def test_line_dedup_against_all_pairs_of_whole_lines(small):
     df, rows = small
     gone = collections.Counter(d for d, _ in all_shingles_removed(rows))
     assert {r.doc_id: r.n_removed for r in lines.dedup_lines(df).collect()} == {d: gone[d] for d, _ in rows}
+
+
+def test_line_dedup_reads_words_to_their_end(make):
+    rng = np.random.default_rng(2)
+    tails = ["".join(map(chr, rng.integers(0x4E00, 0x9000, 40))) for _ in range(3)] + ["".join(map(chr, rng.integers(97, 123, 60))) for _ in range(3)]
+    heads = ["今天我们要讨论的是一个非常重要的问题"] * 3 + ["https://www.example.org/"] * 3
+    rows = [(i, h + t) for i, (h, t) in enumerate(zip(heads, tails, strict=True))] + [(9, heads[5] + tails[5][:-1] + "0")]
+    assert [r.n_removed for r in sorted(lines.dedup_lines(make(rows)).collect())] == [0] * 6 + [1]
