@@ -327,3 +327,22 @@ def test_line_dedup_reads_words_to_their_end(make):
     heads = ["今天我们要讨论的是一个非常重要的问题"] * 3 + ["https://www.example.org/"] * 3
     rows = [(i, h + t) for i, (h, t) in enumerate(zip(heads, tails, strict=True))] + [(9, heads[5] + tails[5][:-1] + "0")]
     assert [r.n_removed for r in sorted(lines.dedup_lines(make(rows)).collect())] == [0] * 6 + [1]
+
+
+@pytest.mark.parametrize("tile", [1000, 7])
+def test_line_dedup_compares_all_of_a_bucket(make, monkeypatch, tile):
+    monkeypatch.setattr(lines, "TILE", tile)
+    # one bucket for all lines: a template that fills two thirds of each, and couples of near copies among them
+    found = lines.with_bands
+
+    def one_bucket(rows):
+        return found(rows).withColumn("keys_", F.array(F.lit(7).cast("long")))
+
+    monkeypatch.setattr(lines, "with_bands", one_bucket)
+    rng = np.random.default_rng(4)
+    template = "".join(map(chr, rng.integers(97, 123, 100)))
+    rows = []
+    for i in range(40):
+        own = "".join(map(chr, rng.integers(97, 123, 50)))
+        rows += [(2 * i, template + own), (2 * i + 1, template + own[:-1] + "0")]
+    assert [r.n_removed for r in sorted(lines.dedup_lines(make(rows)).collect())] == [0, 1] * 40
