@@ -209,3 +209,16 @@ def test_registered_queries_have_the_contract_columns(spark):
     for prefix, columns in want.items():
         name = next(n for n in found if n.startswith(prefix))
         assert columns <= set(found[name](spark, DATA).columns)
+
+
+def test_pii_beside_other_numbers_and_words(make):
+    texts = [
+        "4111 1111 1111 1111 12/25", "4111111111111111 123", "no 12 4111-1111-1111-1111", "BE68 5390 0754 7034 EUR 5",
+        "AT61 1904 3002 3457 3201 FROM ME", "BE68 5390 0754 7034 BE68 5390 0754 7034", "PL61 1090 1014 0000 0712 1981 2874 PLN",
+    ]
+    rows = {r.doc_id: r for r in pii.pii_digest(make(list(enumerate(texts))), "k").collect()}
+    assert [(rows[i].n_card, rows[i].n_iban) for i in range(7)] == [(1, 0)] * 3 + [(0, 1)] * 2 + [(0, 2), (0, 1)]
+    for i, (start, end) in enumerate([("", " 12/25"), ("", " 123"), ("no 12 ", ""), ("BE", " EUR 5"), ("AT", " FROM ME"), ("BE", ""), ("PL", " PLN")]):
+        new = rows[i].text
+        assert new.startswith(start) and new.endswith(end) and len(new) == len(texts[i]) and new != texts[i]
+    assert "4111 1111" not in rows[0].text and rows[5].text[:19] == rows[5].text[20:] == rows[3].text[:19]

@@ -7,7 +7,8 @@ pseudonym is a valid value of the same format, different values get different ps
 stay linked across documents, whatever their separators. Each row is treated on its own: no shuffle.
 
 Kinds: email (the first 26 letters and digits of the local part), iban, ip, date (1901 to 2099), ssn, phone,
-card. Candidates that fail validation stay as they are.
+card. Of a card's candidate, any groups of digits that are valid together count, the first and longest ones; an
+IBAN ends at its country's length. Candidates that fail validation stay as they are.
 
 Defined results: a null text stays null with no findings; an empty one stays empty; equal texts get equal
 results; extra columns are kept, but for those named like the results, which are replaced. Without the key
@@ -24,7 +25,23 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}(?![A-Za-z0-9])"
-_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: Signs of a country's IBAN.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_of(n: int, countries: str) -> str:
+    rest = rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else ""
+    return rf"(?:{countries.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}{rest}"
+
+
+_IBAN = (
+    rf"(?<![A-Za-z0-9])(?:{'|'.join(_iban_of(n, c) for n, c in sorted(_IBAN_LENGTHS.items(), reverse=True))}"
+    r"|[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
+)
 _IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
 _DATE = r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-]|\.\d)"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
@@ -110,15 +127,29 @@ def mod97(text: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(text)), F.lit(0), term)
 
 
-def _card(key: str, m: Column) -> tuple[Column, Column]:
+def _valid_card(m: Column) -> Column:
     d = _digits(m)
+    # a whole run of zeros has a valid sum, but no issuer
+    return F.length(d).between(13, 19) & (luhn_sum(d) % 10 == 0) & d.rlike("[1-9]")
+
+
+def _card(key: str, m: Column) -> tuple[Column, Column]:
+    places = F.sequence(F.lit(1), F.length(m))
+    digit = lambda i: F.substring(m, i, F.lit(1)).rlike("[0-9]")
+    starts = F.filter(places, lambda i: digit(i) & ((i == 1) | ~digit(i - 1)))
+    ends = F.reverse(F.filter(places, lambda i: digit(i) & ((i == F.length(m)) | ~digit(i + 1))))
+    parts = F.flatten(F.transform(starts, lambda a: F.transform(F.filter(ends, lambda b: b - a >= 12), lambda b: F.struct(a.alias("a"), F.substring(m, a, b - a + 1).alias("part")))))
+    found = F.filter(parts, lambda p: _valid_card(p["part"]))
 
     def fresh(x: Column) -> Column:
         return F.concat(x, ((10 - luhn_sum(x, 1) % 10) % 10).cast("string"))
 
-    new = _with(_permute_digits(key, "card", F.substring(d, F.lit(1), F.length(d) - 1)), fresh)
-    # a whole run of zeros has a valid sum, but no issuer
-    return F.length(d).between(13, 19) & (luhn_sum(d) % 10 == 0) & d.rlike("[1-9]"), _refill(m, new)
+    def whole(p: Column) -> Column:
+        d = _digits(p["part"])
+        new = _with(_permute_digits(key, "card", F.substring(d, F.lit(1), F.length(d) - 1)), fresh)
+        return F.concat(F.substring(m, F.lit(1), p["a"] - 1), _refill(p["part"], new), F.substring(m, p["a"] + F.length(p["part"]), F.length(m)))
+
+    return F.size(found) > 0, F.get(F.transform(F.slice(found, 1, 1), whole), F.lit(0))
 
 
 def _iban(key: str, m: Column) -> tuple[Column, Column]:
