@@ -222,3 +222,15 @@ def test_pii_beside_other_numbers_and_words(make):
         new = rows[i].text
         assert new.startswith(start) and new.endswith(end) and len(new) == len(texts[i]) and new != texts[i]
     assert "4111 1111" not in rows[0].text and rows[5].text[:19] == rows[5].text[20:] == rows[3].text[:19]
+
+
+def test_pipeline_keeps_one_row_of_each(spark, make):
+    import corpus_pipeline
+
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    near = texts[2] + " more"
+    rows = [(1, texts[0]), (1, texts[0]), (2, texts[1]), (2, texts[0]), (None, texts[2]), (None, near), (None, texts[3]), (3, texts[3]), (4, ""), (4, ""), (5, None)]
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, make(rows), "").collect()]
+    ours = [x for x in left if x[1] in (texts[2], near)]
+    assert len(ours) == 1 and ours[0][0] is None
+    assert sorted(map(repr, (x for x in left if x not in ours))) == sorted(map(repr, [(1, texts[0]), (2, texts[1]), (3, texts[3]), (4, ""), (4, ""), (5, None)]))
