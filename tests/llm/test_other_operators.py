@@ -234,3 +234,13 @@ def test_pipeline_keeps_one_row_of_each(spark, make):
     ours = [x for x in left if x[1] in (texts[2], near)]
     assert len(ours) == 1 and ours[0][0] is None
     assert sorted(map(repr, (x for x in left if x not in ours))) == sorted(map(repr, [(1, texts[0]), (2, texts[1]), (3, texts[3]), (4, ""), (4, ""), (5, None)]))
+
+
+def test_pii_replaces_all_of_a_long_local_part(make):
+    locals_ = ["abcdefghijklmnopqrstuvwxyz" + end for end in ("", "confiden", "secretly", "Ab.19_c" * 5)]
+    new = {r.doc_id: r.text for r in pii.pii_digest(make([(i, x + "@example.org") for i, x in enumerate(locals_)]), "k").collect()}
+    for i, x in enumerate(locals_):
+        local, host = new[i].split("@")
+        assert host == "example.org" and re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", local))) == re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", x)))
+        assert local[:26] != x[:26] and (len(x) == 26 or local[26:] != x[26:])
+    assert len(set(new.values())) == 4

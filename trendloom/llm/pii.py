@@ -6,7 +6,7 @@ format, and a keyed Feistel network permutes the pairs: a += F(b) mod ma, b += F
 pseudonym is a valid value of the same format, different values get different pseudonyms, and equal values
 stay linked across documents, whatever their separators. Each row is treated on its own: no shuffle.
 
-Kinds: email (the first 26 letters and digits of the local part), iban, ip, date (1901 to 2099), ssn, phone,
+Kinds: email (the local part, in blocks of 26 letters and digits, each under the ones before), iban, ip, date (1901 to 2099), ssn, phone,
 card. Of a card's candidate, any groups of digits that are valid together count, the first and longest ones; an
 IBAN ends at its country's length. Candidates that fail validation stay as they are.
 
@@ -233,7 +233,7 @@ def _phone(key: str, m: Column) -> tuple[Column, Column]:
 
 def _email(key: str, m: Column) -> tuple[Column, Column]:
     local = F.substring_index(m, "@", 1)
-    signs = F.slice(F.regexp_extract_all(local, F.lit("([A-Za-z0-9])"), 1), 1, 26)
+    signs = F.regexp_extract_all(local, F.lit("([A-Za-z0-9])"), 1)
     radix = lambda c: F.when(c.rlike("[0-9]"), F.lit(10)).otherwise(F.lit(26))
     digit = lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(F.lower(c)) - 97)
     one = lambda: F.lit(1).cast("long")
@@ -255,12 +255,18 @@ def _email(key: str, m: Column) -> tuple[Column, Column]:
 
         return F.aggregate(F.reverse(part), start, add, lambda s: s["t"])
 
-    def use(p: Column) -> Column:
+    def block(done: Column, p: Column) -> Column:
+        """done, the new signs so far, and those of block p."""
         u = (F.size(p) / 2).cast("int")
         left, right = F.slice(p, F.lit(1), u), F.slice(p, u + 1, F.size(p))
         shape = F.regexp_replace(F.regexp_replace(local, "[0-9]", "9"), "[A-Za-z]", "a")
-        s = feistel(key, F.concat(F.lit("email:"), shape), value(left), value(right), size(left), size(right))
-        return _with(s, lambda q: F.concat(spell(q["a"], left), spell(q["b"], right)))
+        tag = F.concat(F.lit("email:"), shape, F.when(done == "", "").otherwise(F.concat(F.lit(":"), done)))
+        s = feistel(key, tag, value(left), value(right), size(left), size(right))
+        return _with(s, lambda q: F.concat(done, spell(q["a"], left), spell(q["b"], right)))
+
+    def use(p: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / 26).cast("int")), lambda i: F.slice(p, i * 26 + 1, F.lit(26)))
+        return F.aggregate(blocks, F.lit(""), block)
 
     def refill(fresh: Column) -> Column:
         place = F.transform(
