@@ -238,31 +238,9 @@ def test_levels_merge_geometrically(spark, make):
 # --- line dedup
 
 
-def removed_lines(rows):
-    places = collections.defaultdict(list)
-    for d, x in rows:
-        for p, line in enumerate((x or "").split("\n")):
-            z = line.strip(" ").lower()
-            if len(z) >= lines.MIN_CHARS:
-                places[z].append((d, p))
-    names = list(places)
-    sets = [set(re.findall(r"(?=(\S.{0,15}))\S+", z)) for z in names]
-    links, holders = [], collections.defaultdict(list)
-    for i, s in enumerate(sets):
-        shared = collections.Counter(j for g in s for j in holders[g])
-        links += [(i, j) for j, n in shared.items() if 100 * n >= 80 * (len(s) + len(sets[j]) - n)]
-        for g in s:
-            holders[g].append(i)
-    root = roots(len(names), links)
-    first = {}
-    for z, r in zip(names, root, strict=True):
-        first[r] = min(first.get(r, min(places[z])), min(places[z]))
-    return {o for z, r in zip(names, root, strict=True) for o in places[z] if o != first[r]}
-
-
 def test_line_dedup_against_all_pairs(small):
     df, rows = small
-    gone = removed_lines(rows)
+    gone = all_shingles_removed(rows)
     for r in lines.dedup_lines(df).collect():
         text = dict(rows)[r.doc_id]
         kept = [x for p, x in enumerate(text.split("\n")) if (r.doc_id, p) not in gone]
@@ -329,16 +307,28 @@ def test_line_dedup_reads_words_to_their_end(make):
     assert [r.n_removed for r in sorted(lines.dedup_lines(make(rows)).collect())] == [0] * 6 + [1]
 
 
+def test_line_dedup_of_repeated_rows_and_clashing_columns(spark):
+    a, b = "the first of two lines that are long", "quite another one, which is also long"
+    rows = [(3, f"{a}\n{b}\nok", 1, 1, 9), (3, f"{a}\n{b}\nok", 2, 2, 9), (None, f"{b}\nonly the last one has this line", 3, 3, 9), (None, None, 4, 4, 9), (5, "", 5, 5, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, slot_ int, row_ int, n_removed int").withColumns({"doc": F.lit("x"), "removed_": F.lit(0)})
+    got = lines.dedup_lines(df)
+    assert got.columns == ["doc_id", "text", "slot_", "row_", "doc", "removed_", "n_lines", "n_removed"]
+    found = sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()), key=repr)
+    assert found == sorted([(3, f"{a}\n{b}\nok", 3, 0), (3, "ok", 3, 2), (None, "only the last one has this line", 2, 1), (None, None, 0, 0), (5, "", 1, 0)], key=repr)
+    with pytest.raises(TypeError):
+        lines.dedup_lines(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 @pytest.mark.parametrize("tile", [1000, 7])
 def test_line_dedup_compares_all_of_a_bucket(make, monkeypatch, tile):
     monkeypatch.setattr(lines, "TILE", tile)
     # one bucket for all lines: a template that fills two thirds of each, and couples of near copies among them
-    found = lines.with_bands
+    found = lines.signatures
 
     def one_bucket(rows):
         return found(rows).withColumn("keys_", F.array(F.lit(7).cast("long")))
 
-    monkeypatch.setattr(lines, "with_bands", one_bucket)
+    monkeypatch.setattr(lines, "signatures", one_bucket)
     rng = np.random.default_rng(4)
     template = "".join(map(chr, rng.integers(97, 123, 100)))
     rows = []

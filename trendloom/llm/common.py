@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,34 +17,84 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh one where that is unset (local runs)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local master may leave it unset, and gets a
+    fresh one; elsewhere executors would each write to a disk of their own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="trendloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
+#: Paths that ``release`` removes; ``owned`` names another list for what is written within it.
 _temporary: list[str] = []
+_owner: contextvars.ContextVar[list[str]] = contextvars.ContextVar("owner", default=_temporary)
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+@contextlib.contextmanager
+def owned(paths: list[str]):
+    """Tables written meanwhile are listed in paths, for their owner to release."""
+    token = _owner.set(paths)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+
+
+@contextlib.contextmanager
+def configured(spark: SparkSession, **settings):
+    """Settings (with __ for dots) that hold meanwhile."""
+    before = {}
+    for name, value in settings.items():
+        key = name.replace("__", ".")
+        before[key] = spark.conf.get(key, None)
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends here, and a lost executor
-    costs only the tasks that read the files. ``release`` removes what isn't to be kept."""
+    costs only the tasks that read the files. Its shuffle files go when it is written. ``release`` or
+    ``discard`` remove what isn't to be kept."""
     spark = df.sparkSession
     path = f"{shared_root(spark).rstrip('/')}/trendloom/{name}-{uuid.uuid4().hex}"
     if not keep:
-        _temporary.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        _owner.get().append(path)
+    with configured(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Remove the tables that operators have written so far. Results that read them must have been written."""
-    jvm = spark.sparkContext._jvm
-    while _temporary:
-        path = jvm.org.apache.hadoop.fs.Path(_temporary.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove materialized tables that no lazy result reads any more."""
+    for df in tables:
+        path = _paths.pop(df, None)
+        if path:
+            _remove(df.sparkSession, path)
+            if path in _owner.get():
+                _owner.get().remove(path)
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Remove the tables listed (all without an owner, if none are named). Results that read them must have been
+    written."""
+    paths = _temporary if paths is None else paths
+    while paths:
+        _remove(spark, paths.pop())
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -161,8 +214,9 @@ def bounded_sample(df: DataFrame, by: str, most: int) -> DataFrame:
 
 
 def among(rows: DataFrame, column: str, keys: DataFrame, kind: str = "left_semi", slots: int = 1 << 20) -> DataFrame:
-    """Rows whose column's slot is taken (or, with left_anti, isn't) by a value of that column in keys. The
-    broadcast has as many rows as there are slots at most; what it lets through still needs the real join."""
-    slot = F.pmod(F.xxhash64(column), F.lit(slots))
-    taken = F.broadcast(keys.select(slot.alias("slot_")).distinct())
-    return rows.join(taken, slot == F.col("slot_"), kind)
+    """Rows whose column's slot is taken (or, with left_anti, isn't) by a value of that column in keys.
+    The broadcast has as many rows as there are slots at most; what it lets through still needs the real join."""
+    mine = unique_name(rows.columns, "slot_")
+    slot = lambda x: F.pmod(F.xxhash64(x), F.lit(slots))
+    taken = F.broadcast(keys.select(slot(column).alias(mine)).distinct())
+    return rows.join(taken, slot(column) == F.col(mine), kind)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import materialize
+from trendloom.llm.common import discard, materialize
 
 
 def _star(edges: DataFrame, least: DataFrame, keep) -> DataFrame:
@@ -38,7 +38,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     if now.isEmpty():
         return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     while True:
-        now = materialize(_small(_large(now)), "edges")
+        before, now = now, materialize(_small(_large(now)), "edges")
+        discard(before)
         # done when the edges are stars: no node has two roots, and no root has one
         ends = now.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("v", F.lit(0), F.lit(1)))
         if ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty():
