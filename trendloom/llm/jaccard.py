@@ -25,14 +25,15 @@ larger than all; an empty table gives no rows; extra columns are ignored. Sets a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import PrefixHash, groups_of, lower_ascii, materialize, mix64, small_batches, words_of
+from trendloom.llm.common import PrefixHash, among, discard, groups_of, lower_ascii, materialize, mix64, small_batches, words_of
 from trendloom.llm.unionfind import components
 
 #: Bits of the sketch that goes along with candidates; classes of one key in a batch from which it is sent once
@@ -42,7 +43,6 @@ FOLD, CROWD, LARGE = 512, 32, 2048
 SAMPLE, OFTEN = 8000, 4
 #: Shingles that a tile of a cluster holds when sets are compared, about, and bytes when sketches are.
 TILE, SKETCH_TILE = 4_000_000, 16_000_000
-_MEMBER_BITS = 20
 
 
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
@@ -259,19 +259,27 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = after
 
 
-def set_digest(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, sign, folded and wide sketch (null for an empty set) of every row."""
+SetsOf = Callable[[list[str | None]], list[np.ndarray]]
+
+
+def row_key() -> Column:
+    """A row by id and text, which a null id has too."""
+    return F.xxhash64("doc_id", "text")
+
+
+def set_digest(docs: DataFrame, sets_of: SetsOf) -> DataFrame:
+    """doc_id, row_ (row_key), n_shingles, sign, folded and wide sketch (null for an empty set) of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist(), k)
+            sets = sets_of(batch.column(2).to_pylist())
             signs = pa.array([set_sign(s) if len(s) else None for s in sets], pa.int64())
             sketches = pa.array([folded(s) if len(s) else None for s in sets], pa.binary())
             wide = pa.array([folded(s, wide_bits(len(s))) if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), signs, sketches, wide], ["doc_id", "n_shingles", "sign", "sketch", "wide"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), signs, sketches, wide], ["doc_id", "row_", "n_shingles", "sign", "sketch", "wide"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, sign long, sketch binary, wide binary")
+    return docs.select("doc_id", row_key().alias("row_"), "text").mapInArrow(run, f"doc_id {kind}, row_ long, n_shingles long, sign long, sketch binary, wide binary")
 
 
 def _tiled(members: DataFrame, weight: Column, most: int) -> DataFrame:
@@ -442,17 +450,20 @@ def candidate_edges(docs: DataFrame, digest: DataFrame, k: int, bands: Bands) ->
     return rows.mapInArrow(meet, "a long, b long").union(shared.where("key is null").select("sign", "other")).distinct()
 
 
-def verified_edges(docs: DataFrame, digest: DataFrame, clusters: DataFrame, k: int, bands: Bands) -> DataFrame:
-    """Links (a, b) between signs that connect, within clusters (sign, cluster), all classes that link."""
-    spread = 1 << _MEMBER_BITS
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(spread))
-    members = clusters.join(digest.groupBy("sign").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles")), "sign")
+def texts_of(docs: DataFrame, digest: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(sign, text) of the classes in clusters, each from one of its rows (from all that are equal in id and text)."""
+    members = clusters.select("sign").join(digest.groupBy("sign").agg(F.min("row_").alias("row_")), "sign")
     members = materialize(members, "members")
-    places = _tiled(members, F.col("n_shingles"), TILE).select("doc_id", "sign", "cluster", "tile", "low", "high")
     # a table of occupied slots, 2**20 rows at most, keeps most other texts out of the shuffle
-    taken = F.broadcast(members.select(slot.alias("slot_")).distinct())
-    texts = docs.select("doc_id", "text").where("doc_id is not null").join(taken, slot == F.col("slot_"), "left_semi")
-    rows = texts.join(places, "doc_id").select("cluster", "low", "high", "tile", "sign", "text")
+    return among(docs.select(row_key().alias("row_"), "text"), "row_", members).join(members, "row_").select("sign", "text")
+
+
+def verified_edges(texts: DataFrame, digest: DataFrame, clusters: DataFrame, sets_of: SetsOf, bands: Bands) -> DataFrame:
+    """Links (a, b) between signs that connect, within clusters (sign, cluster), all classes that link. texts:
+    (sign, text) of all classes in clusters."""
+    sizes = digest.where("sign is not null").groupBy("sign").agg(F.min("n_shingles").alias("n_shingles"))
+    places = _tiled(materialize(clusters.join(sizes, "sign"), "places"), F.col("n_shingles"), TILE).select("sign", "cluster", "tile", "low", "high")
+    rows = texts.join(places, "sign").select("cluster", "low", "high", "tile", "sign", "text")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[int, np.ndarray]] = {}
@@ -465,22 +476,20 @@ def verified_edges(docs: DataFrame, digest: DataFrame, clusters: DataFrame, k: i
             return pa.RecordBatch.from_arrays([pa.array([signs[i] for i, _ in found], pa.int64()), pa.array([signs[j] for _, j in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            sets = shingle_sets(batch.column(5).to_pylist(), k)
+            sets = sets_of(batch.column(5).to_pylist())
             for *at, tile, sign, hashes in zip(*(batch.column(i).to_pylist() for i in range(5)), sets, strict=True):
                 if at != where:
                     if held:
                         yield flush()
                     held, where = {}, at
-                # a doc_id may have rows of other texts, too
-                if set_sign(hashes) == sign:
-                    held[sign] = (tile, hashes)
+                held[sign] = (tile, hashes)
         if held:
             yield flush()
 
     return rows.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high").mapInArrow(link, "a long, b long")
 
 
-def _clusters(roots: DataFrame) -> DataFrame:
+def clusters_of(roots: DataFrame) -> DataFrame:
     """(sign, cluster) of all nodes, roots included."""
     return materialize(roots.select(F.col("node").alias("sign"), F.col("root").alias("cluster")).union(roots.select("root", "root").distinct()), "clusters")
 
@@ -489,12 +498,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, part: int = 80, of: int = 100)
     """doc_id, n_shingles, component_id for each row; sets link when of * intersection >= part * union."""
     small_batches(docs.sparkSession)
     bands = Bands(part, of)
-    digest = materialize(set_digest(docs, k), "sets")
-    rough = _clusters(components(candidate_edges(docs, digest, k, bands)))
-    fine = _clusters(components(refined_edges(digest, rough, bands)))
-    links = components(verified_edges(docs, digest, fine, k, bands))
+    sets_of = functools.partial(shingle_sets, k=k)
+    digest = materialize(set_digest(docs, sets_of), "sets")
+    rough = clusters_of(components(candidate_edges(docs, digest, k, bands)))
+    links = components(linked_within(docs, digest, rough, sets_of, bands))
     classes = digest.where("sign is not null").groupBy("sign").agg(F.min("doc_id").alias("least"))
     rooted = classes.join(links.withColumnRenamed("node", "sign"), "sign", "left").withColumn("root", F.coalesce("root", "sign"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     labels = rooted.select("sign", "root").join(least, "root").select("sign", "component")
     return digest.join(labels, "sign", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def linked_within(docs: DataFrame, digest: DataFrame, rough: DataFrame, sets_of: SetsOf, bands: Bands) -> DataFrame:
+    """Links (a, b) that connect all classes of a rough cluster which link, directly or through others."""
+    fine = clusters_of(components(refined_edges(digest, rough, bands)))
+    discard(rough)
+    return verified_edges(texts_of(docs, digest, fine), digest, fine, sets_of, bands)
