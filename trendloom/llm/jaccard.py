@@ -175,10 +175,11 @@ def link_tile(sets: list[np.ndarray], side: np.ndarray | None, bands: Bands) ->
     size, n = size[order], len(sets)
     words = max(16, 1 << int(np.ceil(np.log2(max(1, size[-1] * 4 / 64)))))
     sketch = np.zeros((n, words), np.uint64)
-    for i, k in enumerate(order):
-        h = sets[k]
-        bit = np.bincount((h >> np.uint64(20) & np.uint64(words * 64 - 1)).astype(np.int64), minlength=words * 64) & 1
-        sketch[i] = np.packbits(bit.astype(np.uint8)).view(np.uint64)
+    per = max(1, (1 << 16) // words)
+    for i in range(0, n, per):
+        part = [sets[k] for k in order[i : i + per]]
+        owner = np.repeat(np.arange(len(part)), size[i : i + per])
+        sketch[i : i + per] = parity(np.concatenate(part), owner, len(part), words * 64, 20).view(np.uint64)
     group, out = np.arange(n), []
     reach = np.searchsorted(size, bands.largest_partner(size), "right")
     lean = max(1, (1 << 22) // words)
@@ -262,6 +263,43 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 SetsOf = Callable[[list[str | None]], list[np.ndarray]]
 
 
+def row_key() -> Column:
+    """A row by id and text, which a null id has too."""
+    return F.xxhash64("doc_id", "text")
+
+
+def parity(hashes: np.ndarray, owner: np.ndarray, n: int, bits: int, shift: int = 9) -> np.ndarray:
+    """Parity sketches of so many bits (a power of two), a row of bytes for each of n sets."""
+    cell = owner * bits + (hashes >> np.uint64(shift) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=n * bits) & 1).astype(np.uint8)).reshape(n, -1)
+
+
+def digests(sets: list[np.ndarray]) -> tuple[np.ndarray, list[bytes | None], list[bytes | None]]:
+    """Sign, folded and wide sketch of each set; an empty one has no sketches."""
+    size = np.array([len(x) for x in sets], np.int64)
+    sign, fold, wide = np.zeros(len(sets), np.int64), [None] * len(sets), [None] * len(sets)
+    bits = np.array([wide_bits(n) for n in size.tolist()], np.int64)
+    for w in np.unique(bits[size > 0]).tolist():
+        of = np.flatnonzero((bits == w) & (size > 0))
+        per = max(1, (1 << 22) // w)
+        for part in (of[i : i + per] for i in range(0, len(of), per)):
+            flat = np.concatenate([sets[i] for i in part])
+            owner = np.repeat(np.arange(len(part)), size[part])
+            lead = np.cumsum(size[part]) - size[part]
+            total = np.add.reduceat(mix64(flat + np.uint64(0x632BE59BD9B4E019)), lead) + size[part].astype(np.uint64)
+            sign[part] = mix64(total).view(np.int64)
+            rows = parity(flat, owner, len(part), w)
+            small = rows.view(np.uint64)
+            while small.shape[1] * 64 > FOLD:  # halves XORed are the sketch of half the bits
+                small = small[:, : small.shape[1] // 2] ^ small[:, small.shape[1] // 2 :]
+            for i, x, y in zip(part.tolist(), rows, np.ascontiguousarray(small), strict=True):
+                wide[i], fold[i] = x.tobytes(), y.tobytes()
+    return sign, fold, wide
+
+
+SetsOf = Callable[[list[str | None]], list[np.ndarray]]
+
+
 def row_key() -> Column:
     """A row by id and text, which a null id has too."""
     return F.xxhash64("doc_id", "text")
@@ -274,10 +312,10 @@ def set_digest(docs: DataFrame, sets_of: SetsOf) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = sets_of(batch.column(2).to_pylist())
-            signs = pa.array([set_sign(s) if len(s) else None for s in sets], pa.int64())
-            sketches = pa.array([folded(s) if len(s) else None for s in sets], pa.binary())
-            wide = pa.array([folded(s, wide_bits(len(s))) if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), signs, sketches, wide], ["doc_id", "row_", "n_shingles", "sign", "sketch", "wide"])
+            size = np.array([len(x) for x in sets], np.int64)
+            sign, fold, wide = digests(sets)
+            found = [pa.array(size), pa.array(sign, mask=size == 0), pa.array(fold, pa.binary()), pa.array(wide, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], ["doc_id", "row_", "n_shingles", "sign", "sketch", "wide"])
 
     return docs.select("doc_id", row_key().alias("row_"), "text").mapInArrow(run, f"doc_id {kind}, row_ long, n_shingles long, sign long, sketch binary, wide binary")
 
