@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.llm.common import PrefixHash, among, discard, groups_of, lower_ascii, materialize, mix64, small_batches, words_of
-from trendloom.llm.unionfind import components
+from trendloom.llm.unionfind import components, forest
 
 #: Bits of the sketch that goes along with candidates; classes of one key in a batch from which it is sent once
 #: for all; rows of one key that a task compares.
@@ -244,30 +244,6 @@ def near_tile(size: np.ndarray, sketches: list[bytes], side: np.ndarray | None,
     return out
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each node of the edges with the least node it is connected to, but for that one itself."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    left, right, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[left], label[right])
-        after = label.copy()
-        np.minimum.at(after, left, low)
-        np.minimum.at(after, right, low)
-        after = after[after]
-        if (after == label).all():
-            rest = label != np.arange(len(nodes))
-            return nodes[rest], nodes[label[rest]]
-        label = after
-
-
-SetsOf = Callable[[list[str | None]], list[np.ndarray]]
-
-
-def row_key() -> Column:
-    """A row by id and text, which a null id has too."""
-    return F.xxhash64("doc_id", "text")
-
-
 def parity(hashes: np.ndarray, owner: np.ndarray, n: int, bits: int, shift: int = 9) -> np.ndarray:
     """Parity sketches of so many bits (a power of two), a row of bytes for each of n sets."""
     cell = owner * bits + (hashes >> np.uint64(shift) & np.uint64(bits - 1)).astype(np.int64)
@@ -346,7 +322,8 @@ def refined_edges(digest: DataFrame, clusters: DataFrame, bands: Bands) -> DataF
                 _, sign, size, wide = zip(*held, strict=True)
                 side = np.array([r[0] for r in held]) if where[1] != where[2] else None
                 found = [(sign[i], sign[j]) for i, j in near_tile(np.array(size, np.int64), list(wide), side, bands)]
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+            left, right = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in forest(left, right)], ["a", "b"])
 
         for batch in batches:
             for *at, tile, sign, size, wide in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -508,10 +485,11 @@ def verified_edges(texts: DataFrame, digest: DataFrame, clusters: DataFrame, set
         where = None
 
         def flush() -> pa.RecordBatch:
-            signs, sets = list(held), [s for _, s in held.values()]
+            signs, sets = np.array(list(held), np.int64), [s for _, s in held.values()]
             side = np.array([t for t, _ in held.values()])
             found = link_tile(sets, side if where and where[1] != where[2] else None, bands) if len(sets) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([signs[i] for i, _ in found], pa.int64()), pa.array([signs[j] for _, j in found], pa.int64())], ["a", "b"])
+            left, right = (signs[[x[k] for x in found]] if found else signs[:0] for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in forest(left, right)], ["a", "b"])
 
         for batch in batches:
             sets = sets_of(batch.column(5).to_pylist())
