@@ -97,12 +97,14 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
         _remove(spark, paths.pop())
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of long texts fits a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, rows)
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
+    """Bound the rows and bytes of an Arrow batch, so that a batch of long texts fits a Python worker; one row
+    may exceed the bytes alone. Plans are lazy, so the session keeps the bounds, unless it has lower ones."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,8 +193,14 @@ def unique_name(taken: list[str], base: str) -> str:
     return base
 
 
-def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))
+def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """df whose columns of these names (in any case) go by others meanwhile, and what to rename back."""
+    taken, back = [*df.columns, *names], {}
+    for c in df.columns:
+        if c.lower() in names:
+            back[unique_name(taken, "kept_")] = c
+            taken.append(list(back)[-1])
+    return df.withColumnsRenamed({c: kept for kept, c in back.items()}), back
 
 
 def crc_of(doc_id) -> Column:

@@ -2,10 +2,13 @@
 
 ``decode_gif`` reads one file, ``gif_frames`` turns a DataFrame with a binary column into one row per frame
 with colour-histogram columns, ``encode_gif`` writes frames losslessly. Each row is decoded on its own; there
-is no shuffle, and memory is bounded by one file and its canvas.
+is no shuffle, and memory is bounded by one file, its canvas and one frame, whatever a header claims.
 
 Defined results: null bytes give one row with error 'null'; bytes that are no GIF or are cut short give the
-frames before the fault and one row whose error says what is wrong (frame_index -1).
+frames before the fault and one row whose error says what is wrong (frame_index -1), and so does a canvas of more
+than MOST_PIXELS pixels; empty frames have no pixels; equal rows give equal rows; an empty table gives none.
+``media_digest`` takes a null text as empty, gives every row a result of its own, and ignores columns besides
+doc_id and text.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from trendloom.llm.common import small_batches
 
 #: Side of the rows of a stored payload, and rows of a frame at most.
 WIDTH, ROWS, DELAY_CS = 192, 64, 4
+#: Pixels of a canvas that is decoded, at most (four bytes each).
+MOST_PIXELS = 1 << 25
 _GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).reshape(256, 3)
 
 
@@ -185,6 +190,8 @@ def decode_gif(data: bytes) -> Iterator[dict]:
         raise GifError("no GIF signature")
     wide, tall, flags, _, _ = struct.unpack("<HHBBB", take(7))
     shared = np.frombuffer(take(3 << (flags & 7) + 1), np.uint8).reshape(-1, 3) if flags & 0x80 else None
+    if wide * tall > MOST_PIXELS:
+        raise GifError("canvas too large")
     canvas = np.zeros((tall, wide, 4), np.uint8)
     index, delay, disposal, clear = 0, 0, 0, None
     while (kind := take(1)) != b"\x3b":
@@ -253,12 +260,13 @@ def gif_frames(df: DataFrame, column: str = "gif", key: str = "id") -> DataFrame
         except GifError as e:
             yield who, -1, start, 0, 0, 0, 0, None, None, str(e)
 
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.string()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for who, data in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                rows = list(rows_of(who.as_py(), data))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [batch.schema.types[0], pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.string()], strict=True)], names)
+            for who, data in zip(batch.column(0), batch.column(1), strict=True):
+                for row in rows_of(who.as_py(), data.as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [batch.schema.types[0], *kinds], strict=True)], names)
 
     names = [key, "frame_index", "start_ms", "delay_ms", "disposal", "width", "height", "rgba", "histogram", "error"]
     return df.select(key, df[column].cast("binary")).mapInArrow(run, shape)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import WORD, materialize
+from trendloom.llm.common import WORD, materialize, set_aside
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 #: Rows that a key range holds about, and sources up to which their table is broadcast (under 10 MB).
@@ -24,6 +24,10 @@ RANGE_ROWS, BROADCAST_SOURCES = 20_000, 50_000
 _KEY_BITS = 60
 
 
+#: Columns that ``mix`` has meanwhile.
+_OWN = ("key_", "epochs_", "rest_", "cut_", "part_words_", "source_", "deal_", "part_")
+
+
 def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -75,8 +79,9 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
 
 
 def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """df (doc_id, text, source, ...) with size, source_size, target and taken."""
-    df = df.drop("size", "source_size", "target", "taken", "key_")
+    """df (doc_id, text, source, ...) with size, source_size, target and taken, which replace columns of these
+    names; other columns are kept whatever their names."""
+    df, back = set_aside(df.drop("size", "source_size", "target", "taken"), _OWN)
     sized = df.withColumns({"size": words(F.col("text")), "key_": mix_key(F.col("doc_id"))})
     small = materialize(sized.select("source", "size", "key_"), "sizes")
     n = small.count()
@@ -104,7 +109,7 @@ def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHAR
     whole = _join_sources(sized, table, few)
     last = F.when(F.col("key_") < F.col("cut_"), F.col("size")).when(F.col("key_") == F.col("cut_"), F.least("size", "part_words_")).otherwise(0)
     taken = (F.col("epochs_") * F.col("size") + last).cast("long")
-    return whole.withColumn("taken", taken).drop("key_", "epochs_", "rest_", "cut_", "part_words_")
+    return whole.withColumn("taken", taken).drop("key_", "epochs_", "rest_", "cut_", "part_words_").withColumnsRenamed(back)
 
 
 def copies(mixed: DataFrame, columns: list[str]) -> DataFrame:

@@ -27,12 +27,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from trendloom.llm.common import groups_of, materialize, small_batches
+from trendloom.llm.common import groups_of, materialize, set_aside, small_batches
 
 WINDOW, END_ID = 2048, 1
 #: Groups into which the pieces of one length are dealt for ranking.
 SALTS = 256
-#: Words whose ids a worker remembers; beyond it they age, and go when as many newer ones have come.
+#: Words whose ids a worker remembers (twice as many at most); beyond it they age, and go when as many newer ones
+#: have come.
 REMEMBERED = 400_000
 
 
@@ -61,16 +62,18 @@ def byte_ranks(model: dict) -> dict[bytes, int] | None:
 
 class Encoder:
     """Token ids as little-endian 32-bit bytes. Words are looked up; new ones are merged in one call for all,
-    or by the tokenizer itself where its model isn't of the plain kind, as are texts beyond U+024F."""
+    or by the tokenizer itself where its model isn't of the plain kind, as are texts beyond U+024F and those that
+    hold one of its added tokens, such as an end-of-text mark."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.remembered = remembered
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.split, self.beyond = _splitter().findall, re.compile("[^\x00-ɏ]").search
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -104,8 +107,8 @@ class Encoder:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for a, b in groups_of([len(x) for x in texts], 1 << 20):
             part = texts[a:b]
-            words = [None if self.beyond(x) else self.split(x) for x in part]
-            if len(self.known) > REMEMBERED:
+            words = [None if self.beyond(x) or any(t in x for t in self.added) else self.split(x) for x in part]
+            if len(self.known) > self.remembered:
                 self.known, self.older = {}, self.known
             new = set().union(*(w for w in words if w)).difference(self.known)
             again = new.intersection(self.older)
@@ -116,12 +119,12 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=1)
-def encoder_for(path: str) -> Encoder:
+def encoder_for(path: str, remembered: int) -> Encoder:
     """The worker's encoder, which the tasks it runs share."""
-    return Encoder(path)
+    return Encoder(path, remembered)
 
 
-def pieces_of(df: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pieces_of(df: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, remembered: int = REMEMBERED) -> DataFrame:
     """For each row (doc_id, text): its ids and the end id, cut into pieces of window ids and a rest:
     doc_id, start, length, ids_crc32, doc_tokens."""
     small_batches(df.sparkSession)
@@ -130,7 +133,7 @@ def pieces_of(df: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id:
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(tokenizer_path)
+        encoder = encoder_for(tokenizer_path, remembered)
         for batch in batches:
             owner, start, length, crc, total = [], [], [], [], []
             for i, ids in enumerate(encoder.encode([x or "" for x in batch.column(1).to_pylist()])):
@@ -248,7 +251,10 @@ def ranked(df: DataFrame, length: str, order: list[str]) -> DataFrame:
 
 def pack(pieces: DataFrame, length: str = "length", order: tuple[str, ...] = ("doc_id", "start", "ids_crc32"), window: int = WINDOW) -> DataFrame:
     """pieces (lengths from 1 to window) with sequence_id, offset and sequence_length: window, or the tokens
-    used where they are a power of two. A row whose length is null or out of bounds raises an error."""
+    used where they are a power of two; these three replace columns of their names, and other columns are kept
+    whatever their names. A row whose length is null or out of bounds raises an error; no pieces give no rows, and
+    equal pieces take places of their own."""
+    pieces, back = set_aside(pieces.drop("sequence_id", "offset", "sequence_length"), ("salt_", "row_", "base_", "rank_", "count"))
     pieces = materialize(pieces, "pieces")
     histogram = {r[0]: r[1] for r in pieces.groupBy(length).count().collect()}
     if any(k is None or not 0 < k <= window for k in histogram):
@@ -267,8 +273,9 @@ def pack(pieces: DataFrame, length: str = "length", order: tuple[str, ...] = ("d
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, more)], [*batch.schema.names[:-1], "sequence_id", "offset", "sequence_length"])
 
     shape = schema.add("sequence_id", "long").add("offset", "long").add("sequence_length", "long")
-    return ranked(pieces, length, list(order)).select(*pieces.columns, "rank_").mapInArrow(run, shape)
+    return ranked(pieces, length, list(order)).select(*pieces.columns, "rank_").mapInArrow(run, shape).withColumnsRenamed(back)
 
 
-def pack_documents(df: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    return pack(pieces_of(df, tokenizer_path, window, end_id), window=window)
+def pack_documents(df: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, remembered: int = REMEMBERED) -> DataFrame:
+    """The pieces of df's texts (doc_id, text; other columns are left out) in sequences."""
+    return pack(pieces_of(df, tokenizer_path, window, end_id, remembered), window=window)

@@ -6,8 +6,9 @@ format, and a keyed Feistel network permutes the pairs: a += F(b) mod ma, b += F
 pseudonym is a valid value of the same format, different values get different pseudonyms, and equal values
 stay linked across documents, whatever their separators. Each row is treated on its own: no shuffle.
 
-Kinds: email (the local part, in blocks of 26 letters and digits, each under the ones before), iban, ip, date (1901 to 2099), ssn, phone,
-card. Of a card's candidate, any groups of digits that are valid together count, the first and longest ones; an
+Kinds: email (the local part, in blocks of 26 letters and digits, each under the ones before), iban (all after the
+country's code, letters too), ip, date (1901 to 2099, among the dates that are written alike: same separator, same
+widths; 29 February among those of leap years), ssn, phone, card. Of a card's candidate, any groups of digits that are valid together count, the first and longest ones; an
 IBAN ends at its country's length. Candidates that fail validation stay as they are.
 
 Defined results: a null text stays null with no findings; an empty one stays empty; equal texts get equal
@@ -48,7 +49,29 @@ _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-]|\.\d)"
 _CARD = r"(?<!\d)(?:\d[ -]?){12,18}\d(?!\d)"
 PATTERN = "|".join((_EMAIL, _IBAN, _IP, _DATE, _SSN, _PHONE, _CARD))
-_FIRST_DAY, _DAYS = "1901-01-01", (108, 673)  # 108 * 673 days: 1901 to 2099
+#: First year, step and number of the years that dates have, and of those that a 29 February has.
+_YEARS, _LEAP_YEARS = (1901, 1, 199), (1904, 4, 49)
+
+
+def _days_written() -> dict[str, list[str]]:
+    """By form, all ways to write a day and a month in it: separator and widths of the two numbers, and + for
+    29 February. Slashes may have either number first."""
+    lasts = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
+    plain = [(d, m) for m, last in enumerate(lasts, 1) for d in range(1, last + 1)]
+    out = {}
+    for more, days in (("", plain), ("+", [(29, 2)])):
+        out[f"-22{more}"] = [f"{m:02d}-{d:02d}" for d, m in days]
+        for w1 in (1, 2):
+            for w2 in (1, 2):
+                both = {"." : days, "/": days + [(m, d) for d, m in days]}
+                for sign, pairs in both.items():
+                    fit = {f"{x:0{w1}d}{sign}{y:0{w2}d}" for x, y in pairs if x < 10**w1 and y < 10**w2}
+                    if fit:
+                        out[f"{sign}{w1}{w2}{more}"] = sorted(fit)
+    return out
+
+
+_WRITTEN = _days_written()
 
 
 def _long(x: Column) -> Column:
@@ -161,8 +184,7 @@ def _iban(key: str, m: Column) -> tuple[Column, Column]:
         check = 98 - mod97(F.concat(F.regexp_replace(body, " ", ""), F.substring(m, 1, 2), F.lit("00")))
         return F.concat(F.substring(m, 1, 2), _pad(check, 2), body)
 
-    new = _with(_refill(bare, _permute_digits(key, "iban", _digits(bare))), whole)
-    return valid & bare.rlike("[0-9]"), new
+    return valid, _with(_permute_signs(key, F.concat(F.lit("iban:"), F.substring(m, 1, 2), _shape(F.regexp_replace(bare, " ", ""))), bare), whole)
 
 
 def _ip(key: str, m: Column) -> tuple[Column, Column]:
@@ -188,23 +210,28 @@ def _ip(key: str, m: Column) -> tuple[Column, Column]:
 
 
 def _date(key: str, m: Column) -> tuple[Column, Column]:
-    iso, dots = m.rlike("^[0-9]{4}-"), m.contains(".")
-    parts = F.transform(F.split(m, "[-/.]"), lambda x: x.try_cast("int"))
+    """A date among those written alike: day and month among all pairs of the form, and the year."""
+    iso = m.rlike("^[0-9]{4}-")
+    year = F.when(iso, F.substring(m, 1, 4)).otherwise(F.substring(m, -4, 4)).try_cast("int")
+    pair = F.when(iso, F.substring(m, 6, 5)).otherwise(F.substring(m, F.lit(1), F.length(m) - 5))
+    parts = F.split(pair, "[-/.]")
+    leap = pair.rlike("^(0?2/29|29[/.]0?2|02-29)$")
+    form = F.concat(F.regexp_extract(pair, "[-/.]", 0), F.length(F.element_at(parts, 1)).cast("string"), F.length(F.element_at(parts, 2)).cast("string"), F.when(leap, F.lit("+")).otherwise(F.lit("")))
+    written = F.create_map(*(x for k, v in _WRITTEN.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    first, step, n = (F.when(leap, F.lit(b)).otherwise(F.lit(a)) for a, b in zip(_YEARS, _LEAP_YEARS, strict=True))
+    nth = (year - first) / step
+    valid = F.coalesce((F.array_position(F.element_at(written, form), pair) > 0) & nth.between(0, n - 1) & (nth == F.floor(nth)), F.lit(False))
+
+    def fresh(pairs: Column) -> Column:
+        done = feistel(key, F.concat(F.lit("date"), form), F.array_position(pairs, pair) - 1, F.floor(nth), F.size(pairs), n)
 
-    def read(p: Column) -> Column:
-        x, y, z = (F.element_at(p, i) for i in (1, 2, 3))
-        return F.when(iso, F.try_make_timestamp(x, y, z, F.lit(0), F.lit(0), F.lit(0.0))).when(dots, F.try_make_timestamp(z, y, x, F.lit(0), F.lit(0), F.lit(0.0))).otherwise(F.coalesce(F.try_make_timestamp(z, x, y, F.lit(0), F.lit(0), F.lit(0.0)), F.try_make_timestamp(z, y, x, F.lit(0), F.lit(0), F.lit(0.0)))).cast("date")
-
-    number = F.datediff(_with(parts, read), F.lit(_FIRST_DAY).cast("date"))
-    valid = number.between(0, _DAYS[0] * _DAYS[1] - 1)
-    american = _with(parts, lambda p: F.element_at(p, 1) <= 12)
+        def text(p: Column) -> Column:
+            own, other = F.element_at(pairs, (p["a"] + 1).cast("int")), (p["b"] * step + first).cast("string")
+            return F.when(iso, F.concat_ws("-", other, own)).otherwise(F.concat(own, F.substring(m, -5, 1), other))
 
-    def text(p: Column) -> Column:
-        day = F.date_add(F.lit(_FIRST_DAY).cast("date"), (p["a"] * _DAYS[1] + p["b"]).cast("int"))
-        return F.when(iso, F.date_format(day, "yyyy-MM-dd")).when(dots, F.date_format(day, "dd.MM.yyyy")).when(american, F.date_format(day, "MM/dd/yyyy")).otherwise(F.date_format(day, "dd/MM/yyyy"))
+        return _with(done, text)
 
-    new = _with(number, lambda n: _with(feistel(key, "date", F.floor(n / _DAYS[1]), n % _DAYS[1], *_DAYS), text))
-    return valid, new
+    return valid, _with(F.element_at(written, form), fresh)
 
 
 def _ssn(key: str, m: Column) -> tuple[Column, Column]:
@@ -231,9 +258,10 @@ def _phone(key: str, m: Column) -> tuple[Column, Column]:
     return F.length(d).between(7, 15) & (F.length(own) >= 4), _refill(m, F.concat(country, _with(own, use)))
 
 
-def _email(key: str, m: Column) -> tuple[Column, Column]:
-    local = F.substring_index(m, "@", 1)
-    signs = F.regexp_extract_all(local, F.lit("([A-Za-z0-9])"), 1)
+def _permute_signs(key: str, tag: Column, text: Column) -> Column:
+    """text with its letters and digits permuted, in blocks of 26, each under the ones before; letters stay
+    letters of their case, digits digits, and other signs as they are."""
+    signs = F.regexp_extract_all(text, F.lit("([A-Za-z0-9])"), 1)
     radix = lambda c: F.when(c.rlike("[0-9]"), F.lit(10)).otherwise(F.lit(26))
     digit = lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(F.lower(c)) - 97)
     one = lambda: F.lit(1).cast("long")
@@ -259,9 +287,8 @@ def _email(key: str, m: Column) -> tuple[Column, Column]:
         """done, the new signs so far, and those of block p."""
         u = (F.size(p) / 2).cast("int")
         left, right = F.slice(p, F.lit(1), u), F.slice(p, u + 1, F.size(p))
-        shape = F.regexp_replace(F.regexp_replace(local, "[0-9]", "9"), "[A-Za-z]", "a")
-        tag = F.concat(F.lit("email:"), shape, F.when(done == "", "").otherwise(F.concat(F.lit(":"), done)))
-        s = feistel(key, tag, value(left), value(right), size(left), size(right))
+        tagged = F.concat(tag, F.when(done == "", "").otherwise(F.concat(F.lit(":"), done)))
+        s = feistel(key, tagged, value(left), value(right), size(left), size(right))
         return _with(s, lambda q: F.concat(done, spell(q["a"], left), spell(q["b"], right)))
 
     def use(p: Column) -> Column:
@@ -270,15 +297,25 @@ def _email(key: str, m: Column) -> tuple[Column, Column]:
 
     def refill(fresh: Column) -> Column:
         place = F.transform(
-            F.sequence(F.lit(1), F.length(local)),
+            F.sequence(F.lit(1), F.length(text)),
             lambda i: _with(
-                F.length(F.regexp_replace(F.substring(local, F.lit(1), i), "[^A-Za-z0-9]", "")),
-                lambda k: F.when(F.substring(local, i, F.lit(1)).rlike("[A-Za-z0-9]") & (k <= F.length(fresh)), F.substring(fresh, k, F.lit(1))).otherwise(F.substring(local, i, F.lit(1))),
+                F.length(F.regexp_replace(F.substring(text, F.lit(1), i), "[^A-Za-z0-9]", "")),
+                lambda k: F.when(F.substring(text, i, F.lit(1)).rlike("[A-Za-z0-9]") & (k <= F.length(fresh)), F.substring(fresh, k, F.lit(1))).otherwise(F.substring(text, i, F.lit(1))),
             ),
         )
-        return F.concat(F.array_join(place, ""), F.substring(m, F.length(local) + 1, F.length(m)))
+        return F.array_join(place, "")
+
+    return _with(_with(signs, use), refill)
+
+
+def _shape(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, "[0-9]", "9"), "[A-Za-z]", "a")
 
-    return local.rlike("[A-Za-z0-9]"), _with(_with(signs, use), refill)
+
+def _email(key: str, m: Column) -> tuple[Column, Column]:
+    local = F.substring_index(m, "@", 1)
+    fresh = _permute_signs(key, F.concat(F.lit("email:"), _shape(local)), local)
+    return local.rlike("[A-Za-z0-9]"), F.concat(fresh, F.substring(m, F.length(local) + 1, F.length(m)))
 
 
 _RULES = {"email": (_EMAIL, _email), "iban": (_IBAN, _iban), "ip": (_IP, _ip), "date": (_DATE, _date), "ssn": (_SSN, _ssn), "phone": (_PHONE, _phone), "card": (_CARD, _card)}
