@@ -153,10 +153,10 @@ def near_copies(n, words=60, seed=1):
         yield i + 1, " ".join(w)
 
 
-@pytest.mark.parametrize(("k", "part"), [(4, 85), (5, 80)])
-def test_join_against_all_pairs(make, small, k, part):
+@pytest.mark.parametrize(("k", "part", "rounds"), [(4, 85, 1), (5, 80, 3)])
+def test_join_against_all_pairs(make, small, k, part, rounds):
     df, rows = small
-    assert sorted(map(tuple, jaccard.near_duplicates(df, k, part, 100).collect())) == linked(rows, k, part, 100)
+    assert sorted(map(tuple, jaccard.near_duplicates(df, k, part, 100, rounds).collect())) == linked(rows, k, part, 100)
 
 
 @pytest.mark.parametrize("limits", [{}, {"CROWD": 4}, {"LARGE": 6}, {"TILE": 300, "SKETCH_TILE": 500}])

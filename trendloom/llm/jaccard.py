@@ -355,12 +355,15 @@ def frequent_shingles(docs: DataFrame, rows: int, k: int) -> np.ndarray:
     return counts.where(F.col("n") >= OFTEN).select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64)
 
 
-def candidate_edges(docs: DataFrame, digest: DataFrame, k: int, bands: Bands) -> DataFrame:
+def candidate_edges(docs: DataFrame, digest: DataFrame, k: int, bands: Bands, rounds: int = 1) -> DataFrame:
     """Edges (a, b) between signs, which connect all classes that share a sketch block's key and whose folded
-    sketches and sizes don't rule a link out."""
-
+    sketches and sizes don't rule a link out. Each round takes its share of the keys, so that more rounds, which
+    read the texts again, need less disk."""
     frequent = frequent_shingles(docs, digest.count(), k)
+    return functools.reduce(DataFrame.union, [_edges_of_round(docs, digest, k, bands, frequent, rounds, i) for i in range(rounds)])
+
 
+def _edges_of_round(docs: DataFrame, digest: DataFrame, k: int, bands: Bands, frequent: np.ndarray, rounds: int, nth: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (key, sign, other). In a batch, a key of CROWD classes or more is sent once, with an edge to
         each of its other classes; other is then its own sign, which keeps the key's bucket whole."""
@@ -369,6 +372,9 @@ def candidate_edges(docs: DataFrame, digest: DataFrame, k: int, bands: Bands) ->
             sets = {set_sign(s): s for s in shingle_sets(batch.column(0).to_pylist(), k) if len(s)}
             signs = np.array(list(sets), np.int64)
             keys, owner = block_keys(list(sets.values()), bands, common)
+            if rounds > 1:
+                mine = keys % np.uint64(rounds) == nth
+                keys, owner = keys[mine], owner[mine]
             if not len(keys):
                 continue
             order = np.argsort(keys, kind="stable")
@@ -462,7 +468,10 @@ def candidate_edges(docs: DataFrame, digest: DataFrame, k: int, bands: Bands) ->
     sketches = sketches.withColumn("sketch", F.when(telling, F.col("sketch")))
     rows = shared.where("key is not null").select("key", "sign", F.col("other").isNotNull().alias("crowd")).join(sketches, "sign")
     rows = rows.select("key", "sign", "size", "crowd", "sketch").repartition("key").sortWithinPartitions("key", "size")
-    return rows.mapInArrow(meet, "a long, b long").union(shared.where("key is null").select("sign", "other")).distinct()
+    edges = rows.mapInArrow(meet, "a long, b long").union(shared.where("key is null").select("sign", "other")).distinct()
+    edges = materialize(edges, "candidates")
+    discard(shared)
+    return edges
 
 
 def texts_of(docs: DataFrame, digest: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -510,13 +519,14 @@ def clusters_of(roots: DataFrame) -> DataFrame:
     return materialize(roots.select(F.col("node").alias("sign"), F.col("root").alias("cluster")).union(roots.select("root", "root").distinct()), "clusters")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, part: int = 80, of: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row; sets link when of * intersection >= part * union."""
+def near_duplicates(docs: DataFrame, k: int = 5, part: int = 80, of: int = 100, rounds: int = 1) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row; sets link when of * intersection >= part * union. rounds:
+    see candidate_edges; results don't depend on it."""
     small_batches(docs.sparkSession)
     bands = Bands(part, of)
     sets_of = functools.partial(shingle_sets, k=k)
     digest = materialize(set_digest(docs, sets_of), "sets")
-    rough = clusters_of(components(candidate_edges(docs, digest, k, bands)))
+    rough = clusters_of(components(candidate_edges(docs, digest, k, bands, rounds)))
     links = components(linked_within(docs, digest, rough, sets_of, bands))
     classes = digest.where("sign is not null").groupBy("sign").agg(F.min("doc_id").alias("least"))
     rooted = classes.join(links.withColumnRenamed("node", "sign"), "sign", "left").withColumn("root", F.coalesce("root", "sign"))
