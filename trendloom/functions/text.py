@@ -23,7 +23,13 @@ DOI_PREFIXES = ("https://doi.org/", "http://doi.org/", "doi:")
 
 @F.pandas_udf(StringType())
 def nfkc_casefold(x: pd.Series) -> pd.Series:
-    return x.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s).casefold())
+    return x.map(lambda s: None if s is None else s.lower() if s.isascii() else unicodedata.normalize("NFKC", s).casefold())
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def folded_all(x: pd.Series) -> pd.Series:
+    """nfkc_casefold of an array's texts."""
+    return x.map(lambda found: None if found is None else [None if s is None else unicodedata.normalize("NFKC", s).casefold() for s in found])
 
 
 @F.pandas_udf(ArrayType(LongType()))
@@ -49,11 +55,13 @@ def plain_normalise(x: Column) -> Column:
 
 
 def token_set(x: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(plain_normalise(x), " "), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.split(normalise(x), " "), lambda t: t != ""))
 
 
 def content_hash(title: Column, body: Column) -> Column:
-    return F.sha2(plain_normalise(F.concat_ws(" ", title, body)), 256)
+    """Of the parts that aren't empty; null where the normal form is."""
+    normal = normalise(F.array_join(F.array_compact(F.array(F.nullif(title, F.lit("")), F.nullif(body, F.lit("")))), " "))
+    return F.when(normal != "", F.sha2(normal, 256))
 
 
 def collapse(x: Column) -> Column:
@@ -84,8 +92,9 @@ def normalise_doi(x: Column) -> Column:
 
 def actor_keys(actors: Column) -> Column:
     """id:<external id> or name:<normal name> of array<struct<name, external_id>>."""
-    key = lambda a: F.when(F.nullif(F.trim(a["external_id"]), F.lit("")).isNotNull(), F.concat(F.lit("id:"), F.trim(a["external_id"]))).when(plain_normalise(a["name"]) != "", F.concat(F.lit("name:"), plain_normalise(a["name"])))
-    return F.array_distinct(F.array_compact(F.transform(actors, key)))
+    ids, names = (folded_all(F.transform(actors, f)) for f in (lambda a: F.trim(a["external_id"]), lambda a: a["name"]))
+    key = lambda i, n: F.when(i != "", F.concat(F.lit("id:"), i)).when(F.trim(n) != "", F.concat(F.lit("name:"), _normal(n)))
+    return F.array_distinct(F.array_compact(F.zip_with(ids, names, key)))
 
 
 def state_actor_keys(actors: Column) -> Column:

@@ -28,8 +28,13 @@ IMAGE = r"(?i)diffusers|stable.diffusion|image generation|texture training"
 LANGUAGE, LANGUAGE_NAMES = r"(?i)\b(?:llm|language model|transformer)\b", r"(?i)\b(?:llm|language model|transformer|qwen|llama)\b"
 LIGHTS = r"(?i)red[ ,/-]*amber[ ,/-]*green|traffic light|status dashboard"
 PATCH_MARK = r"(?m)^\s*GIT_PATCH_ADDED_LINES\s*$"
+# The files whose patches count.
 SOURCE = r"(?i)\.(?:py|ts|tsx|js|jsx|rs|cpp|cc|c|h|go|java|cs)$"
 NOT_SOURCE = r"(?i)(?:^|/)(?:docs?|tests?|examples?|tutorials?|notebooks?|fixtures?|vendor|node_modules|generated)/|(?:^|/)test_[^/]+$|(?:^|/)[^/]+(?:_test|\.test|\.spec)\.[a-z]+$"
+# The source modules that lineage follows, which are fewer than those whose patches count.
+MODULE_SOURCE = r"\.(?:py|ts|tsx|js|jsx|rs|go|cpp|c|h)$"
+NOT_MODULE = r"(?i)(^|/)(docs?|tests?|examples?|tutorials?|fixtures?|notebooks?|vendor|node_modules|generated)/|(^|/)(test_[^/]*|[^/]*(_test|\.test|\.spec)\.[^/]+)$"
+# What a patch's lines say.
 RELEVANT = r"(?i)(?:lora|low.rank|peft|adapter|train|finetun|retriev|rag|vector|embed|generat|query|knowledge|model|tokeniz)"
 PATCH = {
     "lora_llm": r"(?i)(?:\blora(?:config|model|lib|_?[a-z][a-z_]*|[A-Z][A-Za-z]*)\b|\bqlora\b|\bget_peft_model\b|\bmark_only_lora_as_trainable\b|\blow.rank\b)",
@@ -155,10 +160,14 @@ def source_patch(files: Column, max_files: int = 8, max_lines: int = 14) -> Colu
     return F.when(F.size(found) > 0, F.substring(F.array_join(found, "\n"), 1, 4500))
 
 
+def module_file(path: Column) -> Column:
+    return F.lower(path).rlike(MODULE_SOURCE) & ~path.rlike(NOT_MODULE)
+
+
 def anchor_paths(diff: Column) -> Column:
-    """Distinct paths of a diff's FILE lines, in order."""
-    marked = F.filter(F.split(diff, "\n"), lambda x: x.startswith("FILE "))
-    return F.array_distinct(F.transform(marked, lambda x: F.trim(F.substring(x, F.lit(6), F.length(x)))))
+    """Distinct paths of source modules in a diff's FILE lines, in order."""
+    marked = F.filter(F.split(diff, "\r\n|\r|\n"), lambda x: x.startswith("FILE "))
+    return F.array_distinct(F.filter(F.transform(marked, lambda x: F.trim(F.substring(x, F.lit(6), F.length(x)))), module_file))
 
 
 def matched_terms(body: Column, distinctive: Column, aliases: Column, context: Column) -> Column:

@@ -3,6 +3,8 @@ committed_at, filename, previous_filename, status, patch)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,16 +14,20 @@ from trendloom.sources.shared import materialize
 
 def descendants(parents: DataFrame, anchors: DataFrame, most: int = 10_000) -> DataFrame:
     """(repo, anchor_sha, sha, depth) of all commits below each anchor (repo, sha). A step is a join with the
-    frontier; commits already reached are left out, so merges don't multiply paths."""
-    reached = anchors.select("repo", F.col("sha").alias("anchor_sha"), "sha", F.lit(0).alias("depth"))
-    frontier, depth = reached, 0
+    frontier; commits already reached are left out, so merges don't multiply paths. A step writes its frontier
+    alone; every sixteen of them become one table. A history deeper than most raises an error."""
+    frontier = anchors.select("repo", F.col("sha").alias("anchor_sha"), "sha", F.lit(0).alias("depth"))
+    parts, depth = [frontier], 0
     while depth < most:
         depth += 1
         step = frontier.select("repo", "anchor_sha", F.col("sha").alias("parent_sha")).join(parents, ["repo", "parent_sha"]).select("repo", "anchor_sha", "sha").distinct()
+        reached = reduce(DataFrame.union, parts)
         frontier = materialize(step.join(reached, ["repo", "anchor_sha", "sha"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if frontier.isEmpty():
             return reached
-        reached = materialize(reached.union(frontier), "reached")
+        parts.append(frontier)
+        if len(parts) > 16:
+            parts = [materialize(reduce(DataFrame.union, parts), "reached")]
     raise ValueError("history is deeper than allowed")
 
 
@@ -78,7 +84,7 @@ def verdicts(cases: DataFrame, files: DataFrame, below: DataFrame) -> DataFrame:
     named = F.when(lora, name.rlike("lora|peft|adapter")).otherwise(name.rlike("rag|retriev|vector|query"))
     spoken = F.exists("code", lambda x: F.when(lora, x.rlike("(?i)lora|peft|adapter")).otherwise(x.rlike("(?i)rag|retriev|vector|embedding|knowledge.graph")))
     own = F.array_contains("paths", F.col("filename")) | ((F.col("file_status") == "renamed") & F.array_contains("paths", F.col("previous_filename")))
-    support = gates.source_file(F.col("filename")) & own & (F.size("code") > 0) & (named | spoken)
+    support = gates.module_file(F.col("filename")) & own & (F.size("code") > 0) & (named | spoken)
     found = each.groupBy("case_id").agg(F.max(F.coalesce(support, F.lit(False))).alias("support"))
     df = df.join(found, "case_id", "left")
     reason = (

@@ -18,7 +18,7 @@ def _titled(spark, sf_dir):
 
 def text_normal_forms(spark, sf_dir):
     d = _titled(spark, sf_dir)
-    return d.select("doc_id", text.plain_normalise(F.col("title")).alias("normal"), F.size(text.token_set(F.col("title"))).alias("n_tokens"), text.collapse(F.col("title")).alias("collapsed"))
+    return d.select("doc_id", text.normalise(F.col("title")).alias("normal"), F.size(text.token_set(F.col("title"))).alias("n_tokens"), text.collapse(F.col("title")).alias("collapsed"))
 
 
 def dedup_exact_documents(spark, sf_dir):
@@ -33,7 +33,7 @@ def dedup_exact_urls(spark, sf_dir):
 
 
 def _candidates(spark, sf_dir):
-    d = _titled(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("lang").alias("block"), F.slice(text.token_set(F.col("title")), 1, 40).alias("tokens"))
+    d = _titled(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("lang").alias("block"), text.token_set(F.col("title")).alias("tokens"))
     # rows of equal token sets are one candidate: its first row
     d = d.withColumn("k", F.array_sort("tokens")).groupBy("block", "k").agg(F.min("id").alias("id"), F.min_by("tokens", "id").alias("tokens"))
     return d.select("id", "block", "tokens", text.simhash(text.md5_longs(F.col("tokens"))).alias("simhash"), F.array().cast("array<string>").alias("actors"))
@@ -49,12 +49,22 @@ def dedup_greedy_resolution(spark, sf_dir):
     return dedup.resolve(c.select("id", F.col("id").alias("seq")), pairs).select("id", "unique", "duplicate_of", "reason", F.round("similarity", 6).alias("similarity"))
 
 
+def dedup_key_cases(spark, sf_dir):
+    """Keys of literal observations: full width, sharp s, ligatures, final sigma, mixed case in ids."""
+    rows = [(1, 'ＡＩ Agents for Straßenbau', 'Big_data-sets', 'Ada  Löwe', ' ORCID:0000-Ä '), (2, 'ai agents for STRASSENBAU', 'big data sets', 'ＡＤＡ löwe', ''), (3, 'Ünïcode ﬁne-tuning of LLMs №5', None, '  ', None), (4, 'a', '', None, 'X-ẞ'), (5, 'ΣΊΣΥΦΟΣ and σίσυφος', None, "Jean_Luc  D'Or", None)]
+    d = spark.createDataFrame(rows, "id int, title string, body string, name string, external_id string")
+    actors = text.actor_keys(F.array(F.struct("name", "external_id")))
+    tokens = text.token_set(F.col("title"))
+    simhash = F.lower(F.lpad(F.hex(text.simhash(text.blake2b_longs(tokens))), 16, "0"))
+    return d.select("id", text.content_hash(F.col("title"), F.col("body")).alias("content_hash"), simhash.alias("simhash"), F.array_join(actors, "|").alias("actors"))
+
+
 def simhash_titles(spark, sf_dir):
     return _candidates(spark, sf_dir).select("id", "simhash")
 
 
 def router_classify(spark, sf_dir):
-    d = read(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.substring("text", 1, 400).alias("direction"))
+    d = read(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("direction"))
     out = routing.classify(d, routing.signals(spark, _FAMILIES))
     return out.select("id", "profile", F.round("confidence", 3).alias("confidence"), F.array_join("matched", "|").alias("matched"))
 
@@ -74,7 +84,7 @@ def term_match_events(spark, sf_dir):
 
 
 def query_terms(spark, sf_dir):
-    d = read(spark, sf_dir, "conversations").where("role = 'user'")
+    d = read(spark, sf_dir, "conversations")
     return d.select("conv_id", "turn", F.array_join(gates.query_terms(F.lit("The then Tion and under que les edthe"), F.col("text"), _STOP), "|").alias("terms"))
 
 
@@ -86,7 +96,7 @@ def tfidf_top_terms(spark, sf_dir):
 
 def lexical_medoid(spark, sf_dir):
     """The document of each source whose mean cosine to the source's documents is highest."""
-    d = _titled(spark, sf_dir).join(read(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", text.first_line(F.col("text")).alias("title"))
     v = tfidf.vectors(d, "source", "doc_id", "title", r"(?U)\b(\w[\w-]+)\b", sublinear=False)
     mean = tfidf.mean_cosine(v, "source", "doc_id").withColumn("mean", F.round("mean", 6))
     return mean.groupBy("source").agg(F.min(F.struct(-F.col("mean"), "doc_id")).alias("m")).select("source", F.col("m.doc_id").alias("doc_id"))
@@ -94,8 +104,8 @@ def lexical_medoid(spark, sf_dir):
 
 def sample_gate_counts(spark, sf_dir):
     """Benchmark items as anchors against the documents of one source each."""
-    anchors = read(spark, sf_dir, "benchmark").where("item_id < 20").select(F.concat(F.lit("src"), F.col("item_id").cast("string")).alias("case_id"), F.col("text").alias("anchor"), F.array().cast("array<string>").alias("aliases"), F.array().cast("array<string>").alias("context"))
-    samples = read(spark, sf_dir, "documents").select(F.col("source").alias("case_id"), F.col("doc_id").alias("sample_id"), F.substring("text", 1, 300).alias("text"))
+    anchors = read(spark, sf_dir, "benchmark").select(F.concat(F.lit("src"), F.col("item_id").cast("string")).alias("case_id"), F.col("text").alias("anchor"), F.array().cast("array<string>").alias("aliases"), F.array().cast("array<string>").alias("context"))
+    samples = read(spark, sf_dir, "documents").select(F.col("source").alias("case_id"), F.col("doc_id").alias("sample_id"), "text")
     gated = gates.sample_gate(anchors, samples, similarity=0.05, cover=0.2)
     n = gated.groupBy("case_id").agg(F.count(F.lit(1)).alias("samples"), F.count_if("accepted").alias("matched"), F.round(F.avg("cosine"), 5).alias("cosine"), F.round(F.avg("coverage"), 5).alias("coverage"))
     return n.select("*", gates.estimate(F.col("samples") * 7, F.col("samples"), F.col("matched")).alias("estimated"))
@@ -139,7 +149,8 @@ def threshold_select(spark, sf_dir):
 
 _W = r"[\p{L}\p{M}\p{N}_]+"
 def _norm(x: str) -> str:
-    return f"array_to_string(regexp_extract_all(lower(translate({x}, '-_', '  ')), '{_W}'), ' ')"
+    # case folding writes a sharp s as two; the tables have no other letter that it changes beyond lower()
+    return f"array_to_string(regexp_extract_all(replace(lower(translate({x}, '-_', '  ')), 'ß', 'ss'), '{_W}'), ' ')"
 
 
 _TITLE = "trim(split_part(text, chr(10), 1))"
@@ -150,7 +161,7 @@ def _keep_first(x: str) -> str:
     return f"list_filter({x}, lambda t, i: list_position({x}, t) = i)"
 
 
-_CAND = f"""toks as (select doc_id as id, lang as block, list_slice({_keep_first(_SET)}, 1, 40) as tokens from documents),
+_CAND = f"""toks as (select doc_id as id, lang as block, {_keep_first(_SET)} as tokens from documents),
   cand as (select block, list_sort(tokens) as k, min(id) as id from toks group by all),
   bits as (select id, i, sum(case when (('0x' || substr(md5(t), 1, 15))::bigint >> i) & 1 = 1 then 1 else -1 end) as s from (select id, unnest(k) as t from cand), range(60) r(i) group by id, i),
   sim as (select id, sum(case when s >= 0 then (1::bigint << i) else 0 end)::bigint as simhash from bits group by id),
@@ -159,7 +170,7 @@ _CAND = f"""toks as (select doc_id as id, lang as block, list_slice({_keep_first
 
 def _router_sql() -> str:
     rows = ", ".join(f"('{p}', {i}, '{s}', least(2.0, 1 + length('{s}') / 24.0))" for i, (p, found) in enumerate(_FAMILIES.items()) for s in found)
-    return rf"""with d as (select conv_id || '-' || turn as id, trim(regexp_replace(lower(replace(substr(text, 1, 400), '-', ' ')), '\s+', ' ', 'g')) as t from conversations),
+    return rf"""with d as (select conv_id || '-' || turn as id, trim(regexp_replace(lower(replace(text, '-', ' ')), '\s+', ' ', 'g')) as t from conversations),
   sig(profile, place, signal, weight) as (values {rows}),
   hits as (select id, profile, place, signal, weight from d, sig where case when length(signal) <= 3 then contains(' ' || regexp_replace(t, '[^\p{{L}}\p{{M}}\p{{N}}_]', ' ', 'g') || ' ', ' ' || signal || ' ') else contains(t, signal) end),
   by_p as (select id, profile, place, sum(weight) as score, list(signal) as f from hits group by all),
@@ -197,6 +208,8 @@ QUERIES = {
     "dedup_exact_urls": (dedup_exact_urls, f"""with p as (select page_id, lower({_url(1)}) || '://' || lower({_url(2)}) || regexp_replace({_url(3)}, '/+$', '') as base,
       array_to_string(list_filter(string_split(substr({_url(4)}, 2), '&'), lambda x: x <> '' and not (starts_with(lower(x), 'utm_') or lower(split_part(x, '=', 1)) in ('ref', 'source', 'fbclid', 'gclid'))), '&') as q from pages)
       select base || case when q <> '' then '?' || q else '' end as url, min(page_id) as first_page, count(*) as n from p group by 1"""),
+    # computed apart from the engine, by hashlib and unicodedata
+    "dedup_key_cases": (dedup_key_cases, """select * from (values (1, '83de6a5c87dc8e464bd37baad317a4a19e01fc7f79ff58e39e4d57649b220248', '3df9df77ffc28a2f', 'id:orcid:0000-ä'), (2, '83de6a5c87dc8e464bd37baad317a4a19e01fc7f79ff58e39e4d57649b220248', '3df9df77ffc28a2f', 'name:ada löwe'), (3, 'a8f5b579517af1fbea813ce15b7e47852f3e2007b8ce69149d288cc1aa9c8c35', 'bb1fe7c2e767fafb', ''), (4, 'ca978112ca1bbdcafac231b39a23dc4da786eff8147c4e72b9807785afee48bb', '40f89e395b66422f', 'id:x-ss'), (5, 'd93c58ebb035b2314d3dd7a16137dc9a201e21e5e40fb373d2fb0f6a927371e5', 'ffff5efbd5a7df37', 'name:jean luc d or')) t(id, content_hash, simhash, actors)"""),
     "simhash_titles": (simhash_titles, f"with {_CAND} select id, simhash from c"),
     "dedup_fuzzy_pairs": (dedup_fuzzy_pairs, f"""with {_CAND}, p as (select x.id as a, y.id as b, len(list_intersect(x.k, y.k)) / len(list_distinct(x.k || y.k))::double as j, bit_count(xor(x.simhash, y.simhash)) as d
       from c x join c y on x.block = y.block and x.id < y.id where len(x.k) >= 4 and len(y.k) >= 4) select a, b, round(least(j, 1 - d / 64.0), 6) as similarity from p where j >= 0.6 and d <= 16"""),
@@ -207,12 +220,12 @@ QUERIES = {
       c as (select *, list_filter(['er', 'un'], lambda x: contains(l, x)) as ctx from d),
       h as (select *, list_filter(['Ouwhea', 'tion'], lambda x: case when x = 'Ouwhea' then contains(text, x) else contains(l, x) end) || list_filter(['of the', 'and'], lambda x: case when x = 'of the' then contains(l, x) else contains(w, ' ' || x || ' ') and len(ctx) > 0 end) as hits from c)
       select conv_id, turn, case when len(hits) > 0 then array_to_string(hits || ctx, '|') else '' end as terms from h"""),
-    "query_terms": (query_terms, "select conv_id, turn, array_to_string(list_filter(['then', 'tion', 'under', 'que', 'les', 'edthe'], lambda x: contains(lower(text), x)), '|') as terms from conversations where role = 'user'"),
+    "query_terms": (query_terms, "select conv_id, turn, array_to_string(list_filter(['then', 'tion', 'under', 'que', 'les', 'edthe'], lambda x: contains(lower(text), x)), '|') as terms from conversations"),
     "tfidf_top_terms": (tfidf_top_terms, f"with src as (select 'all' as g, item_id as d, text as t from benchmark), {_tf(_WORDS, '(1 + ln(tf))')} select term, round(sum(w), 6) as weight, max(df) as df from v group by term"),
     "lexical_medoid": (lexical_medoid, f"""with src as (select source as g, doc_id as d, {_TITLE} as t from documents), {_tf(_WORDS[:-1] + f"[{_WORDS[1:-2]}-]*" + _WORDS[:-1], 'tf')},
       tot as (select g, term, sum(w) as s from v group by all), m as (select v.g, v.d, round(sum(w * s) / max(n), 6) as mean from v join tot on v.g = tot.g and v.term = tot.term group by all)
       select g as source, d as doc_id from m qualify row_number() over (partition by g order by mean desc, d) = 1"""),
-    "sample_gate_counts": (sample_gate_counts, f"""with cases as (select 'src' || item_id as g, text as a from benchmark where item_id < 20), samples as (select source as g, doc_id as d, substr(text, 1, 300) as t from documents where source in (select g from cases)),
+    "sample_gate_counts": (sample_gate_counts, f"""with cases as (select 'src' || item_id as g, text as a from benchmark), samples as (select source as g, doc_id as d, text as t from documents where source in (select g from cases)),
       src as (select * from samples union all select g, -1, a from cases), {_tf(f"[{_WORDS[1:-2]}-]" + "{2,}", '(1 + ln(tf))')},
       cos as (select x.g, x.d, sum(x.w * y.w) as c from v x join v y on x.g = y.g and x.term = y.term and y.d = -1 where x.d <> -1 group by all),
       k as (select g, d, list_distinct(list_filter([trim(x, '-') for x in regexp_extract_all(lower(t), '[{_WORDS[1:-2]}-]+')], lambda x: length(x) >= 3)) as k from src),

@@ -151,7 +151,7 @@ def monthly_buckets(spark, sf_dir):
 
 
 def monthly_grouping_sets(spark, sf_dir):
-    return timeline.monthly_totals(evidence(spark, sf_dir).where("profile = 'software_ai'"))
+    return timeline.monthly_totals(evidence(spark, sf_dir))
 
 
 def independent_units(spark, sf_dir):
@@ -230,7 +230,7 @@ QUERIES = {
     "stage_distribution": (stage_distribution, _SCORES + "select profile, stage, research_only, count(*) as n, round(avg(total), 6) as avg_total from scored group by all"),
     "result_status": (result_status, _SCORES + "select profile, count(*) as candidates, least(count(*), 15) as trend_count, case when count(*) < 15 then 'partial' else 'ok' end as status from scored where total >= 40 group by profile"),
     "monthly_buckets": (monthly_buckets, f"with {_E} select trend_id, {_MONTHS} as period, evidence_type, provider, count(*) as n from evidence group by all"),
-    "monthly_grouping_sets": (monthly_grouping_sets, f"with {_E} select trend_id, {_MONTHS} as period, evidence_type, provider, count(*) as n from evidence where profile = 'software_ai' group by grouping sets ((trend_id, {_MONTHS}), (trend_id, {_MONTHS}, evidence_type), (trend_id, {_MONTHS}, provider))"),
+    "monthly_grouping_sets": (monthly_grouping_sets, f"with {_E} select trend_id, {_MONTHS} as period, evidence_type, provider, count(*) as n from evidence group by grouping sets ((trend_id, {_MONTHS}), (trend_id, {_MONTHS}, evidence_type), (trend_id, {_MONTHS}, provider))"),
     "independent_units": (independent_units, f"with {_E}, {_UNITS.format(src='evidence')} select trend_id, unit_key, observation_id, verified, event_time from units"),
     "unit_projection_counts": (unit_projection_counts, f"with {_E}, {_UNITS.format(src='evidence')} select trend_id, count(*) as units, count(distinct evidence_type) as types, count(distinct provider) as providers, count(distinct actor) as actors, count(distinct {_MONTHS}) as periods, min(event_time) as first_seen, max(event_time) as last_seen from units group by trend_id"),
     "score_independent_units": (score_independent_units, f"with {_E}, {_UNITS.format(src='''(select * from evidence where event_time < date '1997-12-31' + interval 1 day)''')}, {states_sql(source='units')}, {_C} select trend_id, observation_count, {_ROUNDED}, stage from scored"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trendloom.functions import scalars
@@ -63,8 +64,8 @@ def backfill_windows(spark, sf_dir):
 
 
 def _daily(spark, sf_dir):
-    """A curve for each type and day: purchases above a value, which are rare enough for gaps."""
-    e = read(spark, sf_dir, "events").where("user_id % 10 = 1").select(F.concat_ws("-", "event_type", (F.col("user_id") % 50).cast("string")).alias("case_id"), F.to_date("ts").alias("period"))
+    """A curve of days for each type and user, which are rare enough for gaps."""
+    e = read(spark, sf_dir, "events").select(F.concat_ws("-", "event_type", F.col("user_id").cast("string")).alias("case_id"), F.to_date("ts").alias("period"))
     days = e.select("case_id").distinct().select("case_id", F.explode(F.sequence(F.lit(date(2024, 1, 1)), F.lit(date(2024, 1, 30)))).alias("period"))
     n = e.groupBy("case_id", "period").agg(F.count(F.lit(1)).alias("n"))
     return days.join(n, ["case_id", "period"], "left").select("case_id", "period", F.coalesce("n", F.lit(0)).alias("n"))
@@ -128,9 +129,8 @@ def top_labels(spark, sf_dir):
 def _graph(spark, sf_dir):
     """A commit graph over orders: customers are repositories, a commit's parent is the customer's order before
     it, and every seventh commit is on a branch of its own."""
-    o = read(spark, sf_dir, "orders").where("o_custkey < 200").select(F.col("o_custkey").cast("string").alias("repo"), F.col("o_orderkey").cast("string").alias("sha"), F.col("o_orderkey").alias("k"))
-    p = o.alias("a").join(o.alias("b"), (F.col("a.repo") == F.col("b.repo")) & (F.col("b.k") < F.col("a.k")))
-    p = p.groupBy(F.col("a.repo").alias("repo"), F.col("a.sha").alias("sha"), F.col("a.k").alias("k")).agg(F.max("b.k").alias("pk")).where("k % 7 <> 0")
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("repo"), F.col("o_orderkey").cast("string").alias("sha"), F.col("o_orderkey").alias("k"))
+    p = o.withColumn("pk", F.lag("k").over(Window.partitionBy("repo").orderBy("k"))).where("pk is not null and k % 7 <> 0")
     return o, p.select("repo", "sha", F.col("pk").cast("string").alias("parent_sha"))
 
 
@@ -154,10 +154,12 @@ def lineage_verdicts(spark, sf_dir):
     parents = spark.createDataFrame([("r", "b", "a"), ("r", "c", "b"), ("r", "x", "z")], "repo string, sha string, parent_sha string")
     below = lineage.descendants(parents, parents.select("repo", F.col("parent_sha").alias("sha")).distinct())
     patch = "+class LoraLayer:\n+    pass"
-    files = spark.createDataFrame([("r", "b", "peft/lora.py", None, "modified", patch), ("r", "c", "docs/lora.md", None, "modified", patch), ("r", "x", "peft/lora.py", None, "modified", patch)], "repo string, sha string, filename string, previous_filename string, status string, patch string")
+    files = spark.createDataFrame([("r", "b", "peft/lora.py", None, "modified", patch), ("r", "b", "peft/Lora.java", None, "modified", patch), ("r", "c", "docs/lora.md", None, "modified", patch), ("r", "x", "peft/lora.py", None, "modified", patch)], "repo string, sha string, filename string, previous_filename string, status string, patch string")
     d, diff = "Low-rank adaptation for language models", "FILE peft/lora.py\n+class LoraConfig:"
     base = (d, "r", "a", 1, "commit", "Add LoRA fine-tuning for LLM adapters", None, diff)
     cases = [(1, *base, "r", "b", 2, "commit"), (2, *base, "r", "c", 3, "commit"), (3, *base, "r", "x", 3, "commit"), (4, *base, "q", "b", 2, "commit"), (5, *base, "r", "b", 1, "commit"), (6, *base, "r", "a", 2, "commit"), (7, *base[:-1], None, "r", "b", 2, "commit")]
+    # modules in Java aren't followed, and an anchor that changes nothing but docs has none
+    cases += [(8, *base[:-1], "FILE peft/Lora.java\n+class LoraConfig:\nFILE peft/other.py\n+x", "r", "b", 2, "commit"), (9, *base[:-1], "FILE docs/lora.py\n+class LoraConfig:", "r", "b", 2, "commit")]
     shape = "case_id int, technology_direction string, anchor_repo string, anchor_sha string, anchor_at int, anchor_kind string, anchor_title string, anchor_text string, anchor_diff string, repo string, sha string, at int, kind string"
     return lineage.verdicts(spark.createDataFrame(cases, shape), files, below)
 
@@ -183,7 +185,7 @@ def events_session(spark, sf_dir):
     return e.groupBy("user_id", F.session_window("ts", "2 hours").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
 
 
-_DAILY = """e as (select event_type || '-' || (user_id % 50)::varchar as case_id, ts::date as period from events where user_id % 10 = 1), c as (select case_id, period, count(*) as n from e group by all),
+_DAILY = """e as (select event_type || '-' || user_id::varchar as case_id, ts::date as period from events), c as (select case_id, period, count(*) as n from e group by all),
   d as (select x.case_id, p.d::date as period, coalesce(c.n, 0) as n from (select distinct case_id from e) x cross join (select unnest(generate_series(date '2024-01-01', date '2024-01-30', interval 1 day)) as d) p left join c on c.case_id = x.case_id and c.period = p.d::date),
   l as (select *, coalesce(lead(n, 1) over w, 0) as n1, coalesce(lead(n, 2) over w, 0) as n2 from d window w as (partition by case_id order by period)),
   t as (select a.case_id, a.period, a.n, (select min(b.period) from l b where b.case_id = a.case_id and b.n > 0 and ((b.n1 > 0 and b.period + 1 <= a.period) or (b.n2 > 0 and b.period + 2 <= a.period))) as first_sustained, (select sum(b.n) from l b where b.case_id = a.case_id and b.period <= a.period)::bigint as running from l a)"""
@@ -216,10 +218,10 @@ QUERIES = {
     "abstract_rebuild": (abstract_rebuild, r"select conv_id, turn, regexp_replace(trim(text, ' '), '\s+', ' ', 'g') as abstract from conversations"),
     "actors_capped": (actors_capped, "with f as (select l_partkey, l_suppkey, min(l_orderkey * 100 + l_linenumber) as k from lineitem group by all), r as (select *, row_number() over (partition by l_partkey order by k, l_suppkey) as rn from f) select l_partkey, string_agg(l_suppkey::varchar, ',' order by rn) filter (rn <= 20) as actors, count(*) as total, count(*) > 20 as truncated from r group by l_partkey"),
     "top_labels": (top_labels, "with c as (select l_suppkey as s, p_brand as label, count(*) as n, min(l_orderkey) as f from lineitem join part on l_partkey = p_partkey group by all) select s, row_number() over (partition by s order by n desc, f, label) as place, label, n from c qualify place <= 5"),
-    "ancestor_closure": (ancestor_closure, """with recursive o as (select o_custkey::varchar as repo, o_orderkey as k from orders where o_custkey < 200), p as (select repo, k, lag(k) over (partition by repo order by k) as pk from o), e as (select repo, k, pk from p where pk is not null and k % 7 <> 0),
+    "ancestor_closure": (ancestor_closure, """with recursive o as (select o_custkey::varchar as repo, o_orderkey as k from orders), p as (select repo, k, lag(k) over (partition by repo order by k) as pk from o), e as (select repo, k, pk from p where pk is not null and k % 7 <> 0),
       r as (select repo, k as a, k as s, 0::bigint as depth from o where k % 11 = 0 union all select r.repo, r.a, e.k, depth + 1 from r join e on e.repo = r.repo and e.pk = r.s) select repo, a::varchar as anchor_sha, s::varchar as sha, depth from r"""),
     "rename_chain": (rename_chain, "select * from (values (1, 'm3.py', 2, 'no_more_verified_renames'), (2, 'm3.py', 0, 'no_more_verified_renames'), (3, 'm1.py', 0, 'no_more_verified_renames')) t(case_id, path, hops, reason)"),
-    "lineage_verdicts": (lineage_verdicts, "select * from (values (1, 'supporting', 'confirmed_ancestor_and_same_module_source_change'), (2, 'rejected', 'no_executable_changes_to_confirmed_module'), (3, 'rejected', 'not_confirmed_descendant'), (4, 'rejected', 'cross_repository'), (5, 'rejected', 'candidate_not_later_than_verified_anchor'), (6, 'rejected', 'same_commit_is_not_supporting_activity'), (7, 'review_required', 'no_verified_anchor_source_paths')) t(case_id, verdict, reason)"),
+    "lineage_verdicts": (lineage_verdicts, "select * from (values (1, 'supporting', 'confirmed_ancestor_and_same_module_source_change'), (2, 'rejected', 'no_executable_changes_to_confirmed_module'), (3, 'rejected', 'not_confirmed_descendant'), (4, 'rejected', 'cross_repository'), (5, 'rejected', 'candidate_not_later_than_verified_anchor'), (6, 'rejected', 'same_commit_is_not_supporting_activity'), (7, 'review_required', 'no_verified_anchor_source_paths'), (8, 'rejected', 'no_executable_changes_to_confirmed_module'), (9, 'review_required', 'no_verified_anchor_source_paths')) t(case_id, verdict, reason)"),
     "bridge_events": (bridge_events, f"with {EVIDENCE_SQL}, r as (select *, row_number() over (partition by trend_id, unit_key, verified order by event_time, observation_id) as rn from evidence) select trend_id, case when not verified then 'rejected' when rn = 1 then 'accepted' else 'later_supporting' end as label, count(*) as n, min(event_time) as first from r group by all"),
     "monthly_samples": (monthly_samples, "with r as (select *, strftime(o_orderdate, '%Y-%m') as period, row_number() over (partition by o_orderpriority, strftime(o_orderdate, '%Y-%m') order by o_orderdate, o_orderkey) as rn from orders) select o_orderpriority, period, count(*) as n, string_agg(o_orderkey::varchar, ',' order by rn) filter (rn <= 15) as samples from r group by all"),
     "events_tumbling": (events_tumbling, "select time_bucket(interval 6 hours, ts, timestamp '2024-01-01') as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by all"),

@@ -91,7 +91,9 @@ def git_events(commits: DataFrame, releases: DataFrame, terms: Column, most: int
     c = commits.select("repo", F.lit("commit").alias("kind"), F.col("sha").alias("event_id"), F.coalesce("committed_at", "authored_at").alias("occurred_at"), text.first_line(F.col("message")).alias("title"), F.col("message").alias("body"))
     r = releases.where("not coalesce(draft, false) and published_at is not null and html_url is not null and release_id is not null").select("repo", F.lit("release").alias("kind"), F.col("release_id").cast("string").alias("event_id"), F.col("published_at").alias("occurred_at"), F.coalesce("name", "tag").alias("title"), F.concat_ws(" ", "name", "tag", "body").alias("body"))
     hit = F.exists(terms, lambda t: F.contains(F.lower("body"), F.lower(t)))
-    each = c.unionByName(r).where(hit).dropDuplicates(["repo", "kind", "event_id"])
+    # of rows that name one event, the last by time and text counts, in every run
+    last = F.max(F.struct("occurred_at", "title", "body")).alias("e")
+    each = c.unionByName(r).where(hit).groupBy("repo", "kind", "event_id").agg(last).select("repo", "kind", "event_id", "e.*")
     order = Window.partitionBy("repo").orderBy("occurred_at", "kind", "event_id")
     pool = each.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
     if patches is None:
