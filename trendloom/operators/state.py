@@ -2,18 +2,60 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.functions import scalars, vectors
 
 
+#: Vectors of a block; two blocks meet in one product.
+BLOCK = 1000
+
+
+def _blocks(df: DataFrame, keys: list[str], name: str, vector: str) -> DataFrame:
+    """keys, dim_ (the vectors' length) and arrays of about BLOCK rows of df each, as column name."""
+    df = df.where(F.col(vector).isNotNull()).withColumn("dim_", F.size(vector))
+    group = [*keys, "dim_"]
+    sizes = df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks_"))
+    dealt = df.join(sizes, group).withColumn("block_", F.pmod(F.xxhash64("id"), F.col("blocks_")))
+    rest = [c for c in df.columns if c not in group]
+    return dealt.groupBy(*group, "block_").agg(F.collect_list(F.struct(*rest)).alias(name)).drop("block_")
+
+
 def nearest(clusters: DataFrame, states: DataFrame, keys: list[str], threshold: float = 0.82) -> DataFrame:
     """cluster_id, trend_id, similarity of the best state of each cluster among those with equal keys; ties go
-    to the state that was created first, then to the least id."""
-    s = states.select(*keys, "trend_id", F.col("centroid").alias("state_centroid"), "created_at")
-    met = clusters.join(s, keys).withColumn("similarity", vectors.cosine(F.col("centroid"), F.col("state_centroid"))).where(F.col("similarity") >= threshold)
-    first = met.groupBy("cluster_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "created_at", "trend_id")).alias("best"))
+    to the state that was created first, then to the least id. Vectors meet in blocks, each pair of which is one
+    product, so that a key of any size is dealt over tasks and no pair becomes a row. Null vectors, and those
+    that have no direction or another length, match nothing."""
+    own = _blocks(clusters.select(*keys, F.col("cluster_id").alias("id"), F.col("centroid").cast("array<double>").alias("v")), keys, "c", "v")
+    ids = states.select(*keys, F.col("trend_id").alias("id"), "created_at", F.col("centroid").cast("array<double>").alias("v"))
+    met = own.join(_blocks(ids, keys, "s", "v"), [*keys, "dim_"]).select("c", "s")
+    shape = f"cluster_id {clusters.schema['cluster_id'].dataType.simpleString()}, similarity double, created_at {states.schema['created_at'].dataType.simpleString()}, trend_id {states.schema['trend_id'].dataType.simpleString()}"
+
+    def unit(rows: pa.StructArray) -> np.ndarray:
+        v = rows.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+        with np.errstate(all="ignore"):
+            return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, s in zip(batch.column(0), batch.column(1), strict=True):
+                c, s = c.values, s.values
+                # equal products: the first in this order counts
+                s = s.take(pc.sort_indices(pa.table({"a": s.field("created_at"), "b": s.field("id")}), sort_keys=[("a", "ascending"), ("b", "ascending")]))
+                product = np.nan_to_num(unit(c) @ unit(s).T, nan=-2.0)
+                top = product.argmax(axis=1)
+                value = product[np.arange(len(top)), top]
+                hit = np.flatnonzero(value >= threshold)
+                at = pa.array(top[hit])
+                yield pa.RecordBatch.from_arrays([c.field("id").take(pa.array(hit)), pa.array(value[hit]), s.field("created_at").take(at), s.field("id").take(at)], ["cluster_id", "similarity", "created_at", "trend_id"])
+
+    first = met.mapInArrow(best, shape).groupBy("cluster_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "created_at", "trend_id")).alias("best"))
     return first.select("cluster_id", F.col("best.trend_id").alias("trend_id"), (-F.col("best.s")).alias("similarity"))
 
 

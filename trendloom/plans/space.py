@@ -31,7 +31,7 @@ def vector_gate(spark, sf_dir):
 def nearest_state_match(spark, sf_dir):
     """Rows with even ids as states of their label's parity, odd ones as clusters."""
     p = _points(spark, sf_dir).withColumn("parity", F.col("label") % 2)
-    states = p.where("vec_id % 2 = 0 and vec_id < 200").select("parity", F.col("vec_id").alias("trend_id"), F.col("vector").alias("centroid"), F.to_timestamp(F.lit("2024-01-01")).alias("created_at"))
+    states = p.where("vec_id % 2 = 0").select("parity", F.col("vec_id").alias("trend_id"), F.col("vector").alias("centroid"), F.to_timestamp(F.lit("2024-01-01")).alias("created_at"))
     clusters = p.where("vec_id % 2 = 1").select("parity", F.col("vec_id").alias("cluster_id"), F.col("vector").alias("centroid"))
     return state.nearest(clusters, states, ["parity"], 0.2).select("cluster_id", "trend_id", F.round("similarity", 5).alias("similarity"))
 
@@ -91,7 +91,7 @@ QUERIES = {
     "embedding_centroids": (embedding_centroids, f"with {_V}, {_MEAN} select cen.label, (select count(*) from p where p.label = cen.label) as n, (i - 1)::int as pos, round(c[i] / l, 5) as x from cen, range(1, 65) r(i)"),
     "vector_validity": (vector_validity, f"with {_V} select vec_id, len(v) = 64 as valid, round(sqrt(list_dot_product(v, v)), 5) as norm from p"),
     "vector_gate": (vector_gate, f"with {_V}, {_MEAN} select vec_id, p.label, round({_COS.format(a='v', b='c')}, 5) as similarity, {_COS.format(a='v', b='c')} >= 0.15 as accepted from p join cen on p.label = cen.label"),
-    "nearest_state_match": (nearest_state_match, f"with {_V}, s as (select label % 2 as parity, vec_id as trend_id, v as sv from p where vec_id % 2 = 0 and vec_id < 200), c as (select label % 2 as parity, vec_id as cluster_id, v from p where vec_id % 2 = 1), m as (select cluster_id, trend_id, {_COS.format(a='v', b='sv')} as sim from c join s on c.parity = s.parity) select cluster_id, trend_id, round(sim, 5) as similarity from m where sim >= 0.2 qualify row_number() over (partition by cluster_id order by sim desc, trend_id) = 1"),
+    "nearest_state_match": (nearest_state_match, f"with {_V}, s as (select label % 2 as parity, vec_id as trend_id, v as sv from p where vec_id % 2 = 0), c as (select label % 2 as parity, vec_id as cluster_id, v from p where vec_id % 2 = 1), m as (select cluster_id, trend_id, {_COS.format(a='v', b='sv')} as sim from c join s on c.parity = s.parity) select cluster_id, trend_id, round(sim, 5) as similarity from m where sim >= 0.2 qualify row_number() over (partition by cluster_id order by sim desc, trend_id) = 1"),
     "retrieval_metrics": (retrieval_metrics, f"""with {_V}, {_SIM}, r as (select *, label = query_label as rel, label = (query_label + 1) % 10 as hard, row_number() over (partition by query_id order by similarity desc, doc_id desc) as rk from s),
       e as (select query_label, query_id, count(*) filter (rel and rk <= 1) / count(*) filter (rel)::double as r1, count(*) filter (rel and rk <= 3) / count(*) filter (rel)::double as r3, count(*) filter (rel and rk <= 5) / count(*) filter (rel)::double as r5, min(rk) filter (rel) as best, min(rk) filter (hard) as worst from r group by all)
       select query_label, count(*) as queries, round(avg(coalesce(r1, 0)), 6) as recall_at_1, round(avg(coalesce(r3, 0)), 6) as recall_at_3, round(avg(coalesce(r5, 0)), 6) as recall_at_5, round(avg(coalesce(1.0 / best, 0)), 6) as mrr, round(avg(case when best < worst then 1.0 else 0.0 end), 6) as hard_negative_win_rate from e group by query_label"""),
