@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,6 +247,49 @@ def test_levels_merge_geometrically(spark, make):
     assert index.all().select("sign").distinct().count() == 15
 
 
+def test_merge_scan_finds_neighbours_across_batches_and_ranges(spark):
+    """Runs that ranges cut into pieces, in small Arrow batches, against a plain count by gram."""
+    rng = np.random.default_rng(2)
+    keys = np.sort(rng.integers(0, 60, 700))
+    rows = sorted({(int(k) // 7, int(k), int(s), int(p), bool(f)) for k, s, p, f in zip(keys, rng.integers(0, 40, 700), rng.integers(0, 3, 700), rng.integers(0, 12, 700) == 0, strict=True)})
+    rows += [(99, 99, 7, 7, False)] * 20 + [(99, 100, 1, 1, True)]
+    places, fresh = collections.defaultdict(set), set()
+    for _, gram, sign, low, new in rows:
+        places[gram].add((sign, low))
+        if new:
+            fresh.add(gram)
+    want = {g for g in fresh if len(places[g]) > 1}
+    schema = pa.schema([("head", pa.int64()), ("gram", pa.int64()), ("sign", pa.int64()), ("low", pa.int32()), ("new", pa.bool_())])
+    for cuts in ([0, len(rows)], [0, 1, 300, 301, 500, len(rows)]):
+        runs = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows[i : min(i + 9, b)]], schema) for i in range(a, b, 9)]
+            runs += [r for x in suffixes._neighbours(iter(batches)) for r in x.to_pylist()]
+        got = collections.defaultdict(lambda: [False, set()])
+        for r in runs:
+            got[r["gram"]][0] |= r["new"]
+            got[r["gram"]][1] |= {(r["sign_a"], r["low_a"]), (r["sign_b"], r["low_b"])}
+        assert {g for g, (new, at) in got.items() if new and len(at) > 1} == want
+
+
+def test_levels_hold_suffix_order(spark, make):
+    """A level's files, read in their order, are one sorted array; a later batch meets what an earlier one has."""
+    index = suffixes.SuffixIndex(40, 16)
+    rng = np.random.default_rng(3)
+    words = ["".join(map(chr, rng.integers(97, 123, 90))) for _ in range(6)]
+    first = make([(i, w) for i, w in enumerate(words)]).withColumn("sign", F.xxhash64("text"))
+    assert index.add(first).count() == 0
+    second = make([(9, "0" * 30 + words[4] + "1" * 9)]).withColumn("sign", F.xxhash64("text"))
+    assert index.add(second).count() > 0
+    level = index.levels[1].withColumn("file", F.input_file_name())
+    parts = collections.defaultdict(list)
+    for r in level.collect():
+        parts[r.file].append((r.head, r.gram, r.sign, r.low))
+    assert all(p == sorted(p) for p in parts.values())
+    ends = [(p[0], p[-1]) for _, p in sorted(parts.items())]
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:], strict=False))
+
+
 # --- line dedup
 
 

@@ -2,9 +2,11 @@
 
 An entry of a suffix array is an anchor: the place of the least hash of a gram within some window of ``length``
 bytes. Equal windows have their anchors at equal places, so entries for these places alone find all repeats
-of that length. A new batch of texts gets its entries in suffix order (first bytes of the suffix, then gram),
-dealt by gram; it is scanned together with all existing levels, and a gram that meets one from elsewhere is a
-long match. Two levels of one rank merge into one of the next, so n batches leave about log2(n) levels.
+of that length. A new batch of texts gets a suffix array: its entries in order of the suffix's first bytes, then
+of the hash of its gram, dealt over tasks by ranges of that order. It is merged with all existing levels into one
+order and scanned once: entries with a common gram are neighbours there, and where one of them is new and their
+places differ, there is a long match. Two levels of one rank merge into one of the next, so n batches leave about
+log2(n) levels.
 
 Only windows at matched grams are then compared, by hash of all their bytes: first whole runs of windows with
 equal surroundings, then, for what is left, window by window.
@@ -24,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import PrefixHash, groups_of, materialize, small_batches
+from trendloom.llm.common import PrefixHash, discard, groups_of, materialize, small_batches
 
 LENGTH, GRAM = 400, 128
 #: Batches in which the registered query adds its table; bytes of text at one gram that a task holds at most.
 BATCHES, HELD = 3, 8_000_000
-#: Tasks over which the entries of one gram are dealt.
-PARTS = 64
+#: Suffix order; the place breaks ties, so that ranges may cut through a gram that a third of all entries share.
+_ORDER = ("head", "gram", "sign", "low")
 _SLOT_BITS = 20
 _ENTRY = "head long, gram long, sign long, at int, low int, high int, around long"
 
@@ -78,7 +80,7 @@ def entries(raws: list[bytes], length: int, gram: int) -> Iterator[tuple[np.ndar
 
 
 def sparse_suffixes(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Entries of texts (sign, text), dealt by gram and sorted by suffix."""
+    """Entries of texts (sign, text), as they come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in _ENTRY.split(", ")]
@@ -89,12 +91,47 @@ def sparse_suffixes(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                 small = (pa.array(c, pa.int32()) for c in (at, low, high))
                 yield pa.RecordBatch.from_arrays([pa.array(head), pa.array(grams), pa.array(signs[owner]), *small, pa.array(around)], names)
 
-    return _dealt(texts.select("sign", "text").mapInArrow(run, _ENTRY))
+    return texts.select("sign", "text").mapInArrow(run, _ENTRY)
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """Entries dealt by gram, each gram over PARTS tasks (one may hold a third of all), sorted by suffix."""
-    return rows.repartition("gram", F.pmod("sign", F.lit(PARTS))).sortWithinPartitions("head", "gram")
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Rows in suffix order, a range of it in each task."""
+    return rows.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER)
+
+
+_RUN = "head long, gram long, new boolean, sign_a long, low_a long, sign_b long, low_b long"
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pass over a range of entries (head, gram, sign, low, new) in suffix order. Runs of neighbours with a
+    common gram, with their first and last place, if they are matches; the first and the last run of the range in
+    any case, since they may go on in the ranges beside it. Only the run at hand is held."""
+    names = [c.split()[0] for c in _RUN.split(", ")]
+
+    def batch_of(runs: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if n == "new" else pa.int64()) for c, n in zip(runs, names, strict=True)], names)
+
+    held, edge = None, True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        head, gram, sign, low, new = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        lead = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (gram[1:] != gram[:-1])]))
+        last = np.append(lead[1:], len(head)) - 1
+        runs = [head[lead], gram[lead], np.logical_or.reduceat(new, lead), sign[lead], low[lead], sign[last], low[last]]
+        if held is not None and held[0] == head[0] and held[1] == gram[0]:
+            runs[2][0] |= held[2]
+            runs[3][0], runs[4][0] = held[3], held[4]
+        elif held is not None:
+            runs = [np.append(h, c) for h, c in zip(held, runs, strict=True)]
+        held, runs = [c[-1] for c in runs], [c[:-1] for c in runs]
+        hit = runs[2].astype(bool) & ((runs[3] != runs[5]) | (runs[4] != runs[6]))
+        if edge and len(hit):
+            hit[0], edge = True, False
+        if hit.any():
+            yield batch_of([c[hit] for c in runs])
+    if held is not None:
+        yield batch_of([np.array([x]) for x in held])
 
 
 class SuffixIndex:
@@ -107,19 +144,26 @@ class SuffixIndex:
     def add(self, texts: DataFrame) -> DataFrame:
         """Index texts (sign, text), and return the grams (gram) for which they have a match, among themselves
         or in the levels."""
-        new = materialize(sparse_suffixes(texts, self.length, self.gram), "suffixes")
-        place = F.struct("sign", "low")
-        lists = [new.select("gram", place.alias("place"), F.lit(True).alias("new"))]
-        lists += [level.select("gram", place.alias("place"), F.lit(False).alias("new")) for level in self.levels.values()]
-        scan = lists[0]
-        for x in lists[1:]:
-            scan = scan.union(x)
-        met = scan.groupBy("gram").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.max("new").alias("new"))
-        found = materialize(met.where("new and a <> b").select("gram"), "matches")
-        rank = 0
+        raw = materialize(sparse_suffixes(texts, self.length, self.gram), "entries")
+        new = materialize(_in_order(raw), "suffixes")
+        discard(raw)
+        both = new.select(*_ORDER, F.lit(True).alias("new"))
+        for level in self.levels.values():
+            both = both.union(level.select(*_ORDER, F.lit(False).alias("new")))
+        runs = _in_order(both).mapInArrow(_neighbours, _RUN)
+        # a run that ranges cut is put together here
+        met = runs.groupBy("head", "gram").agg(F.min(F.struct("sign_a", "low_a")).alias("a"), F.max(F.struct("sign_b", "low_b")).alias("b"), F.max("new").alias("new"))
+        found = materialize(met.where("new and (a.sign_a <> b.sign_b or a.low_a <> b.low_b)").select("gram"), "matches")
+        rank, merged = 0, [new]
         while rank in self.levels:
-            new = materialize(_dealt(new.union(self.levels.pop(rank))), "suffixes")
+            merged.append(self.levels.pop(rank))
             rank += 1
+        if rank:
+            array = new
+            for level in merged[1:]:
+                array = array.union(level)
+            new = materialize(_in_order(array), "suffixes")
+            discard(*merged)
         self.levels[rank] = new
         return found
 
