@@ -166,7 +166,7 @@ def test_ingest_plan_and_running_centroid(spark):
     assert got["c1"] == ("existing_observation", "t1") and got["c2"] == ("centroid", "t1") and got["c4"] == ("deterministic_replay", "t1")
     assert got["c3"][0] == "new" and got["c3"][1].startswith("trend:p:")
     c = {r.trend_id: r for r in state.applied_centroids(planned, states).collect()}["t1"]
-    want = np.array([2.0, 0.0]) / 2 * 2 + np.array([0.99, 0.1])
+    want = np.array([2.0, 0.0]) + np.array([0.99, 0.1]) / np.hypot(0.99, 0.1)
     assert c.n == 3 and np.allclose(c.centroid, want / np.linalg.norm(want))
 
 

@@ -71,6 +71,8 @@ def plan(clusters: DataFrame, states: DataFrame, ownership: DataFrame, threshold
     """clusters (cluster_id, profile, direction_key, model, member_ids, centroid, first_seen) with trend_id and
     reason. All are planned against the states before the batch, so clusters of one batch never join each other:
     deterministic_replay (nothing is new), existing_observation, centroid, or new."""
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be in (0, 1]")
     owned = owners(clusters, ownership)
     replay = clusters.select("cluster_id", F.explode("member_ids").alias("observation_id")).join(ownership.select("observation_id", "trend_id"), "observation_id", "left").groupBy("cluster_id").agg(F.count_if(F.col("trend_id").isNull()).alias("fresh"))
     near = nearest(clusters, states, ["profile", "direction_key", "model"], threshold)
@@ -82,14 +84,14 @@ def plan(clusters: DataFrame, states: DataFrame, ownership: DataFrame, threshold
 
 def applied_centroids(planned: DataFrame, states: DataFrame) -> DataFrame:
     """trend_id, n, centroid after the batch: clusters are folded into the old centroid in order of cluster_id,
-    each weighted by its new observations, normalised after each step."""
+    each normalised and weighted by its new observations; the sum is normalised after each step."""
     steps = planned.where("fresh > 0").groupBy("trend_id").agg(F.array_sort(F.collect_list(F.struct("cluster_id", "fresh", "centroid"))).alias("steps"))
     df = steps.join(states.select("trend_id", F.col("observation_count").alias("old_n"), F.col("centroid").alias("old")), "trend_id", "left")
     kind = "struct<n:bigint,v:array<double>>"
     start = F.struct(F.coalesce("old_n", F.lit(0)).cast("bigint").alias("n"), F.coalesce(F.col("old").cast("array<double>"), F.array().cast("array<double>")).alias("v")).cast(kind)
 
     def fold(s, c):
-        mixed = F.zip_with(s["v"], c["centroid"], lambda a, b: a * s["n"] + b.cast("double") * c["fresh"])
+        mixed = F.zip_with(s["v"], vectors.normalised(c["centroid"].cast("array<double>")), lambda a, b: a * s["n"] + b * c["fresh"])
         v = F.when(F.size(s["v"]) == 0, c["centroid"].cast("array<double>")).otherwise(mixed)
         return F.struct((s["n"] + c["fresh"]).alias("n"), vectors.normalised(v).alias("v")).cast(kind)
 
