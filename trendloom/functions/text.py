@@ -153,3 +153,9 @@ def segments(title: Column, body: Column) -> Column:
 
 def first_line(x: Column) -> Column:
     return F.trim(F.substring_index(x, "\n", 1))
+
+
+def resolved_simhash(stored: Column, title: Column) -> Column:
+    """The stored hash where it is up to 16 hexadecimal digits, else that of the title's tokens."""
+    digits = F.regexp_extract(F.trim(stored), "^(?:0[xX])?([0-9a-fA-F]{1,16})$", 1)
+    return F.when(digits != "", F.conv(digits, 16, -10).cast("long")).otherwise(simhash(blake2b_longs(token_set(title))))

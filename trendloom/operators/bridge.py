@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 def anchors(observations: DataFrame, ownership: DataFrame, most: int = 3) -> DataFrame:
     """Repositories that a trend owns and whose own date isn't known, most of each trend."""
+    if most < 1:
+        raise ValueError("most must be at least 1")
     mine = observations.where("provider = 'github' and artifact_kind = 'repository' and published_at is null and external_id rlike '^[^/]+/[^/]+$'").join(ownership, "observation_id")
     place = F.row_number().over(Window.partitionBy("trend_id").orderBy("observation_id"))
     return mine.withColumn("place_", place).where(F.col("place_") <= most).drop("place_")

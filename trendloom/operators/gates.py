@@ -186,3 +186,11 @@ def matched_terms(body: Column, distinctive: Column, aliases: Column, context: C
 def query_terms(query: Column, haystack: Column, stopwords: tuple[str, ...], most: int = 12) -> Column:
     words = F.filter(F.regexp_extract_all(F.lower(query), F.lit(r"(?U)(\w+)"), 1), lambda t: (F.length(t) >= 3) & ~t.isin(*stopwords))
     return F.slice(F.array_distinct(F.filter(words, lambda t: F.contains(F.lower(haystack), t))), 1, most)
+
+
+def accepted_actors(samples: DataFrame, accepted: DataFrame, by: list[str]) -> DataFrame:
+    """by and the sorted distinct actors of those samples (by, sample, actor_keys) that accepted (by, sample) names;
+    blank actors don't count."""
+    kept = samples.join(accepted.select(*by, "sample").distinct(), [*by, "sample"], "left_semi")
+    each = kept.select(*by, F.explode("actor_keys").alias("actor")).where("trim(actor) <> ''")
+    return each.groupBy(*by).agg(F.array_sort(F.collect_set("actor")).alias("actors"))

@@ -79,3 +79,11 @@ def routes(policies: DataFrame, providers: DataFrame) -> DataFrame:
     out = joined.select("profile", "provider", F.coalesce("enabled", F.lit(True)).alias("enabled"), F.coalesce("role", "default_role", F.lit("discovery")).alias("role"), known.alias("evidence_type"), "collection_priority", ready.alias("execution_status"))
     order = Window.partitionBy("profile").orderBy(F.desc("collection_priority"), "provider")
     return out.withColumns({"collectable": F.col("enabled") & (F.col("execution_status") == "ready"), "place": F.row_number().over(order)})
+
+
+def match_case(cases: DataFrame, asked: str | None) -> DataFrame:
+    """The first of cases (pos, id, label, aliases) that has the text asked for in its names, or whose id is in that
+    text, in any case of letters; no row for a blank text."""
+    needle = F.lit((asked or "").strip().lower())
+    names = F.lower(F.concat_ws(" ", "id", "label", F.array_join(F.coalesce("aliases", F.array().cast("array<string>")), " ")))
+    return cases.where((needle != "") & (F.contains(names, needle) | F.contains(needle, F.lower("id")))).orderBy("pos").limit(1)

@@ -75,3 +75,10 @@ def calendar_windows(start, end):
     """array<struct<period, start, end>> of the months from start to end, the last one cut at end."""
     firsts = F.sequence(F.trunc(start, "MM"), F.trunc(end, "MM"), F.expr("interval 1 month"))
     return F.transform(firsts, lambda d: F.struct(F.date_format(d, "yyyy-MM").alias("period"), F.greatest(d, start).alias("start"), F.least(F.last_day(d), end).alias("end")))
+
+
+def first_periods(curve: DataFrame, by: str, fields: list[str]) -> DataFrame:
+    """by and, for each field, the first period in which it is above 0; a field that never is raises an error."""
+    never = lambda f: F.raise_error(F.concat(F.lit(f"no active period for {f}: "), F.col(by).cast("string")))
+    found = curve.groupBy(by).agg(*(F.min(F.when(F.col(f) > 0, F.col("period"))).alias(f) for f in fields))
+    return found.select(by, *(F.coalesce(f, never(f)).alias(f"first_{f}") for f in fields))

@@ -35,7 +35,22 @@ def priority(evidence_type: Column) -> Column:
     return out
 
 
-def representative_sources(evidence: DataFrame, n: int, activity: str = "stars") -> DataFrame:
+def activity(metrics: Column) -> Column:
+    """The sum of a record's four public counts (a map), each cut to a whole number; what is no number counts
+    nothing."""
+    each = [F.coalesce(F.try_element_at(metrics, F.lit(k)).try_cast("double").cast("bigint"), F.lit(0)) for k in ("stars", "citations", "cited_by_count", "forks")]
+    return each[0] + each[1] + each[2] + each[3]
+
+
+def references(evidence: Column, sources: Column) -> Column:
+    """All names under which a trend's evidence (structs with observation_id, url, source_ref, raw_ref) and sources
+    (id, url, source_ref) can be cited, distinct and sorted; null arrays have none."""
+    named = lambda items, keys: F.coalesce(F.flatten(F.transform(items, lambda i: F.array(*(i[k] for k in keys)))), F.array().cast("array<string>"))
+    every = F.concat(named(evidence, ("observation_id", "url", "source_ref", "raw_ref")), named(sources, ("id", "url", "source_ref")))
+    return F.array_sort(F.array_distinct(F.filter(every, lambda r: r != "")))
+
+
+def representative_sources(evidence: DataFrame, n: int, activity: str | Column = "stars") -> DataFrame:
     """The first n of each trend by type, activity and date."""
     ranked = evidence.withColumn("priority", priority(F.col("evidence_type")))
     order = Window.partitionBy("trend_id").orderBy(F.desc("priority"), F.desc(activity), F.desc("event_time"), "observation_id")

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trendloom.functions import scalars
-from trendloom.operators import backfill, bridge, lineage, state, timeline
+from trendloom.operators import backfill, bridge, ingest, lineage, state, timeline
 from trendloom.plans.evidence import AS_OF, EVIDENCE_SQL, evidence, read
 from trendloom.sources import projections, specs, store
 
@@ -46,6 +46,29 @@ def state_new_ids(spark, sf_dir):
     return state.new_members(e.where("event_id % 3 = 0").select(F.col("user_id").alias("trend_id"), F.col("event_id").alias("observation_id")), known)
 
 
+_CUT = "1996-07-01"
+
+
+def state_ingest_replay(spark, sf_dir):
+    """Orders as observations, customers as clusters: the early orders, then all of them, then the early ones again,
+    which must change nothing."""
+    o = read(spark, sf_dir, "orders")
+    seen = o.select(
+        F.col("o_orderkey").cast("string").alias("observation_id"), F.col("o_orderpriority").alias("evidence_type"), F.col("o_orderstatus").alias("provider"), F.lit("order").alias("artifact_kind"),
+        F.col("o_orderdate").cast("timestamp").alias("event_time"), F.concat(F.lit("month:"), scalars.month_key(F.col("o_orderdate"))).alias("unit_key"), (F.col("o_orderstatus") == "F").alias("verified"),
+        F.array(F.col("o_orderstatus")).alias("actors"), F.concat(F.lit("c"), "o_custkey").alias("cluster_id"),
+    )
+    kept, now = ingest.empty(spark), F.to_timestamp(F.lit("2024-01-01"))
+    for rows in (seen.where(F.col("event_time") < _CUT), seen, seen.where(F.col("event_time") < _CUT)):
+        c = rows.groupBy("cluster_id").agg(F.collect_list("observation_id").alias("member_ids"), F.min("event_time").alias("first_seen"))
+        c = c.select("cluster_id", F.lit("mixed").alias("profile"), F.col("cluster_id").alias("direction_key"), F.lit("none").alias("model"), "member_ids", F.array(F.lit(1.0), F.lit(0.0)).alias("centroid"), "first_seen")
+        kept, _ = ingest.ingest(kept, c, rows.drop("cluster_id"), now)
+    urgent = kept.counters.where("kind = 'evidence' and name = '1-URGENT'").select("trend_id", F.col("n").alias("urgent"), F.col("first_at").cast("date").cast("string").alias("first_urgent"))
+    found = kept.units.groupBy("trend_id").agg(F.count(F.lit(1)).alias("units"), F.count_if("verified").alias("verified_units"))
+    t = kept.trends.join(urgent, "trend_id", "left").join(found, "trend_id", "left")
+    return t.select("direction_key", "observation_count", F.col("first_seen").cast("date").cast("string").alias("first_seen"), F.col("last_seen").cast("date").cast("string").alias("last_seen"), "update_count", F.coalesce("urgent", F.lit(0)).alias("urgent"), "first_urgent", "units", "verified_units")
+
+
 def collection_resume_pages(spark, sf_dir):
     """Pages of 100 events, with the batch id that a rerun would give them again."""
     e = read(spark, sf_dir, "events").select("event_id", F.floor(F.col("event_id") / 100).alias("page"))
@@ -200,6 +223,10 @@ QUERIES = {
     "observation_upsert_stats": (observation_upsert_stats, f"with {_UP} select count(*) filter (event_id not in (select event_id from o)) as inserted, count(*) filter (event_id in (select event_id from o)) as updated from n"),
     "observation_upsert": (observation_upsert, f"with {_UP} select event_id, event_type, round(value, 4) as value from n union all select event_id, event_type, round(value, 4) from o where event_id not in (select event_id from n)"),
     "observations_list": (observations_list, "select event_id as observation_id, ts as observed_at from events where event_type = 'click' order by ts, event_id limit 100"),
+    "state_ingest_replay": (state_ingest_replay, f"""with u as (select o_custkey, strftime(o_orderdate, '%Y-%m') as m, bool_or(o_orderstatus = 'F') as v from orders group by all), n as (select o_custkey, count(*) as units, count(*) filter (v) as verified_units from u group by all)
+      select 'c' || o_custkey as direction_key, count(*) as observation_count, min(o_orderdate)::date::varchar as first_seen, max(o_orderdate)::date::varchar as last_seen,
+        (min(o_orderdate) < '{_CUT}')::bigint + (max(o_orderdate) >= '{_CUT}')::bigint as update_count, count(*) filter (o_orderpriority = '1-URGENT') as urgent, (min(o_orderdate) filter (o_orderpriority = '1-URGENT'))::date::varchar as first_urgent,
+        any_value(units) as units, any_value(verified_units) as verified_units from orders join n using (o_custkey) group by o_custkey"""),
     "state_new_ids": (state_new_ids, "select user_id as trend_id, event_id as observation_id from events where event_id % 3 = 0 and event_id % 2 <> 0"),
     "collection_resume_pages": (collection_resume_pages, """select event_id // 100 as page, count(*) as records, min(event_id) as first_id, max(event_id) as last_id, 'page-' || substr(sha256('events|all|{"page":' || (event_id // 100)::varchar || '}'), 1, 24) as batch_id from events group by event_id // 100"""),
     "upsert_from_json_props": (upsert_from_json_props, "select event_type, count(*) as n, sum((props::json ->> 'k')::int)::bigint as total, max((props::json ->> 'k')::int) as most from events group by event_type"),

@@ -72,10 +72,17 @@ def microcluster_quality(spark, sf_dir):
 
 
 def dbscan_core_points(spark, sf_dir):
+    return clustering.core_points(clustering.close_pairs(_points(spark, sf_dir), "label", "vec_id", "vector", 0.2), 3)
+
+
+def dbscan_clusters(spark, sf_dir):
     p = _points(spark, sf_dir)
-    a, b = p.alias("a"), p.alias("b")
-    near = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id"))).where(F.round(vectors.cosine(F.col("a.vector"), F.col("b.vector")), 6) >= 0.2)
-    return clustering.core_points(near.select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b")), 3)
+    return clustering.dbscan(p.select(F.col("vec_id").alias("id")), clustering.close_pairs(p, "label", "vec_id", "vector", 0.3), 3)
+
+
+def threshold_sweep(spark, sf_dir):
+    p = _points(spark, sf_dir).withColumn("block", F.col("label") % 2)
+    return clustering.sweep(p, "block", "vec_id", "vector", "label", [0.7, 0.8, 0.9])
 
 
 _V = "p as (select vec_id, label, embedding::double[] as v from embeddings)"
@@ -85,7 +92,7 @@ _SIM = f"q as (select vec_id as query_id, label as query_label, v as qv from p w
 _QUALITY = """cells as (select label, cluster, count(*)::double as n from l group by all), w as (select sum(n) as t, sum(n * ln(n)) as h, sum(n * (n - 1) / 2) as p from cells),
   a as (select sum(n * ln(n)) as ht, sum(n * (n - 1) / 2) as pt from (select label, sum(n) as n from cells group by label)), b as (select sum(n * ln(n)) as hf, sum(n * (n - 1) / 2) as pf, count(*) as clusters, count(*) filter (n = 1) as singletons from (select cluster, sum(n) as n from cells group by cluster)),
   e as (select *, ln(t) - ht / t as th, ln(t) - hf / t as fh, ln(t) - h / t as jh, pt * pf / (t * (t - 1) / 2) as chance, (pt + pf) / 2 as top from w, a, b), g as (select *, (th + fh - jh) / th as ho, (th + fh - jh) / fh as co from e)
-  select clusters, singletons, round(ho, 6) as homogeneity, round(co, 6) as completeness, round(2 * ho * co / (ho + co), 6) as v_measure, round((p - chance) / (top - chance), 6) as ari from g"""
+  select clusters, 0 as noise, singletons, round(ho, 6) as homogeneity, round(co, 6) as completeness, round(2 * ho * co / (ho + co), 6) as v_measure, round(2 * ho * co / (ho + co), 6) as nmi, round(1.5 * ho * co / (0.5 * ho + co), 6) as purity_weighted_v, round((p - chance) / (top - chance), 6) as ari from g"""
 
 QUERIES = {
     "embedding_centroids": (embedding_centroids, f"with {_V}, {_MEAN} select cen.label, (select count(*) from p where p.label = cen.label) as n, (i - 1)::int as pos, round(c[i] / l, 5) as x from cen, range(1, 65) r(i)"),
@@ -99,5 +106,11 @@ QUERIES = {
     "clustering_quality_fixed": (clustering_quality_fixed, f"with l as (select label, vec_id % 7 as cluster from embeddings), {_QUALITY}"),
     "cluster_composition": (cluster_composition, "select vec_id % 7 as cluster, label, count(*) as n from embeddings group by all"),
     "microcluster_quality": (microcluster_quality, None),
+    "threshold_sweep": (threshold_sweep, None),
+    "dbscan_clusters": (dbscan_clusters, f"""with recursive {_V}, n as (select a.vec_id as a, b.vec_id as b from p a join p b on a.label = b.label and a.vec_id <> b.vec_id where round({_COS.format(a='a.v', b='b.v')}, 6) >= 0.3),
+      core as (select a as id from n group by a having count(*) + 1 >= 3), inn as (select a, b from n where a in (select id from core) and b in (select id from core)),
+      reach(id, seen) as (select id, id from core union select reach.id, inn.b from reach join inn on inn.a = reach.seen), root as (select id, min(seen) as cluster from reach group by id),
+      border as (select n.a as id, min(root.cluster) as cluster from n join root on root.id = n.b where n.a not in (select id from core) group by n.a)
+      select vec_id as id, coalesce(root.cluster, border.cluster) as cluster from p left join root on root.id = vec_id left join border on border.id = vec_id"""),
     "dbscan_core_points": (dbscan_core_points, f"with {_V}, n as (select a.vec_id as a, b.vec_id as b from p a join p b on a.label = b.label and a.vec_id < b.vec_id where round({_COS.format(a='a.v', b='b.v')}, 6) >= 0.2) select id from (select a as id from n union all select b from n) group by id having count(*) + 1 >= 3"),
 }

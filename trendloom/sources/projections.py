@@ -107,6 +107,22 @@ def earliest_events(pool: DataFrame) -> DataFrame:
     return pool.groupBy("repo").agg(F.min(F.struct("occurred_at", "kind", "event_id", "title")).alias("e")).select("repo", "e.*")
 
 
+def event_observations(events: DataFrame, direction: str, profile: str, query_id: str, observed_at: str) -> DataFrame:
+    """Observations of verified dated events (repo, kind, event_id, occurred_at, title, body, matched_terms), each
+    linked to its repository."""
+    name = F.concat("repo", F.lit(":"), "kind", F.lit(":"), "event_id")
+    owner = F.substring_index("repo", "/", 1)
+    return events.select(
+        F.concat(F.lit("github:"), name).alias("observation_id"), F.lit("github").alias("provider"), F.lit("implementation").alias("evidence_type"), F.col("kind").alias("artifact_kind"), name.alias("external_id"),
+        "title", F.coalesce(F.nullif("body", F.lit("")), "title").alias("text"), F.col("occurred_at").alias("published_at"), F.lit(observed_at).alias("observed_at"), F.lit("en").alias("language"),
+        F.array(F.struct(owner.alias("name"), F.lit("organization").alias("kind"), owner.alias("external_id"), F.lit(None).cast("string").alias("country"))).alias("actors"),
+        F.array_distinct(F.concat(F.array(F.lit(direction)), "matched_terms")).alias("source_topics"),
+        F.array(F.struct(F.lit("belongs_to_repository").alias("type"), F.concat(F.lit("github:"), "repo").alias("target_id"))).alias("relationships"),
+        F.struct(F.lit(True).alias("historical_timestamp_verified"), F.lit(False).alias("mutable_repository_metadata_used_for_timestamp")).alias("quality_flags"),
+        F.struct(F.lit(direction).alias("technology_direction"), F.lit(profile).alias("source_profile"), F.lit(query_id).alias("query_id"), F.col("matched_terms")).alias("collection_context"),
+    )
+
+
 def patent_observations(pages: DataFrame, column: str = "xml", observed_at: str = "") -> DataFrame:
     """Patents of XML documents, one a row. Documents over 3 MB, or with a DOCTYPE or ENTITY, are left out before
     any is parsed. English titles and abstracts come first; applicants are distinct."""

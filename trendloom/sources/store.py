@@ -5,6 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trendloom.functions import scalars
+
+
+def _or_error(ok: Column, value: Column, message: str) -> Column:
+    return F.when(F.coalesce(ok, F.lit(False)), value).otherwise(F.raise_error(F.lit(message)))
+
+
+def checked_provider(provider: Column) -> Column:
+    return _or_error(provider.rlike(r"\A[A-Za-z0-9_.-]+\z"), provider, "provider must match [A-Za-z0-9_.-]+")
+
+
+def checked_key(key: Column) -> Column:
+    return _or_error(F.trim(key) != "", key, "checkpoint key must be a non-empty string")
+
+
+def checked_state(state_json: Column) -> Column:
+    """A checkpoint's state as JSON text, which must be an object."""
+    return _or_error(state_json.rlike(r"\A\s*\{") & F.try_parse_json(state_json).isNotNull(), state_json, "checkpoint state must be a JSON object")
+
+
+def checked_time(observed_at: Column) -> Column:
+    """The time, or now where there is none; one without a zone raises an error."""
+    return F.when(observed_at.isNull(), F.current_timestamp()).otherwise(_or_error(scalars.strict_zoned_time(observed_at).isNotNull(), scalars.strict_zoned_time(observed_at), "observed_at must include timezone"))
+
+
+def with_raw_ref(observations: DataFrame, uri: str | Column | None) -> DataFrame:
+    """observations with the raw batch that holds them; without one, what they name stays."""
+    if uri is None:
+        return observations if "raw_ref" in observations.columns else observations.withColumn("raw_ref", F.lit(None).cast("string"))
+    return observations.withColumn("raw_ref", F.lit(uri) if isinstance(uri, str) else uri)
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """old with the rows of new in place of those of equal key. Within new the last by order wins."""
