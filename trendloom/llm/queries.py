@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendloom.llm import concurrency, gif, jaccard, language, lines, lz, mixing, packing, pii, quality, suffixes, winnow
+from trendloom.llm import concurrency, gif, jaccard, language, lines, lz, mixing, packing, pii, quality, suffixes, whitening, winnow
 from trendloom.llm.common import documents
 
 
@@ -60,6 +60,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_digest(spark, sf_dir)
+
+
 def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.contamination_digest(spark, sf_dir)
 
@@ -69,7 +73,7 @@ def op13_peak_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_lz_fingerprint": op2_lz_fingerprint, "op3_gif_media": op3_gif_media, "op4_parity_join": op4_parity_join, "op5_suffix_index": op5_suffix_index, "op6_language_id": op6_language_id, "op7_line_dedup": op7_line_dedup, "op8_mixing": op8_mixing, "op9_quality": op9_quality, "op10_pii": op10_pii, "op12_winnowing": op12_winnowing, "op13_peak_concurrency": op13_peak_concurrency}
+    return {"op1_packing": op1_packing, "op2_lz_fingerprint": op2_lz_fingerprint, "op3_gif_media": op3_gif_media, "op4_parity_join": op4_parity_join, "op5_suffix_index": op5_suffix_index, "op6_language_id": op6_language_id, "op7_line_dedup": op7_line_dedup, "op8_mixing": op8_mixing, "op9_quality": op9_quality, "op10_pii": op10_pii, "op11_whitening": op11_whitening, "op12_winnowing": op12_winnowing, "op13_peak_concurrency": op13_peak_concurrency}
 
 
 def oracle_sql() -> dict[str, str]:
