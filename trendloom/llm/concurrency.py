@@ -128,8 +128,10 @@ def sale_intervals(sales: DataFrame, lines: DataFrame, clients: DataFrame) -> Da
     """(key, a, b, cents): each sale for its client's nation (-1 without one) and for -2, all nations. Where
     client_id repeats in clients, the least nation counts. Sales without an id have no lines and are dealt by hash."""
     ends = lines.where("sale_id is not null and shipped_at is not null").groupBy("sale_id").agg(F.max("shipped_at").alias("shipped"))
-    ends = ends.select(F.col("sale_id").alias("sale"), F.lit(True).alias("known_sale"), "shipped")
-    nations = clients.where("client_id is not null").groupBy("client_id").agg(F.min("nation_id").alias("nation")).withColumnRenamed("client_id", "client").withColumn("known_client", F.lit(True))
+    # written, so that the joins read exchanges of their own, whose large partitions adaptive execution can split
+    ends = materialize(ends.select(F.col("sale_id").alias("sale"), F.lit(True).alias("known_sale"), "shipped"), "ends")
+    nations = clients.where("client_id is not null").groupBy("client_id").agg(F.min("nation_id").alias("nation"))
+    nations = materialize(nations.select(F.col("client_id").alias("client"), F.lit(True).alias("known_client"), "nation"), "nations")
     sold = sales.where("sold_at is not null")
     # null ids meet nothing; a hash in their place keeps them out of one task
     spread = F.xxhash64("sale_id", "client_id", "sold_at", "total")
