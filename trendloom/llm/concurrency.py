@@ -121,7 +121,8 @@ def sweep(intervals: DataFrame) -> DataFrame:
     whole = intervals.select("key", "a", F.coalesce("b", F.lit(TOP)).alias("b"), "cents").where("key is not null and a < b")
     counted = materialize(whole.groupBy("key", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents")), "intervals")
     nodes, moments = materialize(dyadic_nodes(counted), "nodes"), materialize(change_moments(counted), "moments")
-    return maxima(materialize(open_at(moments, nodes), "opens"))
+    found = maxima(materialize(open_at(moments, nodes), "opens"))
+    return found.select("key", "t", "to_t", "n_open", "open_cents", "high_open", "is_peak")
 
 
 def sale_intervals(sales: DataFrame, lines: DataFrame, clients: DataFrame) -> DataFrame:

@@ -98,7 +98,7 @@ def _factor(fit: DataFrame, n: int, sums: np.ndarray) -> np.ndarray:
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = np.zeros((0, d))
-        for batch in batches:
+        for batch in (b for b in batches if b.num_rows):
             x = (centred(_matrix(batch.column(0)), n, sums) / n).astype(float)
             for a in range(0, len(x), BLOCK):
                 r = _fold(r, x[a : a + BLOCK])
@@ -119,7 +119,7 @@ def _factor(fit: DataFrame, n: int, sums: np.ndarray) -> np.ndarray:
         tasks = -(-left // FAN_IN)
         # round robin deals them evenly
         found = materialize(found.repartition(tasks).mapInArrow(stack, "r array<double>"), "factors")
-        left = min(found.count(), tasks)
+        left = found.count()
     return np.array(found.first().r).reshape(-1, d)
 
 
