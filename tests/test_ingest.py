@@ -66,6 +66,51 @@ def test_ingest_refuses_what_it_cannot_count(spark):
     assert planned.count() == 0 and all(df.count() == 0 for df in after)
 
 
+def plain_ingest(batches):
+    """Trends (members, observation count, centroid) by applying clusters one by one, in order of cluster_id."""
+    trends, owner = {}, {}
+    for batch in batches:
+        snapshot = {k: t["v"] for k, t in trends.items()}
+        aims = []
+        for cid, key, ids, v, _ in sorted(batch):
+            v = np.array(v) / np.linalg.norm(v)
+            owned = {owner[i] for i in ids if i in owner}
+            near = max(((float(snapshot[k] @ v), k) for k in snapshot if k[0] == key), default=(0, None))
+            aims.append((ids, v, next(iter(owned)) if owned else near[1] if near[0] >= 0.82 else (key, cid)))
+        for ids, v, aim in aims:
+            t = trends.setdefault(aim, {"ids": set(), "n": 0, "v": None})
+            new = [i for i in ids if i not in t["ids"]]
+            if new:
+                mixed = v if t["v"] is None else t["v"] * t["n"] + v * len(new)
+                t |= {"n": t["n"] + len(new), "v": mixed / np.linalg.norm(mixed), "ids": t["ids"] | set(new)}
+                owner.update(dict.fromkeys(new, aim))
+    return sorted((t["n"], sorted(t["ids"]), t["v"].round(9).tolist()) for t in trends.values())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_overlapping_clusters_count_each_member_once(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = seen(spark, *((f"{k}{i}", "patent", 3, f"u{k}{i}", False, []) for k in "kj" for i in range(12)))
+    batches = [[("c0", "k", ["k0"], [1.0, 0.0], 1), ("d0", "j", ["j0"], [0.0, 1.0], 1)]]
+    for b in (1, 2):  # clusters of a trend share its first member, and others among them
+        batch = []
+        for k, base in (("k", [1.0, 0.0]), ("j", [0.0, 1.0])):
+            for c in range(3):
+                ids = {f"{k}0"} | {f"{k}{i}" for i in rng.choice(12, 5)}
+                batch.append((f"c{b}{k}{c}", k, sorted(ids), (np.array(base) + rng.random(2) * 0.3).tolist(), 2))
+        batches.append(batch)
+    kept = ingest.empty(spark)
+    for batch in batches:
+        kept, planned = ingest.ingest(kept, clusters(spark, *batch), rows, now(10))
+    owned = {}
+    for r in kept.ownership.collect():
+        owned.setdefault(r.trend_id, []).append(r.observation_id)
+    got = sorted((t.observation_count, sorted(owned[t.trend_id]), np.round(t.centroid, 9).tolist()) for t in kept.trends.collect())
+    assert got == plain_ingest(batches)
+    by = {r.trend_id: r.n for r in kept.counters.where("kind = 'evidence'").collect()}
+    assert by == {t.trend_id: t.observation_count for t in kept.trends.collect()}
+
+
 def plain_dbscan(x, least, most):
     near = np.round(x @ x.T, 6) >= most
     core = near.sum(1) >= least

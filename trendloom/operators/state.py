@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.functions import scalars, vectors
+from trendloom.sources.shared import materialize
 
 
 #: Vectors of a block; two blocks meet in one product.
@@ -69,17 +70,26 @@ def owners(clusters: DataFrame, ownership: DataFrame) -> DataFrame:
 
 def plan(clusters: DataFrame, states: DataFrame, ownership: DataFrame, threshold: float = 0.82) -> DataFrame:
     """clusters (cluster_id, profile, direction_key, model, member_ids, centroid, first_seen) with trend_id and
-    reason. All are planned against the states before the batch, so clusters of one batch never join each other:
-    deterministic_replay (nothing is new), existing_observation, centroid, or new."""
+    reason, and fresh, the observations that it brings. All are planned against the states before the batch, so clusters
+    of one batch never join each other: deterministic_replay (nothing is new), existing_observation, centroid, or new.
+    An observation that several clusters of a trend share counts for the first of them alone."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    owned = owners(clusters, ownership)
-    replay = clusters.select("cluster_id", F.explode("member_ids").alias("observation_id")).join(ownership.select("observation_id", "trend_id"), "observation_id", "left").groupBy("cluster_id").agg(F.count_if(F.col("trend_id").isNull()).alias("fresh"))
     near = nearest(clusters, states, ["profile", "direction_key", "model"], threshold)
-    df = clusters.join(owned, "cluster_id", "left").join(replay, "cluster_id").join(near, "cluster_id", "left")
     new = scalars.trend_id(F.col("profile"), F.col("direction_key"), F.date_format("first_seen", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.col("cluster_id"))
-    reason = F.when(F.col("owner").isNotNull() & (F.col("fresh") == 0), "deterministic_replay").when(F.col("owner").isNotNull(), "existing_observation").when(F.col("trend_id").isNotNull(), "centroid").otherwise("new")
-    return df.select(*clusters.columns, F.coalesce("owner", "trend_id", new).alias("trend_id"), "similarity", reason.alias("reason"), "fresh")
+    aimed = clusters.join(owners(clusters, ownership), "cluster_id", "left").join(near, "cluster_id", "left")
+    aimed = materialize(aimed.select("cluster_id", F.coalesce("owner", "trend_id", new).alias("trend_id"), "similarity", "owner", F.col("trend_id").isNotNull().alias("near"), "member_ids"), "aimed")
+    fresh = first_bringers(aimed, ownership).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("fresh"))
+    df = clusters.join(aimed.drop("member_ids"), "cluster_id").join(fresh, "cluster_id", "left").withColumn("fresh", F.coalesce("fresh", F.lit(0)))
+    reason = F.when(F.col("owner").isNotNull() & (F.col("fresh") == 0), "deterministic_replay").when(F.col("owner").isNotNull(), "existing_observation").when(F.col("near"), "centroid").otherwise("new")
+    return df.select(*clusters.columns, "trend_id", "similarity", reason.alias("reason"), "fresh")
+
+
+def first_bringers(aimed: DataFrame, ownership: DataFrame) -> DataFrame:
+    """(trend_id, observation_id, cluster_id) of the observations that no trend owns yet: of a trend's clusters that
+    hold one, the first in order of cluster_id brings it, since clusters are applied in that order."""
+    each = aimed.select("trend_id", "cluster_id", F.explode("member_ids").alias("observation_id")).join(ownership.select("observation_id"), "observation_id", "left_anti")
+    return each.groupBy("trend_id", "observation_id").agg(F.min("cluster_id").alias("cluster_id"))
 
 
 def applied_centroids(planned: DataFrame, states: DataFrame) -> DataFrame:
