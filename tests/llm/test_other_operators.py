@@ -205,7 +205,7 @@ def test_pipeline_stages(spark):
 def test_registered_queries_have_the_contract_columns(spark):
     want = {"op1_": {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}, "op4_": {"doc_id", "n_shingles", "component_id"}, "op6_": {"doc_id", "held_out", "lang_pred", "score"}, "op9_": {"doc_id", "held_out", "score", "predicted"}}
     found = queries.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 14))
     for prefix, columns in want.items():
         name = next(n for n in found if n.startswith(prefix))
         assert columns <= set(found[name](spark, DATA).columns)
@@ -244,3 +244,46 @@ def test_pii_replaces_all_of_a_long_local_part(make):
         assert host == "example.org" and re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", local))) == re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", x)))
         assert local[:26] != x[:26] and (len(x) == 26 or local[26:] != x[26:])
     assert len(set(new.values())) == 4
+
+
+def test_pseudonyms_of_all_kinds_are_one_to_one(spark, make):
+    """Values of all classes of a kind together: pseudonyms differ as the values do, and have their form."""
+    rng = np.random.default_rng(8)
+    ten = [f"{a}{b:02d}-{c}{d:02d}-{e:04d}" for a in range(10) for c in range(10) for b, d, e in rng.integers(0, [100, 100, 10_000], (12, 3)).tolist()]
+    phones = sorted({"124-400-0037", "548-843-5924", *ten})
+    ips = sorted({f"{a}.{b}.{c}.{d}" for a in (0, 1, 9, 127, 223, 224, 255) for b, c, d in rng.integers(0, 256, (60, 3)).tolist()})
+    ssns = sorted({f"{a:03d}-{b:02d}-{c:04d}" for a in (1, 2, 664, 665, 667, 668, 899) for b, c in rng.integers(1, [100, 10_000], (60, 2)).tolist()})
+    dates = sorted({f"{y}-{m:02d}-{d:02d}" for y in (1951, 1999, 2000, 2023, 2024) for m in (1, 2, 12) for d in range(1, 29)} | {"2000-02-29", "2024-02-29"})
+    shape = lambda x: re.sub("[0-9]", "9", x)
+    for kind, values in (("phone", phones), ("ip", ips), ("ssn", ssns), ("date", dates)):
+        done = pii.pii_digest(make(list(enumerate(values))), "k").collect()
+        new = {r.doc_id: r.text for r in done}
+        assert {r[f"n_{kind}"] for r in done} == {1}, kind
+        assert len(set(new.values())) == len(values), kind
+        if kind != "ip":
+            assert all(shape(new[i]) == shape(x) for i, x in enumerate(values))
+    planned = lambda x: x[0] in "23456789" and x[4] in "23456789"
+    got = {r.doc_id: r.text for r in pii.pii_digest(make(list(enumerate(phones))), "k").collect()}
+    assert all(planned(got[i]) == planned(x) for i, x in enumerate(phones))
+
+
+def test_pii_keeps_extra_columns_and_repeated_rows(make):
+    df = make([(1, "call 548-843-5924"), (1, "call 548-843-5924"), (2, None)]).withColumn("findings_", F.lit(7)).withColumn("note", F.col("doc_id"))
+    out = pii.pseudonymise(df, "k").collect()
+    assert len(out) == 3 and {r["findings_"] for r in out} == {7} and all(r.note == r.doc_id for r in out)
+    assert len({r.text for r in out if r.doc_id == 1}) == 1 and [r.text for r in out if r.doc_id == 2] == [None]
+
+
+def test_pipeline_keeps_clashing_columns(spark, make):
+    import corpus_pipeline
+
+    names = ["gone_", "row_", "copy_", "nth_", "score", "lang_pred", "n_lines", "n_removed", "size", "target", "taken", "source_size"]
+    texts = [" ".join(f"{c}word{i}" for i in range(60)) for c in "abcd"]
+    docs = make([(i, texts[i % 4]) for i in range(8)]).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        if name == "language_id":
+            continue  # it is trained on labels, of which these rows have one value
+        out = stage(spark, docs, "")
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names), name
+        assert out.columns == docs.columns

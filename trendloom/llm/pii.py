@@ -23,6 +23,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trendloom.llm.common import unique_name
+
 ROUNDS = 8
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}(?![A-Za-z0-9])"
@@ -251,9 +253,25 @@ def _phone(key: str, m: Column) -> tuple[Column, Column]:
     own = F.substring(d, F.length(country) + 1, F.length(d))
     planned = (F.length(own) == 10) & (country.isin("", "1")) & own.rlike("^[2-9][0-9]{2}[2-9]")
 
+    ten = (F.length(own) == 10) & country.isin("", "1")
+
+    def unplanned(n: Column) -> Column:
+        """Ten digits outside the plan, permuted by their place in order: first those that begin with 0 or 1, then those
+        whose fourth digit is one of these. There are 60,000 squared."""
+        low = F.substring(n, 1, 1).isin("0", "1")
+        place = F.when(low, _long(n)).otherwise(F.lit(2_000_000_000).cast("long") + (_long(F.substring(n, 1, 3)) - 200) * 2_000_000 + _long(F.substring(n, 4, 7)))
+        s = feistel(key, "phone-", F.floor(place / 60_000), place % 60_000, 60_000, 60_000)
+
+        def spell(q: Column) -> Column:
+            rest = q - 2_000_000_000
+            return F.when(rest < 0, _pad(q, 10)).otherwise(F.concat((F.floor(rest / 2_000_000) + 200).cast("string"), _pad(rest % 2_000_000, 7)))
+
+        return _with(_with(s, lambda p: p["a"] * 60_000 + p["b"]), spell)
+
     def use(n: Column) -> Column:
         s = feistel(key, "phone", F.substring(n, 1, 3).try_cast("int") - 200, _long(F.substring(n, 4, 7)) - 2_000_000, 800, 8_000_000)
-        return F.when(planned, _with(s, lambda p: F.concat((p["a"] + 200).cast("string"), (p["b"] + 2_000_000).cast("string")))).otherwise(_permute_digits(key, "phone", n))
+        in_plan = _with(s, lambda p: F.concat((p["a"] + 200).cast("string"), (p["b"] + 2_000_000).cast("string")))
+        return F.when(planned, in_plan).when(ten, unplanned(n)).otherwise(_permute_digits(key, "phone", n))
 
     return F.length(d).between(7, 15) & (F.length(own) >= 4), _refill(m, F.concat(country, _with(own, use)))
 
@@ -337,16 +355,17 @@ def findings(text: Column, key: str) -> Column:
 
 
 def pseudonymise(df: DataFrame, key: str) -> DataFrame:
-    """df with its text replaced, and n_<kind> for each kind."""
+    """df with its text replaced, and n_<kind> for each kind, in place of columns of these names; others are kept."""
     names = [f"n_{k}" for k in KINDS]
-    df = df.drop(*names, "findings_").withColumn("findings_", findings(F.col("text"), key))
+    df, mine = df.drop(*names), unique_name(df.columns, "findings_")
+    df = df.withColumn(mine, findings(F.col("text"), key))
     rest = F.split("text", PATTERN, -1)
-    fresh = F.concat(F.transform("findings_", lambda f: f["fresh"]), F.array(F.lit("")))
-    done = F.when(F.exists("findings_", lambda f: f["kind"].isNotNull()), F.array_join(F.zip_with(rest, fresh, lambda a, b: F.concat(a, b)), "")).otherwise(F.col("text"))
+    fresh = F.concat(F.transform(mine, lambda f: f["fresh"]), F.array(F.lit("")))
+    done = F.when(F.exists(mine, lambda f: f["kind"].isNotNull()), F.array_join(F.zip_with(rest, fresh, lambda a, b: F.concat(a, b)), "")).otherwise(F.col("text"))
     is_kind = lambda k: lambda f: f["kind"] == k
-    counts = {n: F.coalesce(F.size(F.filter("findings_", is_kind(k))), F.lit(0)) for n, k in zip(names, KINDS, strict=True)}
+    counts = {n: F.coalesce(F.size(F.filter(mine, is_kind(k))), F.lit(0)) for n, k in zip(names, KINDS, strict=True)}
     counts = {n: F.greatest(c, F.lit(0)) for n, c in counts.items()}
-    return df.withColumns(counts | {"text": done}).drop("findings_")
+    return df.withColumns(counts | {"text": done}).drop(mine)
 
 
 def pii_digest(df: DataFrame, key: str) -> DataFrame:
