@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from trendloom.functions import text
 from trendloom.operators import dedup, gates, metrics, routing, tfidf
+from trendloom.operators.dedup_index import DedupIndex
 from trendloom.plans.evidence import read
+from trendloom.sources.shared import materialize, shared_root
 
 _STOP = ("the", "and", "for", "with")
 _FAMILIES = {"alpha": ("the", "of and", "tion"), "beta": ("un", "les", "de la"), "gamma": ("der", "und die"), "delta": ("que", "los de")}
@@ -49,6 +53,22 @@ def dedup_greedy_resolution(spark, sf_dir):
     return dedup.resolve(c.select("id", F.col("id").alias("seq")), pairs).select("id", "unique", "duplicate_of", "reason", F.round("similarity", 6).alias("similarity"))
 
 
+def dedup_index_batches(spark, sf_dir):
+    """Documents in order, in three batches, against an index that lasts."""
+    d = _titled(spark, sf_dir)
+    top = d.agg(F.max("doc_id")).first()[0] or 0
+    tokens = text.token_set(F.col("title"))
+    rows = d.select(
+        F.col("doc_id").alias("id"), F.col("doc_id").alias("seq"), F.array(text.content_hash(F.lit(None).cast("string"), F.col("text"))).alias("keys"), F.col("lang").alias("block"), tokens.alias("tokens"),
+        text.simhash(text.md5_longs(tokens)).alias("simhash"), F.lit(None).cast("array<string>").alias("actors"), F.floor(F.col("doc_id") * 3 / (top + 1)).alias("batch"),
+    )
+    rows = materialize(rows, "observations")
+    index = DedupIndex(spark, f"{shared_root(spark)}/trendloom/dedup-{uuid.uuid4().hex}", jaccard=0.6, hamming=16)
+    for batch in range(3):
+        index.add(rows.where(F.col("batch") == batch), batch)
+    return index.results().select(F.col("seq").alias("id"), "unique", F.col("duplicate_of").cast("long").alias("duplicate_of"), "reason", F.round("similarity", 6).alias("similarity"))
+
+
 def dedup_key_cases(spark, sf_dir):
     """Keys of literal observations: full width, sharp s, ligatures, final sigma, mixed case in ids."""
     rows = [(1, 'ＡＩ Agents for Straßenbau', 'Big_data-sets', 'Ada  Löwe', ' ORCID:0000-Ä '), (2, 'ai agents for STRASSENBAU', 'big data sets', 'ＡＤＡ löwe', ''), (3, 'Ünïcode ﬁne-tuning of LLMs №5', None, '  ', None), (4, 'a', '', None, 'X-ẞ'), (5, 'ΣΊΣΥΦΟΣ and σίσυφος', None, "Jean_Luc  D'Or", None)]
@@ -202,6 +222,16 @@ def _url(i: int) -> str:
 
 
 
+_PAIRS = """p as (select x.id as a, y.id as b, x.block, x.k as ka, y.k as kb, len(list_intersect(x.k, y.k)) / len(list_distinct(x.k || y.k))::double as j, bit_count(xor(x.simhash, y.simhash)) as d
+      from c x join c y on x.block is not distinct from y.block and x.id < y.id where len(x.k) >= 4 and len(y.k) >= 4), near as (select *, least(j, 1 - d / 64.0) as s from p where j >= 0.6 and d <= 16)"""
+# who is a duplicate is decided row by row, in order, from edge (a, b, x, s): a before b, x for exact
+_GREEDY = """contested as (select row_number() over (order by b) as i, b, list(a) as nb from edge group by b),
+  step(i, dups) as (select 0::bigint, []::bigint[] union all select contested.i, case when len(list_filter(nb, lambda v: not list_contains(dups, v))) > 0 then list_append(dups, b) else dups end from step join contested on contested.i = step.i + 1),
+  gone as (select unnest(dups) as id from step where i = (select max(i) from step)),
+  best as (select b, arg_min(struct_pack(o := a, x := x, s := s), (case when x then 0 else 1 end, -s, a)) as o from edge where a not in (select id from gone) and b in (select id from gone) group by b)"""
+_TOLD = "{0}.id not in (select id from gone) as \"unique\", o.o as duplicate_of, case when o.x then 'exact' when o is not null then 'fuzzy_title' end as reason, round(o.s, 6) as similarity from {0} left join best on best.b = {0}.id"
+
+
 QUERIES = {
     "text_normal_forms": (text_normal_forms, rf"select doc_id, {_norm(_TITLE)} as normal, len(list_distinct({_SET}))::int as n_tokens, trim(regexp_replace(lower({_TITLE}), '\s+', ' ', 'g')) as collapsed from documents"),
     "dedup_exact_documents": (dedup_exact_documents, f"with h as (select doc_id, sha256({_norm('text')}) as k from documents), f as (select k, min(doc_id) as f from h group by k) select doc_id, f as duplicate_of from h join f on h.k = f.k where doc_id > f"),
@@ -213,7 +243,12 @@ QUERIES = {
     "simhash_titles": (simhash_titles, f"with {_CAND} select id, simhash from c"),
     "dedup_fuzzy_pairs": (dedup_fuzzy_pairs, f"""with {_CAND}, p as (select x.id as a, y.id as b, len(list_intersect(x.k, y.k)) / len(list_distinct(x.k || y.k))::double as j, bit_count(xor(x.simhash, y.simhash)) as d
       from c x join c y on x.block = y.block and x.id < y.id where len(x.k) >= 4 and len(y.k) >= 4) select a, b, round(least(j, 1 - d / 64.0), 6) as similarity from p where j >= 0.6 and d <= 16"""),
-    "dedup_greedy_resolution": (dedup_greedy_resolution, None),
+    "dedup_greedy_resolution": (dedup_greedy_resolution, f"with recursive {_CAND}, {_PAIRS}, edge as (select a, b, false as x, s from near), {_GREEDY} select c.id, {_TOLD.format('c')}"),
+    "dedup_index_batches": (dedup_index_batches, f"""with recursive {_CAND}, {_PAIRS}, r as (select doc_id as id, lang as block, list_sort({_keep_first(_SET)}) as k, nullif({_norm('text')}, '') as body from documents),
+      same as (select x.id as a, y.id as b, true as x, 1.0::double as s from r x join r y on x.body = y.body and x.id < y.id),
+      like_ as (select x.id as a, y.id as b, 1.0::double as s from r x join r y on x.block is not distinct from y.block and x.k = y.k and x.id < y.id where len(x.k) >= 4
+        union all select least(x.id, y.id), greatest(x.id, y.id), s from near join r x on x.block is not distinct from near.block and x.k = ka join r y on y.block is not distinct from near.block and y.k = kb),
+      edge as (select * from same union all select a, b, false, s from like_), {_GREEDY} select r.id, {_TOLD.format('r')}"""),
     "router_classify": (router_classify, _router_sql()),
     "router_directions": (router_directions, "select * from (values (1, 'software_ai', 0.95::double, 'framework|ai agent|ai'), (2, 'materials_energy', 0.95, 'solid-state battery|electrolyte|battery'), (3, 'bio_medtech', 0.95, 'gene editing|therapy'), (4, 'hardware_semiconductor', 0.95, 'quantum processor|processor|chip'), (5, 'mixed', 0.25, ''), (6, 'mixed', 0.55, 'drug discovery|software|protein|ai'), (7, 'software_ai', 0.95, 'ии агент|ии')) t(id, profile, confidence, matched)"),
     "term_match_events": (term_match_events, r"""with d as (select conv_id, turn, text, lower(text) as l, ' ' || regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}_]+', ' ', 'g') || ' ' as w from conversations),
