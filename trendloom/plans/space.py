@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trendloom.functions import vectors
-from trendloom.operators import clustering, gates, metrics, state
+from trendloom.functions import text, vectors
+from trendloom.operators import clustering, gates, metrics, state, tfidf
+from trendloom.plans.corpus import _TITLE, _WORDS, _tf
 from trendloom.plans.evidence import read
+from trendloom.sources.shared import materialize
+
+_CUTS = [0.7, 0.8, 0.9]
+#: Thresholds and dense weights of the benchmark (fixed values), and thresholds beyond them.
+_GRID, _ALPHAS = [round(0.05 + 0.025 * i, 3) for i in range(25)] + _CUTS, (0.80, 0.90, 0.95)
 
 
 def _points(spark, sf_dir):
@@ -82,7 +88,16 @@ def dbscan_clusters(spark, sf_dir):
 
 def threshold_sweep(spark, sf_dir):
     p = _points(spark, sf_dir).withColumn("block", F.col("label") % 2)
-    return clustering.sweep(p, "block", "vec_id", "vector", "label", [0.7, 0.8, 0.9])
+    return clustering.sweep(p, "block", "vec_id", "vector", "label", _CUTS)
+
+
+def hybrid_sweep(spark, sf_dir):
+    """The vectors of documents with the terms of their titles: thresholds and weights of the benchmark, and wider ones,
+    since these vectors lie far apart."""
+    p = _points(spark, sf_dir).withColumn("block", F.col("label") % 2)
+    titles = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), text.first_line(F.col("text")).alias("title"))
+    p = materialize(p.join(titles, "vec_id"), "points")
+    return clustering.sweep(p, "block", "vec_id", "vector", "label", _GRID, tfidf.vectors(p, "block", "vec_id", "title").select("block", F.col("vec_id").alias("key"), "term", "w").withColumnRenamed("key", "vec_id"), _ALPHAS)
 
 
 _V = "p as (select vec_id, label, embedding::double[] as v from embeddings)"
@@ -94,6 +109,22 @@ _QUALITY = """cells as (select label, cluster, count(*)::double as n from l grou
   e as (select *, ln(t) - ht / t as th, ln(t) - hf / t as fh, ln(t) - h / t as jh, pt * pf / (t * (t - 1) / 2) as chance, (pt + pf) / 2 as top from w, a, b), g as (select *, (th + fh - jh) / th as ho, (th + fh - jh) / fh as co from e)
   select clusters, 0 as noise, singletons, round(ho, 6) as homogeneity, round(co, 6) as completeness, round(2 * ho * co / (ho + co), 6) as v_measure, round(2 * ho * co / (ho + co), 6) as nmi, round(1.5 * ho * co / (0.5 * ho + co), 6) as purity_weighted_v, round((p - chance) / (top - chance), 6) as ari from g"""
 
+# average linkage of s (alpha, block, x, y, cos), x before y, step by step: the nearest two clusters of each block merge
+_LINK = """st(it, alpha, block, id, c, h) as (select 0, alpha, block, vec_id, vec_id, -1.0::double from pts union all
+  select st.it + 1, st.alpha, st.block, st.id, case when st.c = m.b then m.a else st.c end, m.d from st join
+    (select alpha, block, arg_min(a, d) as a, arg_min(b, d) as b, min(d) as d from (select s.alpha, s.block, least(l.c, r.c) as a, greatest(l.c, r.c) as b, 1 - avg(cos) as d
+      from s join st l on l.id = s.x and l.alpha = s.alpha join st r on r.id = s.y and r.alpha = s.alpha where l.c <> r.c group by all) where d < {top} group by alpha, block) m on st.alpha = m.alpha and st.block = m.block)"""
+_CUT = "g as (select alpha, unnest({cuts}::double[]) as threshold, it, id, c, h from st), l as (select g.alpha, threshold, label, arg_max(c, it) as cluster from g join embeddings on vec_id = id where h < threshold group by g.alpha, threshold, id, label)"
+_RATED = """cells as (select alpha, threshold, label, cluster, count(*)::double as n from l group by all), w as (select alpha, threshold, sum(n) as t, sum(n * ln(n)) as h, sum(n * (n - 1) / 2) as p from cells group by all),
+  a as (select alpha, threshold, sum(n * ln(n)) as ht, sum(n * (n - 1) / 2) as pt from (select alpha, threshold, label, sum(n) as n from cells group by all) group by all),
+  b as (select alpha, threshold, sum(n * ln(n)) as hf, sum(n * (n - 1) / 2) as pf, count(*) as clusters, count(*) filter (n = 1) as singletons from (select alpha, threshold, cluster, sum(n) as n from cells group by all) group by all),
+  e as (select *, ln(t) - ht / t as th, ln(t) - hf / t as fh, ln(t) - h / t as jh, pt * pf / (t * (t - 1) / 2) as chance, (pt + pf) / 2 as mid from w join a using (alpha, threshold) join b using (alpha, threshold)),
+  k as (select *, case when th > 1e-12 then (th + fh - jh) / th else 1.0 end as ho, case when fh > 1e-12 then (th + fh - jh) / fh else 1.0 end as co from e),
+  o as (select alpha, threshold, clusters, 0 as noise, singletons, round(ho, 6) as homogeneity, round(co, 6) as completeness, round(2 * ho * co / (ho + co), 6) as v_measure, round(2 * ho * co / (ho + co), 6) as nmi, round(1.5 * ho * co / (0.5 * ho + co), 6) as purity_weighted_v, round(case when mid = chance then 1.0 else (p - chance) / (mid - chance) end, 6) as ari from k)
+  select *, row_number() over (order by purity_weighted_v desc, ari desc, v_measure desc, abs(clusters - (select count(distinct label) from embeddings)), singletons, alpha < 1, alpha, threshold)::int as place from o"""
+_DENSE = f"s as (select 1.0::double as alpha, a.label % 2 as block, a.vec_id as x, b.vec_id as y, {_COS.format(a='a.v', b='b.v')} as cos from p a join p b on a.label % 2 = b.label % 2 and a.vec_id < b.vec_id), pts as (select 1.0::double as alpha, label % 2 as block, vec_id from p)"
+
+
 QUERIES = {
     "embedding_centroids": (embedding_centroids, f"with {_V}, {_MEAN} select cen.label, (select count(*) from p where p.label = cen.label) as n, (i - 1)::int as pos, round(c[i] / l, 5) as x from cen, range(1, 65) r(i)"),
     "vector_validity": (vector_validity, f"with {_V} select vec_id, len(v) = 64 as valid, round(sqrt(list_dot_product(v, v)), 5) as norm from p"),
@@ -105,8 +136,12 @@ QUERIES = {
     "pair_ordering": (pair_ordering, f"with {_V}, {_SIM} select count(*) as pairs, count(*) filter (a.similarity > b.similarity) as ordered from s a join s b on a.query_id = b.query_id and b.doc_id = a.doc_id + 1 where a.label = a.query_label and b.label <> b.query_label"),
     "clustering_quality_fixed": (clustering_quality_fixed, f"with l as (select label, vec_id % 7 as cluster from embeddings), {_QUALITY}"),
     "cluster_composition": (cluster_composition, "select vec_id % 7 as cluster, label, count(*) as n from embeddings group by all"),
-    "microcluster_quality": (microcluster_quality, None),
-    "threshold_sweep": (threshold_sweep, None),
+    "microcluster_quality": (microcluster_quality, f"with recursive {_V}, {_DENSE}, {_LINK.format(top=0.9)}, l as (select label, arg_max(c, it) as cluster from st join embeddings on vec_id = id group by id, label), {_QUALITY}"),
+    "threshold_sweep": (threshold_sweep, f"with recursive {_V}, {_DENSE}, {_LINK.format(top=0.9)}, {_CUT.format(cuts=_CUTS)}, {_RATED}"),
+    "hybrid_sweep": (hybrid_sweep, f"""with recursive {_V}, q as (select vec_id, label % 2 as block, e.v, {_TITLE} as title from p e join documents on vec_id = doc_id), src as (select block as g, vec_id as d, title as t from q), {_tf(_WORDS, '(1 + ln(tf))').replace('v as (', 'lexical as (')},
+      lex as (select x.g, x.d as x, y.d as y, sum(x.w * y.w) as c from lexical x join lexical y on x.g = y.g and x.term = y.term and x.d < y.d group by all),
+      both_ as (select a.block, a.vec_id as x, b.vec_id as y, {_COS.format(a='a.v', b='b.v')} as dense, coalesce(c, 0) as lexical from q a join q b on a.block = b.block and a.vec_id < b.vec_id left join lex on lex.g = a.block and lex.x = a.vec_id and lex.y = b.vec_id),
+      ways as (select unnest([1.0, {', '.join(map(str, _ALPHAS))}]::double[]) as alpha), s as materialized (select alpha, block, x, y, alpha * dense + (1 - alpha) * lexical as cos from both_, ways), pts as (select alpha, block, vec_id from q, ways), {_LINK.format(top=0.9)}, {_CUT.format(cuts=_GRID)}, {_RATED}"""),
     "dbscan_clusters": (dbscan_clusters, f"""with recursive {_V}, n as (select a.vec_id as a, b.vec_id as b from p a join p b on a.label = b.label and a.vec_id <> b.vec_id where round({_COS.format(a='a.v', b='b.v')}, 6) >= 0.3),
       core as (select a as id from n group by a having count(*) + 1 >= 3), inn as (select a, b from n where a in (select id from core) and b in (select id from core)),
       reach(id, seen) as (select id, id from core union select reach.id, inn.b from reach join inn on inn.a = reach.seen), root as (select id, min(seen) as cluster from reach group by id),
