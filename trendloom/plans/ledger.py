@@ -8,9 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trendloom.functions import scalars
-from trendloom.operators import backfill, bridge, ingest, lineage, state, timeline
+from trendloom.operators import ancestry, backfill, bridge, ingest, lineage, state, timeline
 from trendloom.plans.evidence import AS_OF, EVIDENCE_SQL, evidence, read
 from trendloom.sources import projections, specs, store
+from trendloom.sources.shared import materialize
 
 
 def _texts(df, *dates):
@@ -162,6 +163,41 @@ def ancestor_closure(spark, sf_dir):
     return lineage.descendants(parents, o.where("k % 11 = 0").select("repo", "sha")).select("repo", "anchor_sha", "sha", F.col("depth").cast("long").alias("depth"))
 
 
+def _dag(spark, sf_dir):
+    """A commit graph with branches and merges over orders: a commit's first parent is the customer's order before it (every
+    seventh: the one before that), and every fifth merges the third before it."""
+    w = Window.partitionBy("repo").orderBy("k")
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("repo"), F.col("o_orderkey").alias("k"))
+    o = o.withColumns({"one": F.lag("k", 1).over(w), "two": F.lag("k", 2).over(w), "three": F.lag("k", 3).over(w)})
+    ends = F.array(F.struct(F.lit(0).alias("nth"), F.when(F.col("k") % 7 == 0, F.col("two")).otherwise(F.col("one")).alias("p")), F.struct(F.lit(1).alias("nth"), F.when(F.col("k") % 5 == 0, F.col("three")).alias("p")))
+    return o.select("repo", F.col("k").cast("string").alias("sha"), F.explode(ends).alias("e")).select("repo", "sha", F.col("e.p").cast("string").alias("parent_sha"), "e.nth")
+
+
+def ancestor_pairs(spark, sf_dir):
+    """Each order against the customer's next, second, fifth and ninth after it: is it an ancestor of it?"""
+    parents = materialize(_dag(spark, sf_dir), "parents")
+    w = Window.partitionBy("repo").orderBy("k")
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("repo"), F.col("o_orderkey").alias("k"))
+    later = o.withColumn("later", F.array(*(F.lead("k", n).over(w) for n in (1, 2, 5, 9))))
+    pairs = later.select("repo", F.col("k").cast("string").alias("up"), F.explode("later").alias("d")).where("d is not null").select("repo", "up", F.col("d").cast("string").alias("down"))
+    return ancestry.ahead(pairs, ancestry.labels(parents))
+
+
+def rename_traces(spark, sf_dir):
+    """A module of each customer's first order, followed through renames to the ninth: an order of even number renames the
+    module by its number's last digit but one, at most three hops, four commits a page and six look-ups."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("repo"), F.col("o_orderkey").alias("k"))
+    w = Window.partitionBy("repo").orderBy("k")
+    path = lambda n: F.concat(F.lit("m"), n.cast("string"), F.lit(".py"))
+    own, old = path(F.floor(F.col("k") / 10) % 3), path(F.col("k") % 3)
+    moved = (F.col("k") % 2 == 0) & (own != old)
+    files = o.select("repo", F.col("k").cast("string").alias("sha"), F.col("k").alias("committed_at"), own.alias("filename"), F.when(moved, old).alias("previous_filename"), F.when(moved, "renamed").otherwise("modified").alias("status"))
+    first = o.withColumns({"n": F.row_number().over(w), "last": F.lead("k", 8).over(w)}).where("n = 1 and last is not null")
+    cases = first.select(F.col("repo").alias("case_id"), "repo", F.col("k").cast("string").alias("anchor_sha"), F.col("last").cast("string").alias("candidate_sha"), F.col("k").alias("anchor_at"), F.col("last").alias("candidate_at"), F.array(F.lit("m0.py")).alias("paths"), F.lit(None).cast("array<string>").alias("candidate_paths"))
+    found = ancestry.trace_renames(cases, files, ancestry.labels(materialize(_dag(spark, sf_dir), "parents")), max_hops=3, max_history=4, max_details=6)
+    return found.select("case_id", F.array_join("paths", ",").alias("paths"), F.array_join(F.transform("steps", lambda s: s["sha"]), ",").alias("steps"), "complete", "reason")
+
+
 def rename_chain(spark, sf_dir):
     commits = [("r", "b", "a"), ("r", "c", "b"), ("r", "d", "c"), ("r", "x", "a"), ("r", "e", "d")]
     parents = spark.createDataFrame(commits, "repo string, sha string, parent_sha string")
@@ -219,6 +255,22 @@ def _case(i: int) -> str:
     return "case profile " + " ".join(f"when '{p}' then {v[i]}" for p, v in backfill.POLICIES.items()) + " end"
 
 
+_DAG = """o as (select o_custkey::varchar as repo, o_orderkey as k, row_number() over w as n, lag(o_orderkey, 1) over w as one, lag(o_orderkey, 2) over w as two, lag(o_orderkey, 3) over w as three, lead(o_orderkey, 8) over w as last from orders window w as (partition by o_custkey order by o_orderkey)),
+  edge as (select repo, k, case when k % 7 = 0 then two else one end as p from o union all select repo, k, three from o where k % 5 = 0),
+  above(repo, d, u) as (select repo, k, p from edge where p is not null union select above.repo, above.d, edge.p from above join edge on edge.repo = above.repo and edge.k = above.u where edge.p is not null)"""
+# the bounded search, hop by hop: h has the state of each case after a hop; a case has one path
+_TRACE = """f as (select repo, k, 'm' || (k // 10 % 3) || '.py' as own, case when k % 2 = 0 and k // 10 % 3 <> k % 3 then 'm' || (k % 3) || '.py' end as old from o),
+  t as (select repo, k, own as path, own, old from f union select repo, k, old, own, old from f where old is not null),
+  h(hop, repo, path, cur, last, room, steps, reason) as (select 0, repo, 'm0.py', k, last, 6::bigint, []::bigint[], null::varchar from o where n = 1 and last is not null union all
+    select hop + 1, repo, coalesce(hit.own, path), coalesce(hit.k, cur), last, room - coalesce(hit.look, 0), case when hit is not null then list_append(steps, hit.k) else steps end,
+      case when hit is not null then null when not short and looks > room then 'rename_budget_exhausted' when short then 'truncated_git_history' else 'no_more_verified_renames' end
+    from (select h.hop, h.repo, h.path, h.cur, h.last, h.room, h.steps, count(t.k) >= 4 as short, count(t.k) filter (t.k > cur and t.k < last) as looks,
+        case when count(t.k) < 4 then arg_max(struct_pack(k := t.k, own := t.own, look := t.look), t.k) filter (t.good and t.look <= room) end as hit
+      from h left join (select h2.repo as r, t0.k, t0.own, t0.path as tp, row_number() over (partition by h2.repo order by case when t0.k > h2.cur and t0.k < h2.last then 0 else 1 end, t0.k desc) as look,
+          t0.old = t0.path and t0.k > h2.cur and t0.k < h2.last and exists (select 1 from above a where a.repo = t0.repo and a.d = t0.k and a.u = h2.cur) and exists (select 1 from above a where a.repo = t0.repo and a.d = h2.last and a.u = t0.k) as good
+          from h h2 join t t0 on t0.repo = h2.repo and t0.path = h2.path and t0.k between h2.cur and h2.last where h2.reason is null and h2.hop < 3) t on t.r = h.repo
+      where h.reason is null and h.hop < 3 group by all))"""
+
 QUERIES = {
     "observation_upsert_stats": (observation_upsert_stats, f"with {_UP} select count(*) filter (event_id not in (select event_id from o)) as inserted, count(*) filter (event_id in (select event_id from o)) as updated from n"),
     "observation_upsert": (observation_upsert, f"with {_UP} select event_id, event_type, round(value, 4) as value from n union all select event_id, event_type, round(value, 4) from o where event_id not in (select event_id from n)"),
@@ -247,6 +299,9 @@ QUERIES = {
     "top_labels": (top_labels, "with c as (select l_suppkey as s, p_brand as label, count(*) as n, min(l_orderkey) as f from lineitem join part on l_partkey = p_partkey group by all) select s, row_number() over (partition by s order by n desc, f, label) as place, label, n from c qualify place <= 5"),
     "ancestor_closure": (ancestor_closure, """with recursive o as (select o_custkey::varchar as repo, o_orderkey as k from orders), p as (select repo, k, lag(k) over (partition by repo order by k) as pk from o), e as (select repo, k, pk from p where pk is not null and k % 7 <> 0),
       r as (select repo, k as a, k as s, 0::bigint as depth from o where k % 11 = 0 union all select r.repo, r.a, e.k, depth + 1 from r join e on e.repo = r.repo and e.pk = r.s) select repo, a::varchar as anchor_sha, s::varchar as sha, depth from r"""),
+    "ancestor_pairs": (ancestor_pairs, f"with recursive {_DAG}, later as (select repo, k, unnest([lead(k, 1) over w, lead(k, 2) over w, lead(k, 5) over w, lead(k, 9) over w]) as d from o window w as (partition by repo order by k)) select repo, k::varchar as up, later.d::varchar as down from later join above using (repo) where above.d = later.d and above.u = later.k"),
+    "rename_traces": (rename_traces, f"""with recursive {_DAG}, {_TRACE}, e as (select * from h qualify row_number() over (partition by repo order by hop desc) = 1)
+      select repo as case_id, path as paths, array_to_string(steps, ',') as steps, reason is not null and reason = 'no_more_verified_renames' as complete, coalesce(reason, 'max_rename_hops_reached') as reason from e"""),
     "rename_chain": (rename_chain, "select * from (values (1, 'm3.py', 2, 'no_more_verified_renames'), (2, 'm3.py', 0, 'no_more_verified_renames'), (3, 'm1.py', 0, 'no_more_verified_renames')) t(case_id, path, hops, reason)"),
     "lineage_verdicts": (lineage_verdicts, "select * from (values (1, 'supporting', 'confirmed_ancestor_and_same_module_source_change'), (2, 'rejected', 'no_executable_changes_to_confirmed_module'), (3, 'rejected', 'not_confirmed_descendant'), (4, 'rejected', 'cross_repository'), (5, 'rejected', 'candidate_not_later_than_verified_anchor'), (6, 'rejected', 'same_commit_is_not_supporting_activity'), (7, 'review_required', 'no_verified_anchor_source_paths'), (8, 'rejected', 'no_executable_changes_to_confirmed_module'), (9, 'review_required', 'no_verified_anchor_source_paths')) t(case_id, verdict, reason)"),
     "bridge_events": (bridge_events, f"with {EVIDENCE_SQL}, r as (select *, row_number() over (partition by trend_id, unit_key, verified order by event_time, observation_id) as rn from evidence) select trend_id, case when not verified then 'rejected' when rn = 1 then 'accepted' else 'later_supporting' end as label, count(*) as n, min(event_time) as first from r group by all"),
