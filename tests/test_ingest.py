@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trendloom.functions import text
 from trendloom.operators import bridge, clustering, dedup, gates, ingest, routing, state, timeline, units
-from trendloom.sources import projections, store
+from trendloom.sources import projections, segments, store
 
 SEEN = "observation_id string, evidence_type string, provider string, artifact_kind string, event_time timestamp, unit_key string, verified boolean, actors array<string>"
 CLUSTERS = "cluster_id string, profile string, direction_key string, model string, member_ids array<string>, centroid array<double>, first_seen timestamp"
@@ -111,6 +111,32 @@ def test_overlapping_clusters_count_each_member_once(spark, seed):
     assert by == {t.trend_id: t.observation_count for t in kept.trends.collect()}
 
 
+def test_a_store_of_deltas_equals_one_that_is_rewritten(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(segments, "FAN", 3)
+    rows = seen(spark, *((f"o{i}", ("patent", "research")[i % 2], 1 + i % 20, f"u{i // 2}", i % 3 == 0, [f"a{i % 4}"]) for i in range(24)))
+    path = str(tmp_path / "store")
+    kept = ingest.empty(spark)
+    for b in range(4):
+        batch = clusters(spark, *((f"c{b}{k}", f"k{k}", [f"o{6 * k + b}", f"o{6 * k + b + 1}", f"o{6 * k}"], [1.0, 0.1 * b], 2 + b) for k in range(4 if b < 3 else 1)))
+        kept, want = ingest.ingest(kept, batch, rows, now(10 + b))
+        before = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+        deltas = ingest.DeltaStore(spark, path)
+        got = deltas.ingest(b, batch, rows, now(10 + b))
+        facts = lambda df: sorted((r.cluster_id, r.trend_id, r.reason, r.fresh) for r in df.collect())
+        assert facts(got) == facts(want)
+        # nothing that was written is touched, and a batch writes what it changes
+        assert all(p.stat().st_mtime_ns == t for p, t in before.items())
+        assert spark.read.parquet(f"{path}/batch-{b:09d}/trends").count() == (4 if b < 3 else 1)
+        assert spark.read.parquet(f"{path}/batch-{b:09d}/ownership").count() == sum(r.fresh for r in got.collect())
+        for one, other in zip(kept, deltas.store(), strict=True):
+            assert sorted(map(str, one.collect())) == sorted(map(str, other.select(one.columns).collect()))
+    files = set(tmp_path.rglob("*.parquet"))
+    assert facts(ingest.DeltaStore(spark, path).ingest(2, batch, rows, now(20))) != [] and set(tmp_path.rglob("*.parquet")) == files
+    with pytest.raises(PySparkException, match="missing observation"):
+        deltas.ingest(4, clusters(spark, ("bad", "k0", ["gone"], [1.0, 0.0], 1)), rows, now(20))
+    assert deltas.segments.manifest()[0] == 3 and deltas.store().trends.count() == 4
+
+
 def plain_dbscan(x, least, most):
     near = np.round(x @ x.T, 6) >= most
     core = near.sum(1) >= least

@@ -1,8 +1,8 @@
 """The durable store of trends: a planned batch of clusters applied to it as one keyed merge.
 
 Counters are rows (trend, kind, name) with a count and a first time, so that a batch is aggregated before it meets
-the store and no trend's history is held in one row or task. Nothing is changed in place: ``apply`` checks all new
-records while it builds the next store, and an error leaves the last one as it was.
+the store and no trend's history is held in one row or task. Nothing is changed in place: ``delta`` checks all new
+records while it builds what a batch adds, and an error leaves the store as it was.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from trendloom.functions import scalars
 from trendloom.operators import state, units
+from trendloom.sources.segments import Segments
 from trendloom.sources.shared import materialize
 
 
@@ -56,8 +57,9 @@ def _facts(fresh: DataFrame) -> DataFrame:
     return each.groupBy("trend_id", "fact.kind", "fact.name").agg(F.count(F.lit(1)).alias("n"), F.min("event_time").alias("first_at"))
 
 
-def apply(store: Store, planned: DataFrame, observations: DataFrame, now: Column) -> Store:
-    """The store after a batch. planned: clusters as ``state.plan`` returns them; observations: observation_id,
+def delta(store: Store, planned: DataFrame, observations: DataFrame, now: Column) -> Store:
+    """What a batch adds to the store, as rows of its tables: the trends that it makes or changes, new owners, counts to add
+    and new units. Its size is that of the batch, whatever the store's. planned: clusters as ``state.plan`` returns them; observations: observation_id,
     evidence_type, provider, artifact_kind, event_time, unit_key, verified, actors. Observations that a trend has
     count once, so a replay changes nothing but the names of its clusters. One that two clusters of the batch bring
     to different trends raises an error, and so does a blank type, provider or kind."""
@@ -69,24 +71,72 @@ def apply(store: Store, planned: DataFrame, observations: DataFrame, now: Column
     fresh = materialize(owned.join(observations, "observation_id"), "fresh")
 
     named = planned.select("trend_id", F.lit("cluster").alias("kind"), F.col("cluster_id").alias("name"), F.lit(1).cast("long").alias("n"), F.lit(None).cast("timestamp").alias("first_at"))
-    old_named = store.counters.where("kind = 'cluster'")
-    counted = store.counters.where("kind <> 'cluster'").unionByName(_facts(fresh)).groupBy("trend_id", "kind", "name").agg(F.sum("n").alias("n"), F.min("first_at").alias("first_at"))
-    counters = counted.unionByName(old_named.unionByName(named).dropDuplicates(["trend_id", "kind", "name"]))
+    counters = _facts(fresh).unionByName(named)
 
     found = fresh.select("trend_id", F.coalesce("unit_key", F.raise_error(F.concat(F.lit("no unit for "), F.col("observation_id")))).alias("unit_key"), "observation_id", "verified", "event_time")
-    best = units.representatives(store.units.unionByName(found))
+    best = units.representatives(found)
 
     times = fresh.groupBy("trend_id").agg(F.min("event_time").alias("first_new"), F.max("event_time").alias("last_new"))
     steps = planned.where("fresh > 0").groupBy("trend_id").agg(F.count(F.lit(1)).alias("steps"), *(F.first(c).alias(f"{c}_new") for c in ("profile", "direction_key", "model")))
     changed = times.join(steps, "trend_id").join(state.applied_centroids(planned, store.trends).withColumnsRenamed({"centroid": "centroid_new", "n": "n_new"}), "trend_id")
-    both = store.trends.join(changed, "trend_id", "full")
-    touched = F.col("n_new").isNotNull()
+    both = changed.join(store.trends, "trend_id", "left")
     trends = both.select(
         "trend_id", *(F.coalesce(c, f"{c}_new").alias(c) for c in ("profile", "direction_key", "model")), F.coalesce("centroid_new", "centroid").alias("centroid"),
         F.coalesce("n_new", "observation_count").alias("observation_count"), F.least("first_seen", "first_new").alias("first_seen"), F.greatest("last_seen", "last_new").alias("last_seen"),
-        F.coalesce("created_at", now).alias("created_at"), F.when(touched, now).otherwise(F.col("updated_at")).alias("updated_at"), (F.coalesce("update_count", F.lit(0)) + F.coalesce("steps", F.lit(0))).cast("long").alias("update_count"),
+        F.coalesce("created_at", now).alias("created_at"), now.alias("updated_at"), (F.coalesce("update_count", F.lit(0)) + F.coalesce("steps", F.lit(0))).cast("long").alias("update_count"),
     )
-    return Store(*(materialize(df, name) for name, df in zip(Store._fields, (trends, store.ownership.unionByName(owned), counters, best), strict=True)))
+    columns = lambda df, like: df.select(*like.columns)
+    return Store(*(columns(df, old) for df, old in zip((trends, owned, counters, best), store, strict=True)))
+
+
+def merged(name: str, rows: DataFrame) -> DataFrame:
+    """One row for each key of a table whose rows came in several batches: the last of a trend (by version), counts added up,
+    one for each cluster's name, the best of a unit."""
+    if name == "trends":
+        rest = [c for c in rows.columns if c != "trend_id"]
+        return rows.groupBy("trend_id").agg(F.max_by(F.struct(*rest), "version").alias("last")).select("trend_id", "last.*")
+    if name == "counters":
+        return rows.groupBy("trend_id", "kind", "name").agg(F.when(F.col("kind") == "cluster", F.lit(1).cast("long")).otherwise(F.sum("n")).alias("n"), F.min("first_at").alias("first_at"))
+    return units.representatives(rows) if name == "units" else rows
+
+
+def apply(store: Store, planned: DataFrame, observations: DataFrame, now: Column) -> Store:
+    """The store after a batch (see ``delta``), as tables of their own."""
+    new = delta(store, planned, observations, now)
+    version = lambda df, n: df.withColumn("version", F.lit(n))
+    trends = merged("trends", version(store.trends, 0).unionByName(version(new.trends, 1))).drop("version")
+    rest = [merged(name, old.unionByName(add)) for name, old, add in zip(Store._fields[1:], store[1:], new[1:], strict=True)]
+    return Store(*(materialize(df, name) for name, df in zip(Store._fields, (trends, *rest), strict=True)))
+
+
+class DeltaStore:
+    """The store on shared storage, a segment for each batch: an ingest writes what its batch changes and nothing else, a
+    reader merges, and segments are merged geometrically (see ``Segments``). Batches are numbered from 0 in order; one
+    that is in already changes nothing."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        shapes = dict(zip(Store._fields, _SHAPES, strict=True))
+        shapes["trends"] += ", version long"
+        self.segments = Segments(spark, path, shapes | {"assignments": "batch long, cluster_id string, trend_id string, similarity double, reason string, fresh long"})
+
+    def store(self) -> Store:
+        held = self.segments.manifest()[1]
+        return Store(*(merged(name, self.segments.read(name, held)).drop("version") for name in Store._fields))
+
+    def assignments(self, batch: int) -> DataFrame:
+        return self.segments.read("assignments").where(F.col("batch") == batch).drop("batch")
+
+    def ingest(self, batch: int, clusters: DataFrame, observations: DataFrame, now: Column, threshold: float = 0.82) -> DataFrame:
+        """The assignments of a batch, which is in the store with them."""
+        if batch > self.segments.manifest()[0]:
+            store = self.store()
+            planned = materialize(state.plan(clusters, store.trends, store.ownership, threshold), "planned")
+            number = F.lit(batch).cast("long")
+            new = dict(zip(Store._fields, delta(store, planned, observations, now), strict=True))
+            new["trends"] = new["trends"].withColumn("version", number)
+            new["assignments"] = planned.select(number.alias("batch"), "cluster_id", "trend_id", "similarity", "reason", F.col("fresh").cast("long").alias("fresh"))
+            self.segments.add(batch, new, merged)
+        return self.assignments(batch)
 
 
 def ingest(store: Store, clusters: DataFrame, observations: DataFrame, now: Column, threshold: float = 0.82) -> tuple[Store, DataFrame]:

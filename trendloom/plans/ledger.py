@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import Window
@@ -11,7 +12,7 @@ from trendloom.functions import scalars
 from trendloom.operators import ancestry, backfill, bridge, ingest, lineage, state, timeline
 from trendloom.plans.evidence import AS_OF, EVIDENCE_SQL, evidence, read
 from trendloom.sources import projections, specs, store
-from trendloom.sources.shared import materialize
+from trendloom.sources.shared import materialize, shared_root
 
 
 def _texts(df, *dates):
@@ -70,6 +71,31 @@ def state_ingest_replay(spark, sf_dir):
     return t.select("direction_key", "observation_count", F.col("first_seen").cast("date").cast("string").alias("first_seen"), F.col("last_seen").cast("date").cast("string").alias("last_seen"), "update_count", F.coalesce("urgent", F.lit(0)).alias("urgent"), "first_urgent", "units", "verified_units")
 
 
+def state_ingest_overlapping(spark, sf_dir):
+    """Customers as trends in a store of deltas: their first orders, then clusters by priority, all of which hold the
+    customer's first two orders, then the same again."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = read(spark, sf_dir, "orders").withColumn("n", F.row_number().over(w))
+    seen = o.select(
+        F.col("o_orderkey").cast("string").alias("observation_id"), F.col("o_orderpriority").alias("evidence_type"), F.col("o_orderstatus").alias("provider"), F.lit("order").alias("artifact_kind"),
+        F.col("o_orderdate").cast("timestamp").alias("event_time"), F.col("o_orderkey").cast("string").alias("unit_key"), (F.col("o_orderstatus") == "F").alias("verified"), F.array().cast("array<string>").alias("actors"),
+        "o_custkey", "n",
+    )
+    seen = materialize(seen, "observations")
+    firsts = seen.where("n <= 2").groupBy("o_custkey").agg(F.collect_list("observation_id").alias("shared"))
+    own = seen.where("n > 1").groupBy("o_custkey", "evidence_type").agg(F.collect_list("observation_id").alias("own"), F.min("event_time").alias("first_seen"))
+    one = seen.where("n = 1").select(F.concat(F.lit("c"), "o_custkey").alias("cluster_id"), "o_custkey", F.array("observation_id").alias("member_ids"), F.col("event_time").alias("first_seen"))
+    more = own.join(firsts, "o_custkey").select(F.concat_ws("-", F.concat(F.lit("c"), "o_custkey"), "evidence_type").alias("cluster_id"), "o_custkey", F.array_union("own", "shared").alias("member_ids"), "first_seen")
+    full = lambda c: c.select("cluster_id", F.lit("mixed").alias("profile"), F.concat(F.lit("c"), "o_custkey").alias("direction_key"), F.lit("none").alias("model"), "member_ids", F.array(F.lit(1.0), F.lit(0.0)).alias("centroid"), "first_seen")
+    kept = ingest.DeltaStore(spark, f"{shared_root(spark)}/trendloom/store-{uuid.uuid4().hex}")
+    for batch, rows in enumerate((one, more, more)):
+        kept.ingest(batch, full(rows), seen, F.to_timestamp(F.lit("2024-01-01")))
+    store_ = kept.store()
+    counted = store_.counters.where("kind = 'evidence'").groupBy("trend_id").agg(F.sum("n").alias("counted"), F.count(F.lit(1)).alias("priorities"))
+    t = store_.trends.join(counted, "trend_id").join(store_.units.groupBy("trend_id").agg(F.count(F.lit(1)).alias("units")), "trend_id")
+    return t.select("direction_key", "observation_count", "counted", "priorities", "units", "update_count", F.col("last_seen").cast("date").cast("string").alias("last_seen"))
+
+
 def collection_resume_pages(spark, sf_dir):
     """Pages of 100 events, with the batch id that a rerun would give them again."""
     e = read(spark, sf_dir, "events").select("event_id", F.floor(F.col("event_id") / 100).alias("page"))
@@ -279,6 +305,9 @@ QUERIES = {
       select 'c' || o_custkey as direction_key, count(*) as observation_count, min(o_orderdate)::date::varchar as first_seen, max(o_orderdate)::date::varchar as last_seen,
         (min(o_orderdate) < '{_CUT}')::bigint + (max(o_orderdate) >= '{_CUT}')::bigint as update_count, count(*) filter (o_orderpriority = '1-URGENT') as urgent, (min(o_orderdate) filter (o_orderpriority = '1-URGENT'))::date::varchar as first_urgent,
         any_value(units) as units, any_value(verified_units) as verified_units from orders join n using (o_custkey) group by o_custkey"""),
+    "state_ingest_overlapping": (state_ingest_overlapping, """with o as (select *, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as n from orders),
+      b as (select o_custkey, case when n = 2 then min(o_orderpriority) over (partition by o_custkey) else o_orderpriority end as brings from o where n > 1), s as (select o_custkey, count(distinct brings) as steps from b group by o_custkey)
+      select 'c' || o_custkey as direction_key, count(*) as observation_count, count(*) as counted, count(distinct o_orderpriority) as priorities, count(*) as units, 1 + coalesce(any_value(steps), 0) as update_count, max(o_orderdate)::date::varchar as last_seen from o left join s using (o_custkey) group by o_custkey"""),
     "state_new_ids": (state_new_ids, "select user_id as trend_id, event_id as observation_id from events where event_id % 3 = 0 and event_id % 2 <> 0"),
     "collection_resume_pages": (collection_resume_pages, """select event_id // 100 as page, count(*) as records, min(event_id) as first_id, max(event_id) as last_id, 'page-' || substr(sha256('events|all|{"page":' || (event_id // 100)::varchar || '}'), 1, 24) as batch_id from events group by event_id // 100"""),
     "upsert_from_json_props": (upsert_from_json_props, "select event_type, count(*) as n, sum((props::json ->> 'k')::int)::bigint as total, max((props::json ->> 'k')::int) as most from events group by event_type"),
