@@ -9,10 +9,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trendloom.functions import scalars
-from trendloom.operators import ancestry, backfill, bridge, ingest, lineage, state, timeline
+from trendloom.operators import ancestry, backfill, bridge, ingest, lineage, state, timeline, windows
 from trendloom.plans.evidence import AS_OF, EVIDENCE_SQL, evidence, read
 from trendloom.sources import projections, specs, store
 from trendloom.sources.shared import materialize, shared_root
+from trendloom.streaming import keyed
 
 
 def _texts(df, *dates):
@@ -145,6 +146,25 @@ def calendar_months(spark, sf_dir):
     return o.select("o_orderpriority", F.explode(timeline.calendar_windows(F.col("a"), F.col("b"))).alias("w")).select("o_orderpriority", "w.period", F.col("w.start").cast("string").alias("start"), F.col("w.end").cast("string").alias("end"))
 
 
+def case_windows(spark, sf_dir):
+    """Orders within the quarter-long windows of their own customer, which start with each of its urgent orders."""
+    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderpriority")
+    first = F.to_date("o_orderdate")
+    own = o.where("o_orderpriority = '1-URGENT'").select("o_custkey", first.alias("start"), F.date_add(F.add_months(first, 3), -1).alias("end")).distinct()
+    return _texts(windows.counted(o, own, "o_custkey", "o_orderdate", days=92), "start", "end")
+
+
+def stream_trend_months(spark, sf_dir):
+    """Events as a stream of four files, the first of which comes again as the last: months by type and user."""
+    e = materialize(read(spark, sf_dir, "events").select(F.concat_ws("-", "event_type", "user_id").alias("trend_id"), F.col("event_id").cast("string").alias("observation_id"), F.col("ts").cast("timestamp").alias("event_time"), (F.col("event_id") % 3).alias("part")), "events")
+    root = f"{shared_root(spark)}/trendloom/stream-{uuid.uuid4().hex}"
+    for part in (0, 1, 2, 0):
+        e.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    keyed.count_months(spark.readStream.schema(e.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"), f"{root}/state", f"{root}/checkpoint")
+    m = keyed.months(spark, f"{root}/state")
+    return m.select("trend_id", "period", "n", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"))
+
+
 def month_arithmetic(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     d = F.col("o_orderdate")
@@ -321,6 +341,8 @@ QUERIES = {
     "first_useful_signal": (first_useful_signal, f"with {_DAILY} select case_id, min(period)::varchar as useful, date_diff('day', min(period), date '2024-01-31') as lead_days, date_diff('day', min(period), date '2024-01-31') >= 3 as target_met from t where first_sustained is not null and running >= 10 group by case_id"),
     "pre_origin_counts": (pre_origin_counts, f"with {_DAILY} select case_id, sum(case when period < date '2024-01-10' then n else 0 end)::bigint as started_before, sum(case when period + 2 < date '2024-01-10' then n else 0 end)::bigint as ended_before from d group by case_id"),
     "calendar_months": (calendar_months, "with o as (select o_orderpriority, min(o_orderdate)::date as a, max(o_orderdate)::date as b from orders group by 1), m as (select *, unnest(generate_series(date_trunc('month', a), date_trunc('month', b), interval 1 month))::date as d from o) select o_orderpriority, strftime(d, '%Y-%m') as period, greatest(d, a)::varchar as \"start\", least(last_day(d), b)::varchar as \"end\" from m"),
+    "case_windows": (case_windows, "with o as (select o_custkey, o_orderdate::date as d, o_orderpriority from orders), w as (select distinct o_custkey, d as s, (d + interval 3 month - interval 1 day)::date as e from o where o_orderpriority = '1-URGENT') select w.o_custkey, s::varchar as \"start\", e::varchar as \"end\", count(*) as n from w join o on w.o_custkey = o.o_custkey and d between s and e group by all"),
+    "stream_trend_months": (stream_trend_months, "select event_type || '-' || user_id as trend_id, strftime(ts, '%Y-%m') as period, count(*) as n, epoch_us(min(ts)) as first_us, epoch_us(max(ts)) as last_us from events group by all"),
     "month_arithmetic": (month_arithmetic, "select o_orderkey, strftime(o_orderdate, '%Y-%m') as month, (date_trunc('month', o_orderdate) - interval 7 month)::date::varchar as back, greatest(0, 1997 * 12 + 11 - (year(o_orderdate) * 12 + month(o_orderdate) - 1)) as distance from orders"),
     "stable_ids": (stable_ids, "select o_custkey, 'micro:mixed:' || substr(sha256('mixed' || chr(10) || string_agg(o_orderkey::varchar, chr(10) order by o_orderkey::varchar)), 1, 16) as cluster_id from orders group by o_custkey"),
     "abstract_rebuild": (abstract_rebuild, r"select conv_id, turn, regexp_replace(trim(text, ' '), '\s+', ' ', 'g') as abstract from conversations"),

@@ -24,9 +24,9 @@ class Segment(NamedTuple):
 
 
 class Segments:
-    """The store under root. shapes: the schema of each table, as DDL."""
+    """The store under root. shapes: the schema of each table, as DDL; without one the files tell."""
 
-    def __init__(self, spark: SparkSession, root: str, shapes: dict[str, str]):
+    def __init__(self, spark: SparkSession, root: str, shapes: dict[str, str | None]):
         self.spark, self.root, self.shapes = spark, root.rstrip("/"), shapes
 
     def _path(self, *parts: str):
@@ -66,7 +66,10 @@ class Segments:
         """All rows of a table in the segments given, else in those in force."""
         held = self.manifest()[1] if segments is None else segments
         paths = [f"{self.root}/{s.name}/{table}" for s in held]
-        return self.spark.read.schema(self.shapes[table]).parquet(*paths) if paths else self.spark.createDataFrame([], self.shapes[table])
+        if not paths:
+            return self.spark.createDataFrame([], self.shapes[table])
+        reader = self.spark.read.schema(self.shapes[table]) if self.shapes[table] else self.spark.read
+        return reader.parquet(*paths)
 
     def add(self, batch: int, tables: dict[str, DataFrame], merge: Callable[[str, DataFrame], DataFrame] | None = None) -> bool:
         """Write a batch and put it in force; False if it was in already. Batches come in order of their number. A batch

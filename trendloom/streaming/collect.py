@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.sources import store
+from trendloom.sources.segments import Segments
 
 
 def collect_pages(pages: DataFrame, raw_path: str, store_path: str, checkpoint: str, key: str = "observation_id"):
     """Run a stream of pages to its end: each micro-batch goes to raw storage first, under its batch id, then into
-    the store. A batch that is run again overwrites its own raw folder and upserts equal rows, so the result is as
+    the store. A batch that is run again overwrites its own raw folder and is in the store already, so the result is as
     if it had run once; a finished stream does nothing. Returns the ended query.
 
-    The store is a folder for each generation; the pointer is the newest one that is complete (_SUCCESS)."""
+    The store has a segment for each micro-batch (see ``Segments``), with the rows that it brings and no others; of equal
+    keys ``current`` shows the row of the last batch."""
+    held = Segments(pages.sparkSession, store_path, {"rows": None})
+
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         batch.write.mode("overwrite").option("compression", "gzip").json(f"{raw_path}/batch={batch_id:06d}")
-        old = current(batch.sparkSession, store_path, before=batch_id)
         rows = batch.dropDuplicates([key])
-        whole = rows if old is None else store.upsert(old, rows, key)
-        whole.write.mode("overwrite").parquet(f"{store_path}/generation={batch_id:06d}")
+        held.add(batch_id, {"rows": rows.select(F.col(key).cast("string").alias("key_"), F.lit(batch_id).cast("long").alias("version_"), F.struct("*").alias("row_"))}, _latest)
         batch.unpersist()
 
     query = pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -28,18 +29,16 @@ def collect_pages(pages: DataFrame, raw_path: str, store_path: str, checkpoint:
     return query
 
 
-def current(spark: SparkSession, store_path: str, before: int | None = None) -> DataFrame | None:
-    """The newest complete generation of a store (below a batch id), or None. Any Hadoop file system serves."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(store_path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    names = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("generation=")]
-    done = sorted(p.getName() for p in names if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-    if before is not None:
-        done = [n for n in done if int(n.split("=")[1]) < before]
-    return spark.read.parquet(f"{store_path}/{done[-1]}") if done else None
+def _latest(_: str, rows: DataFrame) -> DataFrame:
+    """Of each key the row that came last."""
+    return rows.groupBy("key_").agg(F.max("version_").alias("version_"), F.max_by("row_", "version_").alias("row_"))
+
+
+def current(spark: SparkSession, store_path: str) -> DataFrame | None:
+    """The rows of a store that ``collect_pages`` or ``monthly_state`` has filled, or None before the first batch."""
+    held = Segments(spark, store_path, {"rows": None})
+    segments = held.manifest()[1]
+    return _latest("rows", held.read("rows", segments)).select("row_.*") if segments else None
 
 
 def tumbling_counts(events: DataFrame, late: str = "1 hour", every: str = "6 hours") -> DataFrame:
@@ -53,16 +52,15 @@ def first_of_each(events: DataFrame, key: str, late: str = "1 day") -> DataFrame
 
 
 def monthly_state(stream: DataFrame, path: str, checkpoint: str):
-    """Keeps (trend_id, period, n) of all observations seen, whatever their order and lateness. A micro-batch adds
-    only ids it hasn't counted, so a replay changes nothing."""
+    """Keeps (trend_id, observation_id, period) of all observations seen, whatever their order and lateness. An observation
+    of a trend keeps the place of its key, so a replay changes nothing. (``keyed.count_months`` keeps counts alone.)"""
+    held = Segments(stream.sparkSession, path, {"rows": None})
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = current(spark, path, before=batch_id)
         rows = batch.select("trend_id", "observation_id", F.date_format("event_time", "yyyy-MM").alias("period")).dropDuplicates(["trend_id", "observation_id"])
-        if old is not None:
-            rows = old.union(rows.join(old.select("trend_id", "observation_id"), ["trend_id", "observation_id"], "left_anti"))
-        rows.write.mode("overwrite").parquet(f"{path}/generation={batch_id:06d}")
+        key = F.to_json(F.struct("trend_id", "observation_id"))
+        # the first batch that brings an observation counts
+        held.add(batch_id, {"rows": rows.select(key.alias("key_"), F.lit(-batch_id).cast("long").alias("version_"), F.struct("*").alias("row_"))}, _latest)
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
