@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from trendloom.functions import scalars
 from trendloom.operators import ancestry, backfill, bridge, ingest, lineage, state, timeline, windows
 from trendloom.plans.evidence import AS_OF, EVIDENCE_SQL, evidence, read
-from trendloom.sources import projections, specs, store
+from trendloom.sources import contract, projections, specs, store
 from trendloom.sources.shared import materialize, shared_root
 from trendloom.streaming import keyed
 
@@ -104,6 +104,31 @@ def collection_resume_pages(spark, sf_dir):
     return pages.select("*", store.batch_id(F.lit("events"), F.lit("all"), F.concat(F.lit('{"page":'), F.col("page").cast("string"), F.lit("}"))).alias("batch_id"))
 
 
+#: What an order is to look like.
+_ORDER = {
+    "type": "object", "additionalProperties": False, "required": ["id", "status", "placed_at", "price"],
+    "properties": {
+        "id": {"type": "integer", "minimum": 1}, "status": {"enum": ["F", "O"]}, "placed_at": {"type": "string", "format": "date"}, "price": {"type": ["number", "null"], "minimum": 1000},
+        "tags": {"type": "array", "items": {"type": "string", "minLength": 2}},
+    },
+}
+
+
+def contract_violations(spark, sf_dir):
+    """Orders as documents, some of which lack a field, have one too many, or a value of another type."""
+    o, k = read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    part = lambda name, x: F.concat(F.lit(f'"{name}":'), x)
+    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    fields = F.array(
+        part("id", F.when(k % 11 == 0, quoted(k.cast("string"))).otherwise(k.cast("string"))), part("status", quoted(F.col("o_orderstatus"))), F.when(k % 13 != 0, part("placed_at", quoted(F.date_format("o_orderdate", "yyyy-MM-dd")))),
+        part("price", F.when(k % 17 == 0, F.lit("null")).otherwise(F.floor("o_totalprice").cast("string"))), F.when(k % 19 == 0, part("extra", F.lit("{}"))),
+        part("tags", F.concat(F.lit('["ok",'), F.when(k % 23 == 0, F.lit('"x"')).when(k % 29 == 0, F.lit("1")).otherwise(F.lit('"yes"')), F.lit("]"))),
+    )
+    doc = F.concat(F.lit("{"), F.array_join(F.array_compact(fields), ","), F.lit("}"))
+    found = contract.broken(o.select(k.alias("id"), doc.alias("doc")), "doc", _ORDER)
+    return found.select("id", F.array_join("violations", "; ").alias("violations"))
+
+
 def upsert_from_json_props(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("event_id", "event_type", F.from_json("props", "k int").alias("p"))
     return e.groupBy("event_type").agg(F.count("p.k").alias("n"), F.sum("p.k").alias("total"), F.max("p.k").alias("most"))
@@ -330,6 +355,9 @@ QUERIES = {
       select 'c' || o_custkey as direction_key, count(*) as observation_count, count(*) as counted, count(distinct o_orderpriority) as priorities, count(*) as units, 1 + coalesce(any_value(steps), 0) as update_count, max(o_orderdate)::date::varchar as last_seen from o left join s using (o_custkey) group by o_custkey"""),
     "state_new_ids": (state_new_ids, "select user_id as trend_id, event_id as observation_id from events where event_id % 3 = 0 and event_id % 2 <> 0"),
     "collection_resume_pages": (collection_resume_pages, """select event_id // 100 as page, count(*) as records, min(event_id) as first_id, max(event_id) as last_id, 'page-' || substr(sha256('events|all|{"page":' || (event_id // 100)::varchar || '}'), 1, 24) as batch_id from events group by event_id // 100"""),
+    "contract_violations": (contract_violations, """with v as (select o_orderkey as id, list_filter([case when o_orderkey % 19 = 0 then '$.extra: additionalProperties' end, case when o_orderkey % 11 = 0 then '$.id: type' end, case when o_orderkey % 13 = 0 then '$.placed_at: required' end,
+      case when o_orderkey % 17 <> 0 and floor(o_totalprice) < 1000 then '$.price: minimum' end, case when o_orderstatus not in ('F', 'O') then '$.status: enum' end,
+      case when o_orderkey % 23 = 0 then '$.tags[1]: minLength' when o_orderkey % 29 = 0 then '$.tags[1]: type' end], lambda x: x is not null) as v from orders) select id, array_to_string(v, '; ') as violations from v where len(v) > 0"""),
     "upsert_from_json_props": (upsert_from_json_props, "select event_type, count(*) as n, sum((props::json ->> 'k')::int)::bigint as total, max((props::json ->> 'k')::int) as most from events group by event_type"),
     "backfill_windows": (backfill_windows, f"""with recursive {EVIDENCE_SQL}, t as (select trend_id, profile, min(event_time)::date as fs, {_case(0)} as m0, {_case(1)} as m1, {_case(2)} as m2, {_case(3)} as m3 from evidence group by trend_id, profile),
       b as (select *, (date '1997-12-01' - to_months(m0 - 1))::date as s0, (date '1997-12-01' - to_months(m2 - 1))::date as lim from t),
