@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from trendloom.functions import canonical
 from trendloom.sources import contract
 
 SCHEMA = {
@@ -45,3 +46,12 @@ def test_what_a_schema_may_not_ask(spark):
     for bad in ({"dependentRequired": {}}, {"format": "ipv4"}, {"enum": [[1]]}, {"$ref": "#/$defs/a", "$defs": {"a": {"$ref": "#/$defs/a"}}}, {"$ref": "other.json"}, {"required": ["it's"]}):
         with pytest.raises(ValueError):
             contract.violations(F.col("doc"), bad)
+
+
+def test_canonical_json_is_one_text_for_all_of_a_document(spark):
+    docs = [{"b": 1, "a": [1, 2, {"z": None, "y": True}], "ä": 'ü\n\t"\\/', "é": "日本𝔘"}, {"n": 12345678901234567890, "x": 1.5, "e": -0.25}, [], {}, "s", 3, {"a b": {"": 1}}, {"\u0001": "\u0001\b\f\r"}]
+    rows = [(i, json.dumps(d, ensure_ascii=ascii_, indent=indent, sort_keys=sort)) for i, d in enumerate(docs) for ascii_, indent, sort in ((True, 1, False), (False, None, True))]
+    df = spark.createDataFrame([*rows, (99, None), (99, "{")], "i int, t string").select("i", canonical.canonical_json(F.col("t")).alias("c"), canonical.content_id(F.col("t"), "page-").alias("id"))
+    for r in df.collect():
+        assert r.c == (None if r.i == 99 else json.dumps(docs[r.i], sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+    assert df.select("i", "id").distinct().count() == len(docs) + 1
