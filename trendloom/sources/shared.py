@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a fresh local folder where it is unset."""
+    """spark.checkpoint.dir. Only a local master may leave it unset, and gets a fresh folder; elsewhere executors would each
+    write to a disk of their own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="trendloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
