@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trendloom.plans import answer, corpus, evidence, ledger, space
+from trendloom.plans import answer, corpus, evidence, ledger, live, space
 
-_ALL = (evidence, answer, corpus, space, ledger)
+_ALL = (evidence, answer, corpus, space, ledger, live)
 
 
 def queries() -> dict:

@@ -2,15 +2,35 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def anchors(observations: DataFrame, ownership: DataFrame, most: int = 3) -> DataFrame:
-    """Repositories that a trend owns and whose own date isn't known, most of each trend."""
-    if most < 1:
-        raise ValueError("most must be at least 1")
+class Policy(NamedTuple):
+    """Repositories checked of a trend, least cosine of an event to the trend's centroid, and, for the local gate, to its
+    direction (None: the centroid decides)."""
+
+    most: int = 3
+    threshold: float = 0.82
+    local_threshold: float | None = None
+
+    def checked(self) -> Policy:
+        if self.most < 1:
+            raise ValueError("most must be at least 1")
+        if not 0 < self.threshold <= 1 or not (self.local_threshold is None or 0 < self.local_threshold <= 1):
+            raise ValueError("thresholds must be in (0, 1]")
+        return self
+
+
+def anchors(observations: DataFrame, ownership: DataFrame, most: int = 3, trends: DataFrame | None = None) -> DataFrame:
+    """Repositories that a trend owns and whose own date isn't known, most of each trend. With trends, only those that were
+    collected for their trend's profile and direction_key."""
+    Policy(most=most).checked()
     mine = observations.where("provider = 'github' and artifact_kind = 'repository' and published_at is null and external_id rlike '^[^/]+/[^/]+$'").join(ownership, "observation_id")
+    if trends is not None:
+        mine = mine.join(trends, ["trend_id", "profile", "direction_key"])
     place = F.row_number().over(Window.partitionBy("trend_id").orderBy("observation_id"))
     return mine.withColumn("place_", place).where(F.col("place_") <= most).drop("place_")
 
