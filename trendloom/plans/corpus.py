@@ -70,13 +70,11 @@ def dedup_index_batches(spark, sf_dir):
 
 
 def dedup_key_cases(spark, sf_dir):
-    """Keys of literal observations: full width, sharp s, ligatures, final sigma, mixed case in ids."""
-    rows = [(1, 'ＡＩ Agents for Straßenbau', 'Big_data-sets', 'Ada  Löwe', ' ORCID:0000-Ä '), (2, 'ai agents for STRASSENBAU', 'big data sets', 'ＡＤＡ löwe', ''), (3, 'Ünïcode ﬁne-tuning of LLMs №5', None, '  ', None), (4, 'a', '', None, 'X-ẞ'), (5, 'ΣΊΣΥΦΟΣ and σίσυφος', None, "Jean_Luc  D'Or", None)]
-    d = spark.createDataFrame(rows, "id int, title string, body string, name string, external_id string")
-    actors = text.actor_keys(F.array(F.struct("name", "external_id")))
-    tokens = text.token_set(F.col("title"))
-    simhash = F.lower(F.lpad(F.hex(text.simhash(text.blake2b_longs(tokens))), 16, "0"))
-    return d.select("id", text.content_hash(F.col("title"), F.col("body")).alias("content_hash"), simhash.alias("simhash"), F.array_join(actors, "|").alias("actors"))
+    """Keys of clients: every third has an address as its id, and each is named a second time without one."""
+    c = read(spark, sf_dir, "clients").where("name is not null")
+    address = F.when(F.col("client_id") % 3 == 0, F.concat(F.lit("  "), F.upper("email")))
+    twice = F.array(F.struct("name", address.alias("external_id")), F.struct(F.concat(F.col("name"), F.lit("  ")).alias("name"), F.lit("").alias("external_id")))
+    return c.select("client_id", text.content_hash(F.lit(None).cast("string"), F.col("name")).alias("content_hash"), F.array_join(text.actor_keys(twice), "|").alias("actors"))
 
 
 def simhash_titles(spark, sf_dir):
@@ -89,10 +87,16 @@ def router_classify(spark, sf_dir):
     return out.select("id", "profile", F.round("confidence", 3).alias("confidence"), F.array_join("matched", "|").alias("matched"))
 
 
+#: Signals of all profiles, in order; directions are made of them.
+_ALL = [x for found in routing.SIGNALS.values() for x in found]
+
+
 def router_directions(spark, sf_dir):
-    """The real signals on literal directions."""
-    rows = [(1, "AI agent framework"), (2, "solid-state battery electrolyte"), (3, "gene editing therapy"), (4, "quantum processor chip"), (5, "maintenance of bridges"), (6, "AI drug discovery protein software"), (7, "ИИ агент")]
-    d = spark.createDataFrame(rows, "id int, direction string")
+    """The real signals on directions made of up to three of them, in upper case for every fifth order."""
+    k = F.col("o_orderkey")
+    word = lambda i: F.element_at(F.array(*map(F.lit, _ALL)), (i % len(_ALL)).cast("int") + 1)
+    said = F.concat_ws(" of ", word(k), F.when(k % 2 == 0, word(k * 7)), F.when(k % 3 == 0, word(k * 11)), F.when(k % 4 == 0, F.lit("plain-words")))
+    d = read(spark, sf_dir, "orders").select(k.alias("id"), F.when(k % 13 == 0, "bridges").when(k % 5 == 0, F.upper(said)).otherwise(said).alias("direction"))
     return routing.classify(d, routing.signals(spark)).select("id", "profile", "confidence", F.array_join("matched", "|").alias("matched"))
 
 
@@ -132,23 +136,32 @@ def sample_gate_counts(spark, sf_dir):
 
 
 def estimate_rules(spark, sf_dir):
-    """The estimate's cases over all small inputs."""
-    r = spark.range(0, 40).select(F.col("id").alias("raw")).crossJoin(spark.range(1, 12).select(F.col("id").alias("samples"))).crossJoin(spark.range(0, 12).select(F.col("id").alias("matched"))).where("matched <= samples")
-    return r.select("raw", "samples", "matched", gates.estimate(F.col("raw"), F.col("samples"), F.col("matched")).alias("estimated"))
+    """The estimate's cases, from the digits of orders: all of 40 totals, 1 to 11 samples, and matches among them."""
+    k = F.col("o_orderkey")
+    r = read(spark, sf_dir, "orders").select(k, (F.col("o_custkey") % 40).alias("raw"), (k % 11 + 1).alias("samples")).withColumn("matched", F.floor(k / 11) % (F.col("samples") + 1))
+    return r.select("o_orderkey", "raw", "samples", "matched", gates.estimate(F.col("raw"), F.col("samples"), F.col("matched")).alias("estimated"))
+
+
+#: Events of orders by kind: direction, title, text, patch; what the gate makes of them: family, status, reason, span.
+_LORA, _RAG = "Low-rank adaptation for language models", "Retrieval augmented generation"
+_NOTHING = "no_event_local_implementation_evidence"
+_KINDS = [
+    ((_LORA, "Add LoRA fine-tuning for LLM adapters", "Implement lora support for transformers.", None), ("lora_llm", "eligible", "local_technology_and_implementation_context", "Add LoRA fine-tuning for LLM adapters (#K)")),
+    ((_LORA, "Fix LoRaWAN gateway", "Fix lora radio gateway config", None), ("lora_llm", "rejected", _NOTHING, None)),
+    ((_RAG, "Add RAG pipeline over documents", "", None), ("rag", "eligible", "local_technology_and_implementation_context", "Add RAG pipeline over documents (#K)")),
+    ((_RAG, "Update docs", "typo fixes", None), ("rag", "rejected", _NOTHING, None)),
+    (("Bridges", "Add steel", "", None), (None, "review_required", "no_calibrated_family_policy", None)),
+    ((_LORA, "wip", "wip", "FILE peft/lora.py\n+class LoraConfig:\n+    rank = 8"), ("lora_llm", "eligible", "same_sha_executable_lora_code", "wip (#K)\nclass LoraConfig:")),
+    ((_RAG, "RAG query", "wip", "FILE a/q.py\n+docs = retriever.get()\n+answer = llm(prompt, docs)"), ("rag", "eligible", "same_sha_executable_rag_retrieval_query", "RAG query (#K)\ndocs = retriever.get()\nanswer = llm(prompt, docs)")),
+    ((_RAG, "Traffic light status: add rag for documents", "", None), ("rag", "rejected", _NOTHING, None)),
+]
 
 
 def event_local_gate(spark, sf_dir):
-    rows = [
-        (1, "Low-rank adaptation for language models", "Add LoRA fine-tuning for LLM adapters", "Implement lora support for transformers.", None),
-        (2, "Low-rank adaptation for language models", "Fix LoRaWAN gateway", "Fix lora radio gateway config", None),
-        (3, "Retrieval augmented generation", "Add RAG pipeline over documents", "", None),
-        (4, "Retrieval augmented generation", "Update docs", "typo fixes", None),
-        (5, "Bridges", "Add steel", "", None),
-        (6, "Low-rank adaptation for language models", "wip", "wip", "FILE peft/lora.py\n+class LoraConfig:\n+    rank = 8"),
-        (7, "Retrieval augmented generation", "RAG query", "wip", "FILE a/q.py\n+docs = retriever.get()\n+answer = llm(prompt, docs)"),
-        (8, "Retrieval augmented generation", "Traffic light status: add rag for documents", "", None),
-    ]
-    e = spark.createDataFrame(rows, "id int, direction string, title string, text string, source_diff string")
+    """Orders as events of eight kinds, numbered in their titles."""
+    k = F.col("o_orderkey")
+    told = lambda i: F.element_at(F.array(*(F.lit(given[i]).cast("string") for given, _ in _KINDS)), (k % len(_KINDS)).cast("int") + 1)
+    e = read(spark, sf_dir, "orders").select(k.alias("id"), told(0).alias("direction"), F.concat(told(1), F.lit(" (#"), k.cast("string"), F.lit(")")).alias("title"), told(2).alias("text"), told(3).alias("source_diff"))
     return gates.event_gate(e).select("id", "family", "status", "reason", "evidence_span")
 
 
@@ -188,11 +201,11 @@ _CAND = f"""toks as (select doc_id as id, lang as block, {_keep_first(_SET)} as
   c as (select cand.id, block, k, coalesce(simhash, 0)::bigint as simhash from cand left join sim on cand.id = sim.id)"""
 
 
-def _router_sql() -> str:
-    rows = ", ".join(f"('{p}', {i}, '{s}', least(2.0, 1 + length('{s}') / 24.0))" for i, (p, found) in enumerate(_FAMILIES.items()) for s in found)
-    return rf"""with d as (select conv_id || '-' || turn as id, trim(regexp_replace(lower(replace(text, '-', ' ')), '\s+', ' ', 'g')) as t from conversations),
-  sig(profile, place, signal, weight) as (values {rows}),
-  hits as (select id, profile, place, signal, weight from d, sig where case when length(signal) <= 3 then contains(' ' || regexp_replace(t, '[^\p{{L}}\p{{M}}\p{{N}}_]', ' ', 'g') || ' ', ' ' || signal || ' ') else contains(t, signal) end),
+def _router_sql(table: dict[str, tuple[str, ...]] = _FAMILIES, said: str = "select conv_id || '-' || turn as id, text as said from conversations") -> str:
+    rows = ", ".join(f"('{p}', {i}, '{s}', '{s.replace('-', ' ')}', least(2.0, 1 + length('{s}') / 24.0))" for i, (p, found) in enumerate(table.items()) for s in found)
+    return rf"""with said as ({said}), d as (select id, trim(regexp_replace(lower(replace(said, '-', ' ')), '\s+', ' ', 'g')) as t from said),
+  sig(profile, place, signal, needle, weight) as (values {rows}),
+  hits as (select id, profile, place, signal, weight from d, sig where case when length(needle) <= 3 then contains(' ' || regexp_replace(t, '[^\p{{L}}\p{{M}}\p{{N}}_]', ' ', 'g') || ' ', ' ' || needle || ' ') else contains(t, needle) end),
   by_p as (select id, profile, place, sum(weight) as score, list(signal) as f from hits group by all),
   r as (select *, row_number() over (partition by id order by score desc, place) as rk from by_p),
   two as (select id, max(profile) filter (rk = 1) as p1, max(score) filter (rk = 1) as s1, max(score) filter (rk = 2) as s2, any_value(f) filter (rk = 1) as f1, any_value(f) filter (rk = 2) as f2 from r where rk <= 2 group by id),
@@ -201,6 +214,12 @@ def _router_sql() -> str:
   coalesce((select string_agg(x, '|' order by length(x) desc, x) from (select unnest(o.f) as x)), '') as matched from o"""
 
 
+_WORD = "([" + ", ".join(f"'{x}'" for x in _ALL) + f"])[({{0}}) % {len(_ALL)} + 1]"
+_DIRECTIONS_SQL = f"""select o_orderkey as id, case when o_orderkey % 13 = 0 then 'bridges' when o_orderkey % 5 = 0 then upper(x) else x end as said from (select o_orderkey, concat_ws(' of ', {_WORD.format('o_orderkey')},
+    case when o_orderkey % 2 = 0 then {_WORD.format('o_orderkey * 7')} end, case when o_orderkey % 3 = 0 then {_WORD.format('o_orderkey * 11')} end, case when o_orderkey % 4 = 0 then 'plain-words' end) as x from orders)"""
+_VERDICTS = ", ".join("(" + ", ".join([str(i), *("null" if x is None else f"'{x}'" for x in told)]) + ")" for i, (_, told) in enumerate(_KINDS))
+
+
 def _tf(p: str, tf: str) -> str:
     """Unit TF-IDF vectors v (g, d, term, w, df, n) of src (g, d, t)."""
     return f"""words as (select g, d, list_filter(regexp_extract_all(lower(t), '{p}'), lambda x: length(x) >= 2) as w from src),
@@ -238,8 +257,8 @@ QUERIES = {
     "dedup_exact_urls": (dedup_exact_urls, f"""with p as (select page_id, lower({_url(1)}) || '://' || lower({_url(2)}) || regexp_replace({_url(3)}, '/+$', '') as base,
       array_to_string(list_filter(string_split(substr({_url(4)}, 2), '&'), lambda x: x <> '' and not (starts_with(lower(x), 'utm_') or lower(split_part(x, '=', 1)) in ('ref', 'source', 'fbclid', 'gclid'))), '&') as q from pages)
       select base || case when q <> '' then '?' || q else '' end as url, min(page_id) as first_page, count(*) as n from p group by 1"""),
-    # computed apart from the engine, by hashlib and unicodedata
-    "dedup_key_cases": (dedup_key_cases, """select * from (values (1, '83de6a5c87dc8e464bd37baad317a4a19e01fc7f79ff58e39e4d57649b220248', '3df9df77ffc28a2f', 'id:orcid:0000-ä'), (2, '83de6a5c87dc8e464bd37baad317a4a19e01fc7f79ff58e39e4d57649b220248', '3df9df77ffc28a2f', 'name:ada löwe'), (3, 'a8f5b579517af1fbea813ce15b7e47852f3e2007b8ce69149d288cc1aa9c8c35', 'bb1fe7c2e767fafb', ''), (4, 'ca978112ca1bbdcafac231b39a23dc4da786eff8147c4e72b9807785afee48bb', '40f89e395b66422f', 'id:x-ss'), (5, 'd93c58ebb035b2314d3dd7a16137dc9a201e21e5e40fb373d2fb0f6a927371e5', 'ffff5efbd5a7df37', 'name:jean luc d or')) t(id, content_hash, simhash, actors)"""),
+    "dedup_key_cases": (dedup_key_cases, f"""with k as (select client_id, sha256({_norm('name')}) as content_hash, 'name:' || {_norm('name')} as own, case when client_id % 3 = 0 and email <> '' then 'id:' || lower(trim(email)) end as id from clients where name is not null)
+      select client_id, content_hash, coalesce(id || '|', '') || own as actors from k"""),
     "simhash_titles": (simhash_titles, f"with {_CAND} select id, simhash from c"),
     "dedup_fuzzy_pairs": (dedup_fuzzy_pairs, f"""with {_CAND}, p as (select x.id as a, y.id as b, len(list_intersect(x.k, y.k)) / len(list_distinct(x.k || y.k))::double as j, bit_count(xor(x.simhash, y.simhash)) as d
       from c x join c y on x.block = y.block and x.id < y.id where len(x.k) >= 4 and len(y.k) >= 4) select a, b, round(least(j, 1 - d / 64.0), 6) as similarity from p where j >= 0.6 and d <= 16"""),
@@ -250,7 +269,7 @@ QUERIES = {
         union all select least(x.id, y.id), greatest(x.id, y.id), s from near join r x on x.block is not distinct from near.block and x.k = ka join r y on y.block is not distinct from near.block and y.k = kb),
       edge as (select * from same union all select a, b, false, s from like_), {_GREEDY} select r.id, {_TOLD.format('r')}"""),
     "router_classify": (router_classify, _router_sql()),
-    "router_directions": (router_directions, "select * from (values (1, 'software_ai', 0.95::double, 'framework|ai agent|ai'), (2, 'materials_energy', 0.95, 'solid-state battery|electrolyte|battery'), (3, 'bio_medtech', 0.95, 'gene editing|therapy'), (4, 'hardware_semiconductor', 0.95, 'quantum processor|processor|chip'), (5, 'mixed', 0.25, ''), (6, 'mixed', 0.55, 'drug discovery|software|protein|ai'), (7, 'software_ai', 0.95, 'ии агент|ии')) t(id, profile, confidence, matched)"),
+    "router_directions": (router_directions, _router_sql(routing.SIGNALS, _DIRECTIONS_SQL)),
     "term_match_events": (term_match_events, r"""with d as (select conv_id, turn, text, lower(text) as l, ' ' || regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}_]+', ' ', 'g') || ' ' as w from conversations),
       c as (select *, list_filter(['er', 'un'], lambda x: contains(l, x)) as ctx from d),
       h as (select *, list_filter(['Ouwhea', 'tion'], lambda x: case when x = 'Ouwhea' then contains(text, x) else contains(l, x) end) || list_filter(['of the', 'and'], lambda x: case when x = 'of the' then contains(l, x) else contains(w, ' ' || x || ' ') and len(ctx) > 0 end) as hits from c)
@@ -267,8 +286,9 @@ QUERIES = {
       s as (select a.g, a.d, coalesce(c, 0) as c, len(list_intersect(b.k, a.k)) / len(b.k)::double as cov from k a join k b on a.g = b.g and b.d = -1 left join cos on cos.g = a.g and cos.d = a.d where a.d <> -1),
       n as (select g as case_id, count(*) as samples, count(*) filter (c >= 0.05 and cov >= 0.2) as matched, round(avg(c), 5) as cosine, round(avg(cov), 5) as coverage from s group by g)
       select *, (case when matched = 0 then 0 when matched = 1 then 1 else least(samples * 7, greatest(matched, round_even(samples * 7 * (matched / samples::double), 0)::bigint)) end)::bigint as estimated from n"""),
-    "estimate_rules": (estimate_rules, "select raw, samples, matched, (case when matched = 0 then 0 when raw <= samples then least(raw, matched) when matched = 1 then 1 else least(raw, greatest(matched, round_even(raw * (matched / samples::double), 0)::bigint)) end)::bigint as estimated from range(40) a(raw), range(1, 12) b(samples), range(12) c(matched) where matched <= samples"),
-    "event_local_gate": (event_local_gate, None),
+    "estimate_rules": (estimate_rules, """with r as (select o_orderkey, o_custkey % 40 as raw, o_orderkey % 11 + 1 as samples, (o_orderkey // 11) % (o_orderkey % 11 + 2) as matched from orders)
+      select *, (case when matched = 0 then 0 when raw <= samples then least(raw, matched) when matched = 1 then 1 else least(raw, greatest(matched, round_even(raw * (matched / samples::double), 0)::bigint)) end)::bigint as estimated from r"""),
+    "event_local_gate": (event_local_gate, f"select o_orderkey as id, family, status, reason, replace(span, '#K', '#' || o_orderkey) as evidence_span from orders join (values {_VERDICTS}) v(i, family, status, reason, span) on o_orderkey % {len(_KINDS)} = i"),
     "confusion_by_split": (confusion_by_split, f"""with d as (select lang, quality = 1 as e, {_RULE} as p from documents join labels using (doc_id)), c as (select lang, count(*) filter (e and p) as tp, count(*) filter (not e and p) as fp, count(*) filter (e and not p) as fn, count(*) filter (not e and not p) as tn from d group by lang)
       select *, round(tp / nullif(tp + fp, 0)::double, 6) as precision, round(tp / nullif(tp + fn, 0)::double, 6) as recall, round(fp / nullif(fp + tn, 0)::double, 6) as fpr from c"""),
     "threshold_select": (threshold_select, """with s as (select quality = 1 as e, round(len(list_distinct(string_split(text, ' '))) / len(string_split(text, ' '))::double, 4) as score from documents join labels using (doc_id)),

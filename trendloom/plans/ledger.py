@@ -269,29 +269,49 @@ def rename_traces(spark, sf_dir):
     return found.select("case_id", F.array_join("paths", ",").alias("paths"), F.array_join(F.transform("steps", lambda s: s["sha"]), ",").alias("steps"), "complete", "reason")
 
 
+def _chains(spark, sf_dir):
+    """Orders of a customer in chains: a chain starts with the customer's first order and with every seventh number."""
+    _, parents = _graph(spark, sf_dir)
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("repo"), F.col("o_orderkey").alias("k"))
+    heads = materialize(o.withColumn("first", F.min("k").over(Window.partitionBy("repo"))).where("k = first or k % 7 = 0").select("repo", F.col("k").cast("string").alias("sha")), "heads")
+    ends = Window.partitionBy("repo").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    marked = o.join(heads.select("repo", F.col("sha").cast("long").alias("k"), F.col("sha").alias("head")), ["repo", "k"], "left")
+    return marked.withColumn("head", F.last("head", ignorenulls=True).over(ends)), parents
+
+
 def rename_chain(spark, sf_dir):
-    commits = [("r", "b", "a"), ("r", "c", "b"), ("r", "d", "c"), ("r", "x", "a"), ("r", "e", "d")]
-    parents = spark.createDataFrame(commits, "repo string, sha string, parent_sha string")
-    rows = [("r", "b", 2, "m2.py", "m1.py", "renamed"), ("r", "x", 3, "z.py", "m2.py", "renamed"), ("r", "c", 3, "m3.py", "m2.py", "renamed"), ("r", "e", 5, "m3.py", None, "modified")]
-    files = spark.createDataFrame(rows, "repo string, sha string, committed_at int, filename string, previous_filename string, status string")
-    cases = [(1, "r", "a", 1, "e", 5, "m1.py"), (2, "r", "c", 3, "e", 5, "m3.py"), (3, "r", "a", 1, "x", 9, "m1.py")]
-    starts = spark.createDataFrame(cases, "case_id int, repo string, anchor_sha string, anchor_at int, candidate_sha string, candidate_at int, path string")
-    nodes = parents.select("repo", "sha").union(parents.select("repo", "parent_sha")).distinct()
-    return lineage.rename_chain(starts, files, lineage.descendants(parents, nodes)).select("case_id", "path", "hops", "reason")
+    """A module of each chain's first order, followed through renames to its last."""
+    o, parents = _chains(spark, sf_dir)
+    path = lambda n: F.concat(F.lit("m"), n.cast("string"), F.lit(".py"))
+    own, old = path(F.floor(F.col("k") / 10) % 3), path(F.col("k") % 3)
+    moved = (F.col("k") % 2 == 0) & (own != old)
+    files = o.select("repo", F.col("k").cast("string").alias("sha"), F.col("k").alias("committed_at"), own.alias("filename"), F.when(moved, old).alias("previous_filename"), F.when(moved, "renamed").otherwise("modified").alias("status"))
+    cases = o.groupBy("repo", "head").agg(F.max("k").alias("candidate_at"))
+    starts = cases.select(F.col("head").alias("case_id"), "repo", F.col("head").alias("anchor_sha"), F.col("head").cast("long").alias("anchor_at"), F.col("candidate_at").cast("string").alias("candidate_sha"), "candidate_at", F.lit("m0.py").alias("path"))
+    nodes = o.select("repo", F.col("k").cast("string").alias("sha"))
+    return lineage.rename_chain(starts, files, lineage.descendants(parents, nodes)).select("case_id", "path", F.col("hops").cast("long").alias("hops"), "reason")
+
+
+#: Anchors' patches by number, and the file that a commit changes; modules in Java aren't followed, nor are docs.
+_DIFFS = ("FILE peft/lora.py\n+class LoraConfig:", "FILE peft/Lora.java\n+class LoraConfig:\nFILE peft/other.py\n+x", "FILE docs/lora.py\n+class LoraConfig:", None)
+_FILES = ("peft/lora.py", "peft/Lora.java", "docs/lora.md", "peft/other.py", None)
 
 
 def lineage_verdicts(spark, sf_dir):
-    parents = spark.createDataFrame([("r", "b", "a"), ("r", "c", "b"), ("r", "x", "z")], "repo string, sha string, parent_sha string")
-    below = lineage.descendants(parents, parents.select("repo", F.col("parent_sha").alias("sha")).distinct())
-    patch = "+class LoraLayer:\n+    pass"
-    files = spark.createDataFrame([("r", "b", "peft/lora.py", None, "modified", patch), ("r", "b", "peft/Lora.java", None, "modified", patch), ("r", "c", "docs/lora.md", None, "modified", patch), ("r", "x", "peft/lora.py", None, "modified", patch)], "repo string, sha string, filename string, previous_filename string, status string, patch string")
-    d, diff = "Low-rank adaptation for language models", "FILE peft/lora.py\n+class LoraConfig:"
-    base = (d, "r", "a", 1, "commit", "Add LoRA fine-tuning for LLM adapters", None, diff)
-    cases = [(1, *base, "r", "b", 2, "commit"), (2, *base, "r", "c", 3, "commit"), (3, *base, "r", "x", 3, "commit"), (4, *base, "q", "b", 2, "commit"), (5, *base, "r", "b", 1, "commit"), (6, *base, "r", "a", 2, "commit"), (7, *base[:-1], None, "r", "b", 2, "commit")]
-    # modules in Java aren't followed, and an anchor that changes nothing but docs has none
-    cases += [(8, *base[:-1], "FILE peft/Lora.java\n+class LoraConfig:\nFILE peft/other.py\n+x", "r", "b", 2, "commit"), (9, *base[:-1], "FILE docs/lora.py\n+class LoraConfig:", "r", "b", 2, "commit")]
-    shape = "case_id int, technology_direction string, anchor_repo string, anchor_sha string, anchor_at int, anchor_kind string, anchor_title string, anchor_text string, anchor_diff string, repo string, sha string, at int, kind string"
-    return lineage.verdicts(spark.createDataFrame(cases, shape), files, below)
+    """Each order as a candidate, against the customer's order two before it, itself, one of another repository, and so on by
+    its number."""
+    o, parents = _chains(spark, sf_dir)
+    o = o.withColumn("before", F.lag("k", 2).over(Window.partitionBy("repo").orderBy("k")))
+    k, text_ = F.col("k"), F.col("k").cast("string")
+    pick = lambda values, at: F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), at.cast("int") + 1)
+    files = o.select("repo", text_.alias("sha"), pick(_FILES, k % 5).alias("filename"), F.lit(None).cast("string").alias("previous_filename"), F.lit("modified").alias("status"), F.lit("+class LoraLayer:\n+    pass").alias("patch")).where("filename is not null")
+    kind = lambda n: F.when(k % n == 0, "release").otherwise("commit")
+    cases = o.where("before is not null").select(
+        k.alias("case_id"), F.lit("Low-rank adaptation for language models").alias("technology_direction"), F.when(k % 17 == 0, "other").otherwise(F.col("repo")).alias("anchor_repo"), F.when(k % 19 == 0, k).otherwise(F.col("before")).cast("string").alias("anchor_sha"),
+        F.when(k % 23 == 0, k).otherwise(F.col("before")).alias("anchor_at"), kind(29).alias("anchor_kind"), F.when(k % 31 == 0, "Update docs").otherwise("Add LoRA fine-tuning for LLM adapters").alias("anchor_title"), F.lit(None).cast("string").alias("anchor_text"),
+        F.when(k % 31 == 0, "FILE src/a.py\n+x").otherwise(pick(_DIFFS, k % 4)).alias("anchor_diff"), "repo", text_.alias("sha"), k.alias("at"), kind(37).alias("kind"),
+    )
+    return lineage.verdicts(cases, files, lineage.descendants(parents, o.select("repo", text_.alias("sha"))))
 
 
 def bridge_events(spark, sf_dir):
@@ -342,6 +362,9 @@ _TRACE = """f as (select repo, k, 'm' || (k // 10 % 3) || '.py' as own, case whe
           from h h2 join t t0 on t0.repo = h2.repo and t0.path = h2.path and t0.k between h2.cur and h2.last where h2.reason is null and h2.hop < 3) t on t.r = h.repo
       where h.reason is null and h.hop < 3 group by all))"""
 
+_CHAINS = """o as (select o_custkey::varchar as repo, o_orderkey as k, max(case when o_orderkey % 7 = 0 or o_orderkey = first then o_orderkey end) over (partition by o_custkey order by o_orderkey) as head
+    from (select *, min(o_orderkey) over (partition by o_custkey) as first from orders))"""
+
 QUERIES = {
     "observation_upsert_stats": (observation_upsert_stats, f"with {_UP} select count(*) filter (event_id not in (select event_id from o)) as inserted, count(*) filter (event_id in (select event_id from o)) as updated from n"),
     "observation_upsert": (observation_upsert, f"with {_UP} select event_id, event_type, round(value, 4) as value from n union all select event_id, event_type, round(value, 4) from o where event_id not in (select event_id from n)"),
@@ -381,8 +404,15 @@ QUERIES = {
     "ancestor_pairs": (ancestor_pairs, f"with recursive {_DAG}, later as (select repo, k, unnest([lead(k, 1) over w, lead(k, 2) over w, lead(k, 5) over w, lead(k, 9) over w]) as d from o window w as (partition by repo order by k)) select repo, k::varchar as up, later.d::varchar as down from later join above using (repo) where above.d = later.d and above.u = later.k"),
     "rename_traces": (rename_traces, f"""with recursive {_DAG}, {_TRACE}, e as (select * from h qualify row_number() over (partition by repo order by hop desc) = 1)
       select repo as case_id, path as paths, array_to_string(steps, ',') as steps, reason is not null and reason = 'no_more_verified_renames' as complete, coalesce(reason, 'max_rename_hops_reached') as reason from e"""),
-    "rename_chain": (rename_chain, "select * from (values (1, 'm3.py', 2, 'no_more_verified_renames'), (2, 'm3.py', 0, 'no_more_verified_renames'), (3, 'm1.py', 0, 'no_more_verified_renames')) t(case_id, path, hops, reason)"),
-    "lineage_verdicts": (lineage_verdicts, "select * from (values (1, 'supporting', 'confirmed_ancestor_and_same_module_source_change'), (2, 'rejected', 'no_executable_changes_to_confirmed_module'), (3, 'rejected', 'not_confirmed_descendant'), (4, 'rejected', 'cross_repository'), (5, 'rejected', 'candidate_not_later_than_verified_anchor'), (6, 'rejected', 'same_commit_is_not_supporting_activity'), (7, 'review_required', 'no_verified_anchor_source_paths'), (8, 'rejected', 'no_executable_changes_to_confirmed_module'), (9, 'review_required', 'no_verified_anchor_source_paths')) t(case_id, verdict, reason)"),
+    "rename_chain": (rename_chain, f"""with recursive {_CHAINS}, f as (select head, k, 'm' || (k // 10 % 3) || '.py' as own, 'm' || (k % 3) || '.py' as old from o where k % 2 = 0 and k // 10 % 3 <> k % 3),
+      h(hop, head, path, cur, last, hops, reason) as (select 0, head, 'm0.py', head, max(k), 0::bigint, null::varchar from o group by head union all
+        select hop + 1, h.head, coalesce(arg_min(own, f.k), path), coalesce(min(f.k), cur), last, hops + (count(f.k) > 0)::bigint, case when count(f.k) = 0 then 'no_more_verified_renames' end from h left join f on f.head = h.head and f.old = h.path and f.k > h.cur and f.k < h.last where h.reason is null and hop < 3 group by hop, h.head, path, cur, last, hops)
+      select head::varchar as case_id, path, hops, coalesce(reason, 'max_rename_hops_reached') as reason from h qualify row_number() over (partition by head order by hop desc) = 1"""),
+    "lineage_verdicts": (lineage_verdicts, f"""with {_CHAINS}, c as (select *, lag(k, 2) over (partition by repo order by k) as before, lag(head, 2) over (partition by repo order by k) as old from o),
+      r as (select k, case when k % 17 = 0 then 'cross_repository' when k % 29 = 0 or k % 37 = 0 then 'only_commit_ancestry_supported' when k % 19 = 0 then 'same_commit_is_not_supporting_activity' when k % 23 = 0 then 'candidate_not_later_than_verified_anchor'
+        when k % 31 <> 0 and k % 4 in (2, 3) then 'no_verified_anchor_source_paths' when k % 31 = 0 then 'anchor_not_technology_verified' when head <> old then 'not_confirmed_descendant' when k % 5 = 4 then 'missing_immutable_candidate_files'
+        when (k % 4 = 0 and k % 5 = 0) or (k % 4 = 1 and k % 5 = 3) then 'confirmed_ancestor_and_same_module_source_change' else 'no_executable_changes_to_confirmed_module' end as reason from c where before is not null)
+      select k as case_id, case when reason like 'confirmed%' then 'supporting' when reason in ('no_verified_anchor_source_paths', 'anchor_not_technology_verified', 'missing_immutable_candidate_files') then 'review_required' else 'rejected' end as verdict, reason from r"""),
     "bridge_events": (bridge_events, f"with {EVIDENCE_SQL}, r as (select *, row_number() over (partition by trend_id, unit_key, verified order by event_time, observation_id) as rn from evidence) select trend_id, case when not verified then 'rejected' when rn = 1 then 'accepted' else 'later_supporting' end as label, count(*) as n, min(event_time) as first from r group by all"),
     "monthly_samples": (monthly_samples, "with r as (select *, strftime(o_orderdate, '%Y-%m') as period, row_number() over (partition by o_orderpriority, strftime(o_orderdate, '%Y-%m') order by o_orderdate, o_orderkey) as rn from orders) select o_orderpriority, period, count(*) as n, string_agg(o_orderkey::varchar, ',' order by rn) filter (rn <= 15) as samples from r group by all"),
     "events_tumbling": (events_tumbling, "select time_bucket(interval 6 hours, ts, timestamp '2024-01-01') as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by all"),
