@@ -38,3 +38,23 @@ def test_renames_follow_the_branch_of_the_case(spark):
     nodes = parents.select("repo", "sha").union(parents.select("repo", "parent_sha")).distinct()
     got = lineage.rename_chain(starts, files, lineage.descendants(parents, nodes)).orderBy("case_id").collect()
     assert [(r.path, r.hops, r.reason) for r in got] == [("m3.py", 2, "no_more_verified_renames"), ("m3.py", 0, "no_more_verified_renames"), ("m1.py", 0, "no_more_verified_renames")]
+
+
+def test_verdicts_on_supporting_changes(spark):
+    """Modules in Java aren't followed, and an anchor that changes nothing but docs has none."""
+    parents = spark.createDataFrame([("r", "b", "a"), ("r", "c", "b"), ("r", "x", "z")], "repo string, sha string, parent_sha string")
+    below = lineage.descendants(parents, parents.select("repo", F.col("parent_sha").alias("sha")).distinct())
+    patch = "+class LoraLayer:\n+    pass"
+    changed = [("b", "peft/lora.py"), ("b", "peft/Lora.java"), ("c", "docs/lora.md"), ("x", "peft/lora.py")]
+    files = spark.createDataFrame([("r", sha, name, None, "modified", patch) for sha, name in changed], "repo string, sha string, filename string, previous_filename string, status string, patch string")
+    diff = "FILE peft/lora.py\n+class LoraConfig:"
+    base = ("Low-rank adaptation for language models", "r", "a", 1, "commit", "Add LoRA fine-tuning for LLM adapters", None)
+    ends = [(diff, "r", "b", 2), (diff, "r", "c", 3), (diff, "r", "x", 3), (diff, "q", "b", 2), (diff, "r", "b", 1), (diff, "r", "a", 2), (None, "r", "b", 2)]
+    ends += [("FILE peft/Lora.java\n+class LoraConfig:\nFILE peft/other.py\n+x", "r", "b", 2), ("FILE docs/lora.py\n+class LoraConfig:", "r", "b", 2)]
+    shape = "case_id int, technology_direction string, anchor_repo string, anchor_sha string, anchor_at int, anchor_kind string, anchor_title string, anchor_text string, anchor_diff string, repo string, sha string, at int, kind string"
+    cases = spark.createDataFrame([(i, *base, *end, "commit") for i, end in enumerate(ends, 1)], shape)
+    assert [(r.verdict, r.reason) for r in lineage.verdicts(cases, files, below).orderBy("case_id").collect()] == [
+        ("supporting", "confirmed_ancestor_and_same_module_source_change"), ("rejected", "no_executable_changes_to_confirmed_module"), ("rejected", "not_confirmed_descendant"), ("rejected", "cross_repository"),
+        ("rejected", "candidate_not_later_than_verified_anchor"), ("rejected", "same_commit_is_not_supporting_activity"), ("review_required", "no_verified_anchor_source_paths"),
+        ("rejected", "no_executable_changes_to_confirmed_module"), ("review_required", "no_verified_anchor_source_paths"),
+    ]
