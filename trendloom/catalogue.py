@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trendloom.plans import answer, corpus, evidence, ledger, live, space
+from trendloom.plans import answer, corpus, evidence, ledger, live, retrospect, space
 
-_ALL = (evidence, answer, corpus, space, ledger, live)
+_ALL = (evidence, answer, corpus, space, ledger, live, retrospect)
 
 
 def queries() -> dict:

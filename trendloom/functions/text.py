@@ -46,8 +46,14 @@ def _normal(x: Column) -> Column:
     return F.array_join(tokens(F.translate(x, "-_", "  ")), " ")
 
 
+def folded(x: Column) -> Column:
+    """NFKC with case folding. ASCII text is lowered by the JVM: Python is sent a null in its place."""
+    ascii_ = F.octet_length(x) == F.char_length(x)
+    return F.when(ascii_, F.lower(x)).otherwise(nfkc_casefold(F.when(~ascii_, x)))
+
+
 def normalise(x: Column) -> Column:
-    return _normal(nfkc_casefold(x))
+    return _normal(folded(x))
 
 
 def plain_normalise(x: Column) -> Column:

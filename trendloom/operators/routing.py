@@ -39,34 +39,38 @@ def signals(spark: SparkSession, table: dict[str, tuple[str, ...]] = SIGNALS) ->
     return df.select("*", direction_key(F.col("signal")).alias("needle"), F.least(F.lit(2.0), 1 + F.length("signal") / 24).alias("weight"))
 
 
-def signal_hit(text: Column, needle: Column) -> Column:
+def signal_hit(text: Column, needle: str) -> Column:
     """A needle of up to three characters must be a word; a longer one may be any part."""
-    padded = F.concat(F.lit(" "), F.regexp_replace(text, r"(?U)\W", " "), F.lit(" "))
-    return F.when(F.length(needle) <= 3, F.contains(padded, F.concat(F.lit(" "), needle, F.lit(" ")))).otherwise(F.contains(text, needle))
+    if len(needle) > 3:
+        return F.contains(text, F.lit(needle))
+    return F.contains(F.concat(F.lit(" "), F.regexp_replace(text, r"(?U)\W", " "), F.lit(" ")), F.lit(f" {needle} "))
 
 
 def classify(directions: DataFrame, dimension: DataFrame, column: str = "direction") -> DataFrame:
-    """directions (id, direction) with profile, confidence and matched signals. The two best profiles decide:
-    none matches: mixed, 0.25; the second is within 80 % of the first: mixed, 0.55; else the first."""
-    text = directions.select("id", direction_key(F.col(column)).alias("text"))
-    hits = text.join(F.broadcast(dimension), signal_hit(F.col("text"), F.col("needle")))
-    by = hits.groupBy("id", "profile", "place").agg(F.sum("weight").alias("score"), F.collect_set("signal").alias("found"))
-    order = Window.partitionBy("id").orderBy(F.desc("score"), "place")
-    ranked = by.withColumn("rank", F.row_number().over(order)).where("rank <= 2")
-    first, second = F.col("rank") == 1, F.col("rank") == 2
-    two = ranked.groupBy("id").agg(
-        F.max(F.when(first, F.col("profile"))).alias("p1"), F.max(F.when(first, F.col("score"))).alias("s1"), F.max(F.when(second, F.col("score"))).alias("s2"),
-        F.max(F.when(first, F.col("found"))).alias("f1"), F.max(F.when(second, F.col("found"))).alias("f2"),
-    )
-    both = F.coalesce(F.col("s2") >= 0.8 * F.col("s1"), F.lit(False))
-    sure = F.round(F.least(F.lit(0.95), 0.55 + 0.12 * F.col("s1") + 0.06 * (F.col("s1") - F.coalesce("s2", F.lit(0.0)))), 3)
-    found = F.when(both, F.array_union("f1", "f2")).otherwise(F.coalesce("f1", F.array().cast("array<string>")))
+    """directions with profile, confidence and matched signals. The two best profiles decide: none matches: mixed,
+    0.25; the second is within 80 % of the first: mixed, 0.55; else the first. The signals, of fixed number, become
+    literals of one projection, so directions are neither joined nor shuffled; a null direction is mixed."""
+    signals_of: dict[tuple[int, str], list] = {}
+    for r in dimension.orderBy("place", "signal").collect():
+        signals_of.setdefault((r.place, r.profile), []).append(r)
+    text = F.col("text_")
+    profiles = []
+    for (place, profile), table in signals_of.items():
+        hits = [signal_hit(text, r.needle) for r in table]
+        score = sum((F.when(h, r.weight).otherwise(0.0) for h, r in zip(hits, table)), F.lit(0.0))
+        found = F.array_compact(F.array(*(F.when(h, r.signal) for h, r in zip(hits, table))))
+        profiles.append(F.struct(score.alias("score"), F.lit(-place).alias("order"), F.lit(profile).alias("profile"), found.alias("found")))
+    ranked = F.sort_array(F.filter(F.array(*profiles), lambda p: p["score"] > 0), asc=False)
+    df = directions.withColumn("text_", direction_key(F.col(column))).withColumn("ranked_", ranked)
+    first, second = F.get("ranked_", F.lit(0)), F.get("ranked_", F.lit(1))
+    both = F.coalesce(second["score"] >= 0.8 * first["score"], F.lit(False))
+    sure = F.round(F.least(F.lit(0.95), 0.55 + 0.12 * first["score"] + 0.06 * (first["score"] - F.coalesce(second["score"], F.lit(0.0)))), 3)
+    found = F.when(both, F.array_union(first["found"], second["found"])).otherwise(F.coalesce(first["found"], F.array().cast("array<string>")))
     longest = lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)
-    out = directions.join(two, "id", "left")
-    return out.select(
+    return df.select(
         *directions.columns,
-        F.when(F.col("p1").isNull() | both, "mixed").otherwise(F.col("p1")).alias("profile"),
-        F.when(F.col("p1").isNull(), 0.25).when(both, 0.55).otherwise(sure).alias("confidence"),
+        F.when(first.isNull() | both, "mixed").otherwise(first["profile"]).alias("profile"),
+        F.when(first.isNull(), 0.25).when(both, 0.55).otherwise(sure).alias("confidence"),
         F.array_sort(found, longest).alias("matched"),
     )
 

@@ -70,9 +70,10 @@ def states_sql(as_of: str = "1997-12-31", source: str = "evidence") -> str:
   from (select *, year(event_time) * 12 + month(event_time) - 1 as mi from {source}) where event_time < date '{as_of}' + interval 1 day group by trend_id, profile)"""
 
 
-def score_sql(as_of: str = "1997-12-31") -> str:
+def score_sql(as_of: str = "1997-12-31", now: str | None = None) -> str:
+    """The score at a date, or at the month whose index the column named now holds."""
     y, m, _ = map(int, as_of.split("-"))
-    now = y * 12 + m - 1
+    now = now or y * 12 + m - 1
 
     def buckets(rows) -> str:
         return " + ".join(f"(case when {' or '.join(f'n_{t} > 0' for t in types)} then {w * 100.0} else 0.0 end)" for types, w in rows)
