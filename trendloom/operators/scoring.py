@@ -143,7 +143,7 @@ def is_research_only() -> Column:
 
 def explanation() -> Column:
     """A sentence on the score's parts."""
-    return F.format_string("growth %.1f, acceleration %.1f, novelty %.1f, evidence %.1f, actors %.1f, recency %.1f, persistence %.1f, maturity penalty %.1f", *(F.col(k) for k in ("growth", "acceleration", "novelty", "evidence", "actors", "recency", "persistence", "maturity")))
+    return F.format_string("growth %.1f, acceleration %.1f, novelty %.1f, evidence %.1f, actors %.1f, recency %.1f, persistence %.1f, maturity penalty %.1f", *(F.round(k, 1) for k in ("growth", "acceleration", "novelty", "evidence", "actors", "recency", "persistence", "maturity")))
 
 
 def top(scored_states: DataFrame, n: int = 15) -> DataFrame:
