@@ -40,8 +40,8 @@ def query_text(medoid: Column, topics: Column, cap: int = 320) -> Column:
 
 
 def top_labels(df: DataFrame, key: str, labels: str, n: int = 5) -> DataFrame:
-    """The n most frequent labels of each key; ties go to the one that came first."""
+    """The n most frequent labels of each key; ties go to the one that came first, then to the lesser label."""
     each = df.select(key, F.posexplode(labels).alias("pos", "label"), F.col("seq") if "seq" in df.columns else F.lit(0).alias("seq"))
     counts = each.groupBy(key, "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("seq", "pos")).alias("first"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "first"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "first", "label"))
     return counts.withColumn("place", place).where(F.col("place") <= n).select(key, "place", "label", "n")
