@@ -24,8 +24,12 @@ def retrieval(ranks: DataFrame, by: list[str], query: str = "query_id") -> DataF
         F.min(F.when(F.col("relevant"), F.col("rank"))).alias("best"),
         F.min(F.when(F.col("hard"), F.col("rank"))).alias("worst"),
     )
-    won = F.coalesce(F.col("best") < F.col("worst"), F.lit(False))
-    return each.groupBy(*by).agg(F.count(F.lit(1)).alias("queries"), *(F.round(F.avg(F.coalesce(f"r{k}", F.lit(0.0))), 6).alias(f"recall_at_{k}") for k in (1, 3, 5)), F.round(F.avg(F.coalesce(1 / F.col("best"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg(won.cast("double")), 6).alias("hard_negative_win_rate"))
+    return averaged(each.withColumn("won", F.coalesce(F.col("best") < F.col("worst"), F.lit(False))), by)
+
+
+def averaged(each: DataFrame, by: list[str]) -> DataFrame:
+    """The means of queries' own figures: r1, r3, r5, best (a rank, or null), won."""
+    return each.groupBy(*by).agg(F.count(F.lit(1)).alias("queries"), *(F.round(F.avg(F.coalesce(f"r{k}", F.lit(0.0))), 6).alias(f"recall_at_{k}") for k in (1, 3, 5)), F.round(F.avg(F.coalesce(1 / F.col("best"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg(F.col("won").cast("double")), 6).alias("hard_negative_win_rate"))
 
 
 def confusion(df: DataFrame, by: list[str], expected: Column, predicted: Column) -> DataFrame:
