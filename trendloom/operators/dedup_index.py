@@ -3,8 +3,7 @@
 Rows are taken in order: a row is a duplicate if an earlier *unique* one, of any batch, has one of its exact keys, or has a
 title, an evidence block and actors like its own; duplicates are never indexed and make none. Rows of equal title tokens,
 hash, block and actors have one signature, of which at most one row can be unique, so titles meet by signature: by
-rare tokens (prefix filter) and length classes, never row by row. The order of tokens, by their frequency in the first
-batch, is part of the index, since a prefix filter holds for any order that doesn't change.
+sketches, in products of tiles of like sizes (``sketches.near``), and only pairs that pass these become rows.
 
 Whether a row is unique may hang on earlier ones. Each round looks at the earliest row left of each key and signature: who
 stands behind a unique one is a duplicate, who stands behind none is unique, and what is left over goes to the next
@@ -13,12 +12,11 @@ round. Rounds carry the rows that are still open, with what these stand behind,
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.functions import text
+from trendloom.operators import sketches
 from trendloom.operators.dedup import HAMMING, JACCARD, TOKENS
 from trendloom.sources.segments import Segments
 from trendloom.sources.shared import materialize
@@ -27,9 +25,7 @@ _TITLE = "sig binary, id string, batch long, seq long, block string, n int, toke
 _SHAPES = {
     "keys": "key string, id string, batch long, seq long",
     "titles": _TITLE,
-    "postings": "block string, token string, class int, sig binary, n int",
     "results": "id string, batch long, seq long, unique boolean, duplicate_of string, reason string, similarity double",
-    "ranks": "token string, df long",
 }
 
 
@@ -53,12 +49,10 @@ class DedupIndex:
         last, segments = self.store.manifest()
         if batch <= last:
             return self.results(batch)
-        old = {t: self.store.read(t, segments) for t in ("keys", "titles", "postings", "ranks")}
+        old = {t: self.store.read(t, segments) for t in ("keys", "titles")}
         mine = materialize(_prepared(rows, self.least), "batch")
-        ranks = old["ranks"] if segments else materialize(mine.where("sig is not null").select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")), "ranks")
         titles = materialize(mine.where("sig is not null").groupBy("sig").agg(*(F.first(c).alias(c) for c in ("block", "n", "tokens", "simhash", "actors"))), "titles")
-        postings = materialize(self._postings(titles, ranks), "postings")
-        edges = materialize(self._edges(titles, postings, old["titles"], old["postings"]), "edges")
+        edges = materialize(self._edges(titles, old["titles"]), "edges")
 
         behind = materialize(_behind_index(mine, edges, old["keys"], old["titles"]), "behind")
         unique = _uniques(mine.join(behind, "seq", "left_anti"), edges.where("not indexed"))
@@ -70,33 +64,18 @@ class DedupIndex:
         new = unique.where("sig is not null").select("sig", "id", number, "seq", "block", "n", "tokens", "simhash", "actors")
         found = _explained(mine, unique, edges, old["keys"].unionByName(keys), old["titles"].unionByName(new).select("sig", "id", "batch", "seq"), batch)
         results = found.select("id", number, "seq", "unique", "duplicate_of", "reason", "similarity")
-        tables = {"keys": keys, "titles": new, "postings": postings.join(new.select("sig"), "sig", "left_semi"), "results": results, "ranks": ranks if not segments else ranks.limit(0)}
+        tables = {"keys": keys, "titles": new, "results": results}
         self.store.add(batch, {t: df.select(*self.store.read(t, []).columns) for t, df in tables.items()})
         return self.results(batch)
 
-    def _class(self, n: Column) -> Column:
-        """Sizes of sets alike enough are of one class, or of neighbouring ones."""
-        if self.jaccard > 0.99:
-            return n.cast("int")
-        return F.floor(F.log(n) / (math.log(1 / self.jaccard) * (1 + 1e-9))).cast("int")
-
-    def _postings(self, titles: DataFrame, ranks: DataFrame) -> DataFrame:
-        """(block, token, class, sig, n) of the rarest tokens of each title, as many as a title like it must share one of."""
-        each = titles.select("sig", "block", "n", F.explode("tokens").alias("token")).join(ranks, "token", "left")
-        place = F.row_number().over(Window.partitionBy("sig").orderBy(F.coalesce("df", F.lit(0)), "token"))
-        keep = F.col("n") - F.ceil(F.lit(self.jaccard) * F.col("n") - 1e-9) + 1
-        return each.withColumn("place", place).where(F.col("place") <= keep).select("block", "token", self._class(F.col("n")).alias("class"), "sig", "n")
-
-    def _edges(self, titles: DataFrame, postings: DataFrame, old_titles: DataFrame, old_postings: DataFrame) -> DataFrame:
+    def _edges(self, titles: DataFrame, old_titles: DataFrame) -> DataFrame:
         """(a, b, similarity, indexed): the signatures of the batch with those like them, of the batch or indexed."""
-        probe = postings.select("block", "token", F.explode(F.array(*(F.col("class") + d for d in (-1, 0, 1)))).alias("class"), F.col("sig").alias("a"), F.col("n").alias("na"))
-        known = old_postings.select("block", "token", "class", F.col("sig").alias("b"), F.col("n").alias("nb"), F.lit(True).alias("indexed"))
-        known = known.unionByName(postings.select("block", "token", "class", F.col("sig").alias("b"), F.col("n").alias("nb"), F.lit(False).alias("indexed")))
-        close = (F.col("nb") >= F.col("na") * self.jaccard - 1e-9) & (F.col("nb") * self.jaccard <= F.col("na") + 1e-9)
-        same = F.col("p.block").eqNullSafe(F.col("k.block"))
-        met = probe.alias("p").join(known.alias("k"), same & (F.col("p.token") == F.col("k.token")) & (F.col("p.class") == F.col("k.class")) & (F.col("a") != F.col("b")) & close)
-        # a pair of the batch is found from either side
-        pairs = met.where("indexed or a < b").select("a", "b", "indexed").distinct()
+        # a null block is one of its own
+        rows = lambda df: sketches.sketched(df.select(F.col("sig").alias("id"), F.coalesce(F.concat(F.lit("b"), "block"), F.lit("")).alias("block"), "tokens", "simhash"))
+        mine = materialize(rows(titles), "sketches")
+        pairs = sketches.near(mine, None, self.jaccard, self.hamming).select("a", "b", F.lit(False).alias("indexed"))
+        pairs = pairs.unionByName(sketches.near(mine, rows(old_titles), self.jaccard, self.hamming).where("a <> b").select("a", "b", F.lit(True).alias("indexed")))
+        pairs = materialize(pairs, "near")
         side = lambda df, x: df.select(F.col("sig").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("tokens", "simhash", "actors")))
         both = pairs.join(side(titles, "a"), "a").join(side(old_titles.select("sig", "tokens", "simhash", "actors").unionByName(titles.select("sig", "tokens", "simhash", "actors").join(old_titles.select("sig"), "sig", "left_anti")), "b"), "b")
         j, d = text.jaccard(F.col("tokens_a"), F.col("tokens_b")), text.hamming(F.col("simhash_a"), F.col("simhash_b"))
