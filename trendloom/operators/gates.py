@@ -72,16 +72,19 @@ def estimate(raw: Column, samples: Column, matched: Column) -> Column:
 def sample_gate(cases: DataFrame, samples: DataFrame, generic: tuple[str, ...] = (), similarity: float = 0.16, cover: float = 0.34, strong_similarity: float = 0.42, strong_cover: float = 0.67) -> DataFrame:
     """samples (case_id, sample_id, text) of cases (case_id, anchor, aliases, context) with cosine, coverage and
     accepted. Vectors are fitted on a case's anchor and samples together."""
-    corpus = samples.select("case_id", "sample_id", "text").union(cases.select("case_id", F.lit(-1).cast(samples.schema["sample_id"].dataType), F.col("anchor")))
-    v = tfidf.vectors(corpus, "case_id", "sample_id", "text", tfidf.HYPHENS)
-    near = tfidf.cosine_to(v.where("sample_id <> -1"), v.where("sample_id = -1"), "case_id", "sample_id")
-    df = samples.join(cases, "case_id").join(near, ["case_id", "sample_id"], "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
-    df = df.withColumn("coverage", coverage(text.key_terms(F.col("anchor"), generic), text.key_terms(F.col("text"), generic)))
+    asked = samples.join(cases.select("case_id"), "case_id", "left_semi")
+    corpus = asked.select("case_id", "sample_id", "text").union(cases.select("case_id", F.lit(-1).cast(samples.schema["sample_id"].dataType), F.col("anchor")))
+    near = tfidf.cosines(corpus, "case_id", "sample_id", "text", F.col("sample_id") == -1, tfidf.HYPHENS)
     normal = lambda c: F.filter(F.transform(c, text.normalise_phrase), lambda x: x != "")
+    # what an anchor says is told once, and what a text says before it meets its cosine, so that no text need travel
+    told = cases.withColumns({"terms_": text.key_terms(F.col("anchor"), generic), "names_": normal(F.col("aliases")), "context_": normal(F.col("context"))})
+    df = samples.join(told, "case_id").withColumn("coverage", coverage(F.col("terms_"), text.key_terms(F.col("text"), generic)))
+    df = df.withColumns({"aliased_": F.size("names_") > 0, "named_": alias_hit(text.normalise_phrase(F.col("text")), F.col("names_"), F.col("context_"))})
+    df = df.drop("terms_", "names_", "context_")
+    df = df.join(near, ["case_id", "sample_id"], "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
     strong = (F.col("cosine") >= strong_similarity) & (F.col("coverage") >= strong_cover)
     ordinary = (F.col("cosine") >= similarity) & (F.col("coverage") >= cover)
-    named = alias_hit(text.normalise_phrase(F.col("text")), normal(F.col("aliases")), normal(F.col("context")))
-    return df.withColumn("accepted", F.when(F.size(normal(F.col("aliases"))) > 0, named | strong).otherwise(ordinary))
+    return df.withColumn("accepted", F.when(F.col("aliased_"), F.col("named_") | strong).otherwise(ordinary)).drop("aliased_", "named_")
 
 
 def family(direction: Column) -> Column:
