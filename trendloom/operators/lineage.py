@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendloom.operators import gates
+from trendloom.operators import ancestry, gates
 from trendloom.sources.shared import materialize
 
 
@@ -31,18 +31,26 @@ def descendants(parents: DataFrame, anchors: DataFrame, most: int = 10_000) -> D
     raise ValueError("history is deeper than allowed")
 
 
-def rename_chain(starts: DataFrame, files: DataFrame, below: DataFrame, max_hops: int = 3) -> DataFrame:
+def _below(below: DataFrame | ancestry.Labels, pairs: DataFrame) -> DataFrame:
+    """repo, up, down, among them all pairs (repo, up, down) of which up is an ancestor of down."""
+    if isinstance(below, ancestry.Labels):
+        return ancestry.ahead(pairs, below)
+    return below.where("depth > 0").select("repo", F.col("anchor_sha").alias("up"), F.col("sha").alias("down"))
+
+
+def rename_chain(starts: DataFrame, files: DataFrame, below: DataFrame | ancestry.Labels, max_hops: int = 3) -> DataFrame:
     """starts (case_id, repo, anchor_sha, anchor_at, candidate_sha, candidate_at, path) with path as it is at the
     candidate, hops and reason. A hop is the earliest rename of the current path after the last one and before
-    the candidate, on a commit below the last one (below: ``descendants`` of all commits) and above the
-    candidate. More hops than max_hops leave the chain incomplete."""
+    the candidate, on a commit below the last one (below: ``ancestry.labels``, or ``descendants`` of all commits) and above
+    the candidate. More hops than max_hops leave the chain incomplete."""
     moved = files.where("status = 'renamed' and previous_filename is not null").select("repo", F.col("sha").alias("hop_sha"), F.col("committed_at").alias("hop_at"), F.col("previous_filename").alias("path"), F.col("filename").alias("to_path"))
-    ahead = below.where("depth > 0").select("repo", F.col("anchor_sha").alias("up"), F.col("sha").alias("down"))
     now = starts.select("*", F.col("anchor_sha").alias("at_sha"), F.col("anchor_at").alias("at_time"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("reason"))
     for _ in range(max_hops):
         hits = now.where("reason is null").join(moved, ["repo", "path"]).where("hop_at > at_time and hop_at < candidate_at")
-        hits = hits.join(ahead, (hits.repo == ahead.repo) & (hits.at_sha == ahead.up) & (hits.hop_sha == ahead.down), "left_semi")
-        hits = hits.join(ahead, (hits.repo == ahead.repo) & (hits.hop_sha == ahead.up) & (hits.candidate_sha == ahead.down), "left_semi")
+        hits = materialize(hits.select("case_id", "repo", "at_sha", "candidate_sha", "hop_at", "hop_sha", "to_path"), "hits")
+        ends = _below(below, hits.select("repo", F.col("at_sha").alias("up"), F.col("hop_sha").alias("down")).union(hits.select("repo", "hop_sha", "candidate_sha")))
+        link = lambda up, down: ends.select("repo", F.col("up").alias(up), F.col("down").alias(down))
+        hits = hits.join(link("at_sha", "hop_sha"), ["repo", "at_sha", "hop_sha"], "left_semi").join(link("hop_sha", "candidate_sha"), ["repo", "hop_sha", "candidate_sha"], "left_semi")
         first = hits.groupBy("case_id").agg(F.min(F.struct("hop_at", "hop_sha", "to_path")).alias("hop"))
         now = now.join(first, "case_id", "left")
         some = F.col("hop").isNotNull()
@@ -67,14 +75,15 @@ def added_code(patch: Column) -> Column:
     return F.transform(code, lambda x: F.substring(x, 1, 220))
 
 
-def verdicts(cases: DataFrame, files: DataFrame, below: DataFrame) -> DataFrame:
+def verdicts(cases: DataFrame, files: DataFrame, below: DataFrame | ancestry.Labels) -> DataFrame:
     """cases (case_id, technology_direction, anchor_repo, anchor_sha, anchor_at, anchor_kind, anchor_title,
     anchor_text, anchor_diff, repo, sha, at, kind) with verdict and reason, in the order in which rules are
     tried: the candidate must be a later commit of the same repository below an anchor whose technology is
     verified, and change executable, technology-specific lines of one of its modules."""
     gate = gates.event_gate(cases.select("case_id", F.col("technology_direction").alias("direction"), F.col("anchor_title").alias("title"), F.coalesce("anchor_text", "anchor_title").alias("text"), F.col("anchor_diff").alias("source_diff"))).select("case_id", (F.col("status") == "eligible").alias("eligible"))
     df = cases.join(gate, "case_id").withColumn("paths", F.coalesce(gates.anchor_paths(F.col("anchor_diff")), F.array().cast("array<string>")))
-    ahead = below.where("depth > 0").select(F.col("repo").alias("anchor_repo"), "anchor_sha", "sha", F.lit(True).alias("ahead"))
+    asked = cases.select(F.col("anchor_repo").alias("repo"), F.col("anchor_sha").alias("up"), F.col("sha").alias("down"))
+    ahead = _below(below, asked).select(F.col("repo").alias("anchor_repo"), F.col("up").alias("anchor_sha"), F.col("down").alias("sha"), F.lit(True).alias("ahead"))
     df = df.join(ahead, ["anchor_repo", "anchor_sha", "sha"], "left")
     lora = F.lower("technology_direction").rlike("lora|low-rank")
     changed = files.withColumn("place", F.row_number().over(Window.partitionBy("repo", "sha").orderBy("filename"))).where("place <= 60")

@@ -288,8 +288,7 @@ def rename_chain(spark, sf_dir):
     files = o.select("repo", F.col("k").cast("string").alias("sha"), F.col("k").alias("committed_at"), own.alias("filename"), F.when(moved, old).alias("previous_filename"), F.when(moved, "renamed").otherwise("modified").alias("status"))
     cases = o.groupBy("repo", "head").agg(F.max("k").alias("candidate_at"))
     starts = cases.select(F.col("head").alias("case_id"), "repo", F.col("head").alias("anchor_sha"), F.col("head").cast("long").alias("anchor_at"), F.col("candidate_at").cast("string").alias("candidate_sha"), "candidate_at", F.lit("m0.py").alias("path"))
-    nodes = o.select("repo", F.col("k").cast("string").alias("sha"))
-    return lineage.rename_chain(starts, files, lineage.descendants(parents, nodes)).select("case_id", "path", F.col("hops").cast("long").alias("hops"), "reason")
+    return lineage.rename_chain(starts, files, ancestry.labels(parents)).select("case_id", "path", F.col("hops").cast("long").alias("hops"), "reason")
 
 
 #: Anchors' patches by number, and the file that a commit changes; modules in Java aren't followed, nor are docs.
@@ -311,7 +310,7 @@ def lineage_verdicts(spark, sf_dir):
         F.when(k % 23 == 0, k).otherwise(F.col("before")).alias("anchor_at"), kind(29).alias("anchor_kind"), F.when(k % 31 == 0, "Update docs").otherwise("Add LoRA fine-tuning for LLM adapters").alias("anchor_title"), F.lit(None).cast("string").alias("anchor_text"),
         F.when(k % 31 == 0, "FILE src/a.py\n+x").otherwise(pick(_DIFFS, k % 4)).alias("anchor_diff"), "repo", text_.alias("sha"), k.alias("at"), kind(37).alias("kind"),
     )
-    return lineage.verdicts(cases, files, lineage.descendants(parents, o.select("repo", text_.alias("sha"))))
+    return lineage.verdicts(cases, files, ancestry.labels(parents))
 
 
 def bridge_events(spark, sf_dir):
