@@ -16,6 +16,8 @@ from trendloom.sources.shared import materialize
 
 #: Vectors of a block; two blocks meet in one product.
 BLOCK = 1000
+#: Pairs of two blocks up to which they are multiplied together with others, and pairs that are multiplied at once.
+FEW, PAIRS = 4096, 1 << 16
 
 
 def _blocks(df: DataFrame, keys: list[str], name: str, vector: str) -> DataFrame:
@@ -28,33 +30,62 @@ def _blocks(df: DataFrame, keys: list[str], name: str, vector: str) -> DataFrame
     return dealt.groupBy(*group, "block_").agg(F.collect_list(F.struct(*rest)).alias(name)).drop("block_")
 
 
+def _unit(rows: pa.StructArray) -> np.ndarray:
+    v = rows.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+    with np.errstate(all="ignore"):
+        return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+
+
+def _matched(own: pa.ListArray, held: pa.ListArray, threshold: float) -> pa.RecordBatch:
+    """cluster_id, similarity, created_at, trend_id of the best of a row's states for each of its clusters, if it is near
+    enough. One row is one product; several rows, which are small, are multiplied pair by pair, all at once."""
+    n, m = (x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in (own, held))
+    c, s = own.flatten(), held.flatten()
+    # equal products: the first in this order counts
+    keys = {"row": pa.array(np.repeat(np.arange(len(m)), m)), "a": s.field("created_at"), "b": s.field("id")}
+    s = s.take(pc.sort_indices(pa.table(keys), sort_keys=[(k, "ascending") for k in keys]))
+    if len(n) == 1:
+        product = np.nan_to_num(_unit(c) @ _unit(s).T, nan=-2.0)
+        top = product.argmax(axis=1)
+        value = product[np.arange(len(top)), top]
+    else:
+        times = np.repeat(m, n)
+        start = np.cumsum(times) - times
+        left = np.repeat(np.arange(len(c)), times)
+        right = np.repeat(np.repeat(np.cumsum(m) - m, n) - start, times) + np.arange(len(left))
+        product = np.nan_to_num(np.einsum("ij,ij->i", _unit(c)[left], _unit(s)[right]), nan=-2.0)
+        value = np.maximum.reduceat(product, start)
+        equal = np.flatnonzero(product == value[left])
+        top = right[equal[np.flatnonzero(np.diff(left[equal], prepend=-1))]]
+    hit = np.flatnonzero(value >= threshold)
+    at = pa.array(top[hit])
+    return pa.RecordBatch.from_arrays([c.field("id").take(pa.array(hit)), pa.array(value[hit]), s.field("created_at").take(at), s.field("id").take(at)], ["cluster_id", "similarity", "created_at", "trend_id"])
+
+
 def nearest(clusters: DataFrame, states: DataFrame, keys: list[str], threshold: float = 0.82) -> DataFrame:
     """cluster_id, trend_id, similarity of the best state of each cluster among those with equal keys; ties go
     to the state that was created first, then to the least id. Vectors meet in blocks, each pair of which is one
-    product, so that a key of any size is dealt over tasks and no pair becomes a row. Null vectors, and those
+    product, so that a key of any size is dealt over tasks and no pair becomes a row; small keys share products. Null vectors, and those
     that have no direction or another length, match nothing."""
     own = _blocks(clusters.select(*keys, F.col("cluster_id").alias("id"), F.col("centroid").cast("array<double>").alias("v")), keys, "c", "v")
     ids = states.select(*keys, F.col("trend_id").alias("id"), "created_at", F.col("centroid").cast("array<double>").alias("v"))
     met = own.join(_blocks(ids, keys, "s", "v"), [*keys, "dim_"]).select("c", "s")
     shape = f"cluster_id {clusters.schema['cluster_id'].dataType.simpleString()}, similarity double, created_at {states.schema['created_at'].dataType.simpleString()}, trend_id {states.schema['trend_id'].dataType.simpleString()}"
 
-    def unit(rows: pa.StructArray) -> np.ndarray:
-        v = rows.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-        with np.errstate(all="ignore"):
-            return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
-
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c, s in zip(batch.column(0), batch.column(1), strict=True):
-                c, s = c.values, s.values
-                # equal products: the first in this order counts
-                s = s.take(pc.sort_indices(pa.table({"a": s.field("created_at"), "b": s.field("id")}), sort_keys=[("a", "ascending"), ("b", "ascending")]))
-                product = np.nan_to_num(unit(c) @ unit(s).T, nan=-2.0)
-                top = product.argmax(axis=1)
-                value = product[np.arange(len(top)), top]
-                hit = np.flatnonzero(value >= threshold)
-                at = pa.array(top[hit])
-                yield pa.RecordBatch.from_arrays([c.field("id").take(pa.array(hit)), pa.array(value[hit]), s.field("created_at").take(at), s.field("id").take(at)], ["cluster_id", "similarity", "created_at", "trend_id"])
+            own, held = batch.column(0), batch.column(1)
+            n, m = (x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in (own, held))
+            few = n * m <= FEW
+            for row in np.flatnonzero(~few):
+                yield _matched(own.slice(row, 1), held.slice(row, 1), threshold)
+            # vectors of a row have one length
+            size = own.flatten().field("v").value_lengths().to_numpy(zero_copy_only=False)[np.cumsum(n) - n]
+            for length in np.unique(size[few]):
+                rows = np.flatnonzero(few & (size == length))
+                pairs = n[rows] * m[rows]
+                for part in np.split(rows, np.flatnonzero(np.diff((np.cumsum(pairs) - pairs) // PAIRS)) + 1):
+                    yield _matched(own.take(pa.array(part)), held.take(pa.array(part)), threshold)
 
     first = met.mapInArrow(best, shape).groupBy("cluster_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "created_at", "trend_id")).alias("best"))
     return first.select("cluster_id", F.col("best.trend_id").alias("trend_id"), (-F.col("best.s")).alias("similarity"))
