@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.functions.scalars import clamp, log_saturation, month_index, shrink
@@ -29,28 +29,55 @@ BUCKETS = {
 OTHER_BUCKETS = ((("research",), 0.25), (("patent", "implementation"), 0.30), (("product", "adoption", "investment"), 0.25), (("regulation", "analysis"), 0.20))
 
 
-def trend_states(evidence: DataFrame, as_of: date, strict: bool = True) -> DataFrame:
+def trend_states(evidence: DataFrame, as_of: date, strict: bool = True, more: tuple[Column, ...] = ()) -> DataFrame:
     """States of evidence (trend_id, profile, event_time, evidence_type, provider, actor). With strict, evidence
-    after as_of is left out altogether; else it counts in all but the monthly window."""
+    after as_of is left out altogether; else it counts in all but the monthly window. more are further aggregates."""
     now = as_of.year * 12 + as_of.month - 1
     if strict:
         evidence = evidence.where(F.col("event_time") < F.date_add(F.lit(as_of), 1))
-    back = F.lit(now) - month_index(F.col("event_time"))
-    months = [F.count_if(back == k).alias(f"m{k}") for k in range(11, -1, -1)]
-    kinds = [x for t in TYPES for x in (F.count_if(F.col("evidence_type") == t).alias(f"n_{t}"), F.min(F.when(F.col("evidence_type") == t, F.col("event_time"))).alias(f"first_{t}"))]
-    out = evidence.groupBy("trend_id", "profile").agg(
+    return _states(_first_marked(evidence), ["trend_id", "profile"], F.lit(now), more)
+
+
+def states_at(evidence: DataFrame, dates: list[date]) -> DataFrame:
+    """States at each of dates, from the evidence up to it alone, in one pass over evidence: as ``trend_states`` at
+    each. Column as_of_index is the date's month."""
+    evidence = evidence.where(F.col("event_time") < F.date_add(F.lit(max(dates)), 1))
+    asked = F.array(*(F.struct(F.lit(d.year * 12 + d.month - 1).alias("as_of_index"), F.lit(d).alias("as_of_")) for d in dates))
+    # the first of its kind up to a date is the first of all, if that is not later
+    df = _first_marked(evidence).select("*", F.inline(asked)).where(F.col("event_time") < F.date_add("as_of_", 1))
+    return _states(df, ["trend_id", "profile", "as_of_", "as_of_index"], F.col("as_of_index"), ()).drop("as_of_")
+
+
+def _first_marked(evidence: DataFrame) -> DataFrame:
+    """evidence with mi (its month) and whether it is the first of its trend with its actor, provider and month. All of it
+    needs evidence by trend_id alone, so rows are shuffled once, as they are, and no aggregate is; a trend's rows
+    are sorted, not held."""
+    keys = ["trend_id", "profile"]
+    df = evidence.withColumn("mi", month_index(F.col("event_time")))
+    before = Window.partitionBy("trend_id").orderBy("profile", "event_time")
+    again = F.lag("profile").over(before).eqNullSafe(F.col("profile")) & F.lag("mi").over(before).eqNullSafe(F.col("mi")) & (F.row_number().over(before) > 1)
+    df = df.withColumn("new_month", ~again & F.col("mi").isNotNull())
+    first = lambda c: F.col(c).isNotNull() & (F.row_number().over(Window.partitionBy(*keys, c).orderBy("event_time")) == 1)
+    return df.withColumn("new_provider", first("provider")).withColumn("new_actor", first("actor"))
+
+
+def _kinds(n: str, first: str) -> list[Column]:
+    return [x for t in TYPES for x in (F.count_if(F.col("evidence_type") == t).alias(f"{n}_{t}"), F.min(F.when(F.col("evidence_type") == t, F.col("event_time"))).alias(f"{first}_{t}"))]
+
+
+def _states(marked: DataFrame, keys: list[str], now: Column, more: tuple[Column, ...]) -> DataFrame:
+    names = [f"m{k}" for k in range(11, -1, -1)]
+    out = marked.groupBy(*keys).agg(
         F.min("event_time").alias("first_seen"),
         F.max("event_time").alias("last_seen"),
         F.count(F.lit(1)).alias("observation_count"),
-        F.count_distinct("actor").alias("actor_count"),
-        # providers and months are few in each trend: their sets spare the copy of all rows that a second
-        # distinct count would cost
-        F.size(F.collect_set("provider")).cast("long").alias("provider_count"),
-        F.size(F.collect_set(month_index(F.col("event_time")))).cast("long").alias("active_periods"),
-        *months,
-        *kinds,
+        F.count_if("new_actor").alias("actor_count"),
+        F.count_if("new_provider").alias("provider_count"),
+        F.count_if("new_month").alias("active_periods"),
+        *(F.count_if(now - F.col("mi") == k).alias(f"m{k}") for k in range(11, -1, -1)),
+        *_kinds("n", "first"),
+        *more,
     )
-    names = [f"m{k}" for k in range(11, -1, -1)]
     return out.withColumn("months", F.array(*names)).drop(*names)
 
 
@@ -66,7 +93,7 @@ def longest_run(counts: Column) -> Column:
 
 
 def _mean(counts: Column, a: int, n: int) -> Column:
-    return F.aggregate(F.slice(counts, a, n), F.lit(0.0), lambda s, x: s + x) / n
+    return sum((F.element_at(counts, a + i) for i in range(n)), F.lit(0.0)) / n
 
 
 def _slope(counts: Column, a: int) -> Column:
@@ -89,10 +116,11 @@ def scored(states: DataFrame, as_of: date | None) -> DataFrame:
     now = F.col("as_of_index") if as_of is None else F.lit(as_of.year * 12 + as_of.month - 1)
     c, n = F.col("months"), F.col("observation_count")
     df = states.withColumns({"age": F.greatest(F.lit(0), now - month_index(F.col("first_seen"))), "idle": F.greatest(F.lit(0), now - month_index(F.col("last_seen")))})
-    active = F.size(F.filter(F.slice(c, 7, 6), lambda x: x > 0))
+    some = lambda i: (F.element_at(c, i) > 0).cast("int")
+    active = sum((some(i) for i in range(7, 13)), F.lit(0))
     df = df.withColumns({"available": F.least(F.lit(6), F.greatest(F.lit(1), F.col("age") + 1)), "r_growth": F.least(F.lit(1.0), active / 4), "r_acceleration": F.least(F.lit(1.0), active / 5)})
     window = F.slice(c, 13 - F.col("available"), F.col("available"))
-    ratio = F.size(F.filter(window, lambda x: x > 0)) / F.col("available")
+    ratio = sum((F.when(F.col("available") > 12 - i, some(i)).otherwise(0) for i in range(7, 13)), F.lit(0)) / F.col("available")
     run = F.least(F.lit(1.0), longest_run(window) / F.least(F.lit(3), F.col("available")))
     growth = clamp(50 + 25 * F.log2((_mean(c, 10, 3) + 0.5) / (_mean(c, 7, 3) + 0.5)))
     acceleration = clamp(50 + 50 * F.tanh(2 * (_slope(c, 10) - _slope(c, 7))))
@@ -149,33 +177,29 @@ def explanation() -> Column:
 def top(scored_states: DataFrame, n: int = 15) -> DataFrame:
     """The first n by total, confidence, observations and id."""
     order = [F.desc("total"), F.desc("confidence"), F.desc("observation_count"), F.asc("trend_id")]
-    from pyspark.sql import Window
-
     return scored_states.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def prefix_states(evidence: DataFrame, start: date, end: date) -> DataFrame:
     """A state for each trend and month end from start to end, from the evidence up to it alone: as ``trend_states``
     at each of these dates, but in one pass. Months are aggregated first; running windows over each trend's own
-    months do the rest. Column as_of_index is the month's index."""
-    from pyspark.sql import Window
-
-    mi = month_index(F.col("event_time"))
+    months do the rest, and a month without evidence takes the state before it, its months moved on. Column
+    as_of_index is the month's index."""
+    begin, last = start.year * 12 + start.month - 1, end.year * 12 + end.month - 1
     keys = ["trend_id", "profile"]
-    e = evidence.withColumn("mi", mi)
-    kinds = [x for t in TYPES for x in (F.count_if(F.col("evidence_type") == t).alias(f"k_{t}"), F.min(F.when(F.col("evidence_type") == t, F.col("event_time"))).alias(f"f_{t}"))]
-    monthly = e.groupBy(*keys, "mi").agg(F.count(F.lit(1)).alias("n"), F.min("event_time").alias("lo"), F.max("event_time").alias("hi"), *kinds)
-    fresh = lambda c: e.groupBy(*keys, c).agg(F.min("mi").alias("mi")).groupBy(*keys, "mi").agg(F.count(c).alias(f"new_{c}"))
-    last = end.year * 12 + end.month - 1
-    spine = monthly.groupBy(*keys).agg(F.min("mi").alias("from")).where(F.col("from") <= last).select(*keys, F.explode(F.sequence(F.col("from"), F.lit(last))).alias("mi"))
-    df = spine.join(monthly, [*keys, "mi"], "left").join(fresh("actor"), [*keys, "mi"], "left").join(fresh("provider"), [*keys, "mi"], "left")
+    e = _first_marked(evidence.where(F.col("event_time") < F.lit(date((last + 1) // 12, (last + 1) % 12 + 1, 1))))
+    # a month's own mark is one of its rows; asking for it keeps the window by trend_id alone in the plan
+    fresh = [F.count_if(f"new_{c}").alias(f"new_{c}") for c in ("actor", "provider", "month")]
+    monthly = e.groupBy(*keys, "mi").agg(F.count(F.lit(1)).alias("n"), F.min("event_time").alias("lo"), F.max("event_time").alias("hi"), *fresh, *_kinds("k", "f"))
     w = Window.partitionBy(*keys).orderBy("mi")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    total = lambda c: F.coalesce(F.sum(c).over(upto), F.lit(0))
-    months = F.array(*(F.coalesce(F.lag("n", k).over(w), F.lit(0)) for k in range(11, -1, -1)))
-    out = df.select(
-        *keys, F.col("mi").alias("as_of_index"), F.min("lo").over(upto).alias("first_seen"), F.max("hi").over(upto).alias("last_seen"), total("n").alias("observation_count"),
-        total("new_actor").alias("actor_count"), total("new_provider").alias("provider_count"), F.count("n").over(upto).alias("active_periods"), months.alias("months"),
-        *(total(f"k_{t}").alias(f"n_{t}") for t in TYPES), *(F.min(f"f_{t}").over(upto).alias(f"first_{t}") for t in TYPES),
+    df = monthly.select(
+        *keys, "mi", F.min("lo").over(upto).alias("first_seen"), F.max("hi").over(upto).alias("last_seen"), F.sum("n").over(upto).alias("observation_count"),
+        F.sum("new_actor").over(upto).alias("actor_count"), F.sum("new_provider").over(upto).alias("provider_count"), F.sum("new_month").over(upto).alias("active_periods"),
+        *(F.sum(f"k_{t}").over(upto).alias(f"n_{t}") for t in TYPES), *(F.min(f"f_{t}").over(upto).alias(f"first_{t}") for t in TYPES),
+        F.collect_list(F.struct("mi", "n")).over(w.rangeBetween(-11, 0)).alias("near_"), (F.lead("mi").over(w) - 1).alias("until_"),
     )
-    return out.where(F.col("as_of_index") >= start.year * 12 + start.month - 1)
+    df = df.withColumn("until_", F.coalesce("until_", F.lit(last))).where(F.col("until_") >= begin).withColumn("near_", F.map_from_entries("near_"))
+    own = F.array(*(F.coalesce(F.try_element_at("near_", F.col("mi") - k), F.lit(0)) for k in range(11, -1, -1)), *[F.lit(0).cast("long")] * 12)
+    df = df.withColumn("near_", own).withColumn("as_of_index", F.explode(F.sequence(F.greatest("mi", F.lit(begin)), F.col("until_"))))
+    return df.withColumn("months", F.slice("near_", F.least(F.col("as_of_index") - F.col("mi"), F.lit(12)) + 1, 12)).drop("near_", "until_", "mi")
