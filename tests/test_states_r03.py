@@ -70,3 +70,20 @@ def test_lines_are_read_once(spark, name):
 
     plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("lineitem.parquet") == 1
+
+
+def test_a_document_takes_two_looks_at_the_evidence(spark, tmp_path, monkeypatch):
+    """One for all candidates and their sources, one for the fifteen chosen, whose ids reach the scan."""
+    more = [F.lit("FR").alias("country"), F.lit(1).cast("long").alias("stars"), F.lit("t").alias("title"), F.lit("https://a.example").alias("canonical_url")]
+    spark.createDataFrame(made(), SCHEMA).na.fill("patent", ["evidence_type"]).select("*", *more).write.parquet(f"{tmp_path}/evidence_here.parquet")
+    plans, real = [], report.materialize
+    monkeypatch.setattr(report, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    try:
+        found = report.document(spark.read.parquet(f"{tmp_path}/evidence_here.parquet"), "x", "mixed", DATES[-1])
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    looks = [p for p in plans if "evidence_here.parquet" in p]
+    assert [p.count("evidence_here.parquet") for p in looks] == [1, 1] and "PushedFilters: [In(trend_id" in looks[1]
+    assert found.first().trend_count > 5

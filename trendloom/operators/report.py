@@ -19,7 +19,16 @@ def cards(top: DataFrame, e: DataFrame, sources: int = 5, buckets: int = 12, cit
     trends are fifteen at most; they and their evidence are written once, since each part of a card reads them. Sources
     and countries are taken from citable evidence."""
     top = materialize(top, "top")
-    mine = materialize(e.join(F.broadcast(top.select("trend_id")), "trend_id", "left_semi"), "evidence")
+    return _cards(top, _evidence_of(top, e), sources, buckets, citable)
+
+
+def _evidence_of(top: DataFrame, e: DataFrame) -> DataFrame:
+    """The evidence of top's trends, fifteen at most: as literals their ids reach the scans, before any shuffle."""
+    ids = [r.trend_id for r in top.select("trend_id").collect()]
+    return materialize(e.where(F.col("trend_id").isin(ids) if ids else F.lit(False)), "evidence")
+
+
+def _cards(top: DataFrame, mine: DataFrame, sources: int = 5, buckets: int = 12, citable: Column | None = None) -> DataFrame:
     cited = mine if citable is None else mine.where(citable)
     by = mine.groupBy("trend_id", "evidence_type").agg(F.count(F.lit(1)).alias("n")).groupBy("trend_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("evidence_type", "n")))).alias("by_type"))
     path = timeline.trajectory(mine, buckets)
@@ -34,11 +43,9 @@ def cards(top: DataFrame, e: DataFrame, sources: int = 5, buckets: int = 12, cit
 
 
 def candidates(evidence: DataFrame, profile: str, as_of: date) -> DataFrame:
-    """Scored states of all trends with sources, their number of evidence that can be cited, and skipped: null, or why the
+    """Scored states of all trends with sources, their number of evidence up to as_of that can be cited, and skipped: null, or why the
     trend can't be in the answer (another profile; no source with title, address, provider and type)."""
-    states = scoring.scored(scoring.trend_states(evidence, as_of), as_of)
-    sources = evidence.groupBy("trend_id", "profile").agg(F.count_if(units.source_eligible()).alias("sources"))
-    df = states.join(sources, ["trend_id", "profile"], "left").withColumn("sources", F.coalesce("sources", F.lit(0)))
+    df = scoring.scored(scoring.trend_states(evidence, as_of, more=(F.count_if(units.source_eligible()).alias("sources"),)), as_of)
     return df.withColumn("skipped", F.when(~F.col("profile").eqNullSafe(profile), "profile").when(F.col("sources") == 0, "no_source"))
 
 
@@ -51,11 +58,12 @@ def document(evidence: DataFrame, direction: str, profile: str, as_of: date, fai
     every = materialize(candidates(evidence, profile, as_of), "candidates")
     kept = every.where("skipped is null").withColumns({"total": F.round("total", 6), "confidence": F.round("confidence", 6)})
     top = materialize(scoring.top(kept.drop("sources", "skipped"), LIMIT), "top")
-    listed = cards(top, evidence, citable=units.source_eligible()).withColumn("by_type", F.map_entries("by_type"))
+    mine = _evidence_of(top, evidence)
+    listed = _cards(top, mine, citable=units.source_eligible()).withColumn("by_type", F.map_entries("by_type"))
     trends = listed.agg(F.array_sort(F.collect_list(F.struct("rank", F.struct("*").alias("trend")))).alias("t"))  # fifteen at most
     counted = every.agg(F.count(F.lit(1)).alias("candidate_count"), F.count_if(F.col("skipped") == "profile").alias("other"), F.count_if(F.col("skipped") == "no_source").alias("unsourced"))
     chosen = top.agg(F.count(F.lit(1)).alias("trend_count"), F.coalesce(F.sum("observation_count"), F.lit(0)).alias("observation_count"), F.count_if("research_only").alias("research_only"), F.date_format(F.min("first_seen"), "yyyy-MM-dd").alias("coverage_start"))
-    used = evidence.join(F.broadcast(top.select("trend_id")), "trend_id", "left_semi").agg(F.array_sort(F.collect_set("provider")).alias("providers"))
+    used = mine.agg(F.array_sort(F.collect_set("provider")).alias("providers"))
     df = trends.join(F.broadcast(counted)).join(F.broadcast(chosen)).join(F.broadcast(used))  # one row each
     number = lambda c, text: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(text)))
     warnings = F.array_compact(F.array(
