@@ -72,6 +72,20 @@ def test_lines_are_read_once(spark, name):
     assert plan.count("lineitem.parquet") == 1
 
 
+def test_totals_by_sets(spark):
+    rows = made()[:-1]
+    found = timeline.monthly_totals(spark.createDataFrame(rows, SCHEMA))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # a row for each set only beyond the one shuffle
+    assert shuffles(found) == 1 and "Expand" not in plan and plan.index("Generate") < plan.index("Exchange hashpartitioning")
+    want = Counter()
+    for r in rows:
+        at = (r[0], r[2].strftime("%Y-%m"))
+        want.update([(*at, "all", None), (*at, "type", r[3]), (*at, "provider", r[4])])
+    want = Counter((a, b, v if k == "type" else None, v if k == "provider" else None, n) for (a, b, k, v), n in want.items())
+    assert Counter((r.trend_id, r.period, r.evidence_type, r.provider, r.n) for r in found.collect()) == want
+
+
 def test_a_document_takes_two_looks_at_the_evidence(spark, tmp_path, monkeypatch):
     """One for all candidates and their sources, one for the fifteen chosen, whose ids reach the scan."""
     more = [F.lit("FR").alias("country"), F.lit(1).cast("long").alias("stars"), F.lit("t").alias("title"), F.lit("https://a.example").alias("canonical_url")]
