@@ -86,6 +86,17 @@ def test_totals_by_sets(spark):
     assert Counter((r.trend_id, r.period, r.evidence_type, r.provider, r.n) for r in found.collect()) == want
 
 
+def test_coverage_without_a_copy_for_each_count(spark):
+    rows = made()
+    found = timeline.coverage(spark.createDataFrame(rows, SCHEMA))
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for p in {r[1] for r in rows}:
+        g = [r for r in rows if r[1] == p]
+        want[p] = (len({r[0] for r in g}), len({r[6] for r in g}), str(min(r[2] for r in g if r[2]).date()), ",".join(sorted({r[4] for r in g if r[4]})))
+    assert {r.profile: tuple(r)[1:] for r in found.collect()} == want
+
+
 def test_a_document_takes_two_looks_at_the_evidence(spark, tmp_path, monkeypatch):
     """One for all candidates and their sources, one for the fifteen chosen, whose ids reach the scan."""
     more = [F.lit("FR").alias("country"), F.lit(1).cast("long").alias("stars"), F.lit("t").alias("title"), F.lit("https://a.example").alias("canonical_url")]

@@ -23,6 +23,17 @@ def monthly_totals(evidence: DataFrame) -> DataFrame:
     return df.groupBy("trend_id", "period", "set_", "evidence_type", "provider").agg(F.count(F.lit(1)).alias("n")).drop("set_")
 
 
+def coverage(evidence: DataFrame) -> DataFrame:
+    """Distinct trends and observations of each profile, its first day and its providers. A piece of evidence makes a row for
+    its trend and one for its observation, of a number alone; days go with the few providers."""
+    df = evidence.select("profile", "trend_id", "observation_id", "provider", "event_time", F.explode(F.array(*map(F.lit, range(3)))).alias("kind_"))
+    id_ = F.when(F.col("kind_") == 0, F.col("trend_id")).when(F.col("kind_") == 1, F.col("observation_id")).alias("id_")
+    few = lambda c: F.when(F.col("kind_") == 2, F.col(c)).alias(c)
+    found = df.select("profile", "kind_", id_, few("provider"), few("event_time")).groupBy("profile", "kind_", "id_", "provider").agg(F.min("event_time").alias("at_"))
+    count = lambda i: F.count(F.when(F.col("kind_") == i, F.col("id_")))
+    return found.groupBy("profile").agg(count(0).alias("trends"), count(1).alias("observations"), F.date_format(F.min("at_"), "yyyy-MM-dd").alias("coverage_start"), F.array_join(F.array_sort(F.collect_set("provider")), ",").alias("providers_used"))
+
+
 def longest_active_run(evidence: DataFrame) -> DataFrame:
     """Gaps and islands over each trend's active months."""
     active = evidence.select("trend_id", month_index(F.col("event_time")).alias("mi")).distinct()
