@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.operators import ancestry, gates
@@ -69,10 +69,9 @@ def rename_chain(starts: DataFrame, files: DataFrame, below: DataFrame | ancestr
 
 
 def added_code(patch: Column) -> Column:
-    """Added lines of a patch that aren't comments, 220 characters each."""
+    """Added lines of a patch that aren't comments, whole."""
     added = F.filter(F.split(patch, "\n"), lambda x: x.startswith("+") & ~x.startswith("+++"))
-    code = F.filter(F.transform(added, lambda x: F.trim(F.substring(x, F.lit(2), F.length(x)))), lambda x: (x != "") & ~x.rlike(r"^(#|//|\*|/\*)"))
-    return F.transform(code, lambda x: F.substring(x, 1, 220))
+    return F.filter(F.transform(added, lambda x: F.trim(F.substring(x, F.lit(2), F.length(x)))), lambda x: (x != "") & ~x.rlike(r"^(#|//|\*|/\*)"))
 
 
 def verdicts(cases: DataFrame, files: DataFrame, below: DataFrame | ancestry.Labels) -> DataFrame:
@@ -86,8 +85,7 @@ def verdicts(cases: DataFrame, files: DataFrame, below: DataFrame | ancestry.Lab
     ahead = _below(below, asked).select(F.col("repo").alias("anchor_repo"), F.col("up").alias("anchor_sha"), F.col("down").alias("sha"), F.lit(True).alias("ahead"))
     df = df.join(ahead, ["anchor_repo", "anchor_sha", "sha"], "left")
     lora = F.lower("technology_direction").rlike("lora|low-rank")
-    changed = files.withColumn("place", F.row_number().over(Window.partitionBy("repo", "sha").orderBy("filename"))).where("place <= 60")
-    changed = changed.select("repo", "sha", "filename", "previous_filename", F.col("status").alias("file_status"), added_code(F.col("patch")).alias("code"))
+    changed = files.select("repo", "sha", "filename", "previous_filename", F.col("status").alias("file_status"), added_code(F.col("patch")).alias("code"))
     each = df.join(changed, ["repo", "sha"])
     name = F.lower(F.element_at(F.split("filename", "/"), -1))
     named = F.when(lora, name.rlike("lora|peft|adapter")).otherwise(name.rlike("rag|retriev|vector|query"))
